@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat_format, mixing, quality_rules, substring_dedup, token_counts, toxicity, url_filter
+from graphloom.llm import best_fit_packing, chat_format, mixing, quality_rules, substring_dedup, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(chat_format.format_conversations(rows))
 
 
+def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": mixing_targets,
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity": toxicity_scores,
         "op8_url_filter": url_verdicts,
         "op9_chat_format": chat_turns,
+        "op10_best_fit_packing": packed_sequences,
     }
 
 
