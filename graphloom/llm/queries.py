@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import best_fit_packing, chat_format, mixing, quality_rules, substring_dedup, token_counts, toxicity, url_filter
+from graphloom.llm import best_fit_packing, chat_format, jaccard_join, mixing, quality_rules, substring_dedup, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), num=90, den=100, width=3)
+
+
 def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), size=35)
 
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": mixing_targets,
         "op3_token_counts": piece_counts,
+        "op4_jaccard_join": linked_documents,
         "op5_substring_dedup": repeated_passages,
         "op6_quality_rules": quality_lists,
         "op7_toxicity": toxicity_scores,
