@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import best_fit_packing, chat_format, jaccard_join, mixing, quality_rules, substring_dedup, token_counts, toxicity, url_filter
+from graphloom.llm import best_fit_packing, chat_format, jaccard_join, media_columns, mixing, quality_rules, substring_dedup, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns.media_digests(media_columns.text_media(table(spark, sf_dir, "documents")))
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, max_epochs=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -75,6 +79,7 @@ def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_media_columns": text_images,
         "op2_mixing": mixing_targets,
         "op3_token_counts": piece_counts,
         "op4_jaccard_join": linked_documents,
