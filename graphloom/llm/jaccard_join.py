@@ -446,8 +446,52 @@ def jaccard_groups(df: DataFrame, num: int = 90, den: int = 100, width: int = 3,
     smallest; a component of null ids alone has a null id. Other columns are not read; an empty table gives an empty
     one. Texts are read whole; a task holds a slice of a batch, or a region of at most ``most_members`` documents.
     """
-    like = Likeness(num, den, width)
     source = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
+    rows, sets, roots = _linked_sets(source, Likeness(num, den, width), most_members)
+    named = sets.select("tid", "k1", "k2", "n", "least").join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(names, "root").select("k1", "k2", F.col("n").alias("_n"), "component_id", F.lit(True).alias("_in"))
+    out = rows.select("doc_id", "n", "k1", "k2").join(named, (F.col("n") == F.col("_n")) & rows["k1"].eqNullSafe(named["k1"]) & rows["k2"].eqNullSafe(named["k2"]), "left")
+    return out.select(rows["doc_id"].alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each_group(df: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text", most_members: int = 8192) -> DataFrame:
+    """One row of each group of linked documents, all columns as they are: that of the smallest id (null last, then by
+    a hash of the text; of rows equal in both any). Rows without words are linked with nothing and all stay."""
+    source = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
+    rows, sets, roots = _linked_sets(source, Likeness(num, den, width), most_members)
+    named = sets.select("tid", "doc_id", "t1", "t2").join(roots, "tid", "left")
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "t1", "t2")
+    stays = named.groupBy(F.coalesce("root", "tid").alias("root")).agg(F.min(place).alias("s")).select("s.doc_id", "s.t1", "s.t2")
+    copies = rows.filter("n > 0").groupBy("doc_id", "t1", "t2").count().filter("count > 1").withColumnRenamed("count", "copies")
+    copies = written(copies, "jaccard-copies")
+    names = df.columns
+    place_of_text = names.index(text_col)
+    keyed = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], df[id_col].cast("long").alias("doc_id"))
+    kinds = ", ".join(f"{c} {t}" for c, t in keyed.dtypes)
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in byte_slices(whole, f"c{place_of_text}", SLICE):
+                texts = texts_of(batch, f"c{place_of_text}")
+                keys = _text_keys(texts)
+                blank = pa.array([not t.split() for t in texts], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), blank], names=[*batch.schema.names, "t1", "t2", "blank"])
+
+    keyed = keyed.mapInArrow(key, f"{kinds}, t1 long, t2 long, blank boolean")
+    same = lambda a, b: (a["t1"] == b["t1"]) & (a["t2"] == b["t2"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+    stays = written(stays.withColumn("_stays", F.lit(True)), "jaccard-stays")
+    found = keyed.join(stays.hint("shuffle_hash"), same(keyed, stays), "left").filter(F.col("blank") | F.col("_stays"))
+    columns = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
+    if copies.isEmpty():
+        return found.select(columns)
+    found = found.select(*[f"c{i}" for i in range(len(names))], keyed["doc_id"], keyed["t1"], keyed["t2"], "blank")
+    often = found.join(copies, same(found, copies), "left_semi").filter("not blank").dropDuplicates(["doc_id", "t1", "t2"])
+    return found.join(copies, same(found, copies), "left_anti").select(columns).unionByName(often.select(columns))
+
+
+def _linked_sets(source: DataFrame, like: Likeness, most_members: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with the key of their set, distinct sets with one text that stands for each, and (tid, root) of linked sets."""
     rows = written(_read(source, like), "jaccard-rows")
     # one text stands for a set: that of the smallest (id, text key)
     stands = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2")).alias("s")
@@ -464,9 +508,4 @@ def jaccard_groups(df: DataFrame, num: int = 90, den: int = 100, width: int = 3,
     members = groups.join(whole, "tid").select("region", "tid", "n", "items")
     links = written(_join_regions(members, like, True, most_members), "jaccard-links")
 
-    roots = connected(links)
-    named = sets.select("tid", "k1", "k2", "n", "least").join(roots.withColumnRenamed("v", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "root").select("k1", "k2", F.col("n").alias("_n"), "component_id", F.lit(True).alias("_in"))
-    out = rows.select("doc_id", "n", "k1", "k2").join(named, (F.col("n") == F.col("_n")) & rows["k1"].eqNullSafe(named["k1"]) & rows["k2"].eqNullSafe(named["k2"]), "left")
-    return out.select(rows["doc_id"].alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows, sets, connected(links).withColumnRenamed("v", "tid")
