@@ -1,4 +1,4 @@
-"""Registered queries over the graph views and their SQL."""
+"""Registered queries over the graph views, each next to its SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def query(sql: str | None = None) -> Callable[[Callable], Query]:
+    """Registers a function of (tables) under its name, with SQL that gives the same rows."""
+
+    def register(f: Callable) -> Query:
+        from graphloom.sources.graph_views import Tables
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Tables(spark, sf_dir))
+
+        _QUERIES[f.__name__] = run
+        if sql:
+            _SQL[f.__name__] = sql
+        return run
+
+    return register
+
+
+def _load() -> None:
+    from graphloom.plans import graph_queries, measure_queries, ranking_queries, text_queries  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
