@@ -129,11 +129,13 @@ def _bags(texts: list[str], most: int, rng: np.random.Generator) -> tuple[np.nda
         padded = np.concatenate([words, np.full(BAG, -1, np.int32)])
         bags.append(padded[starts[:, None] + np.arange(BAG)])
         owner.append(np.full(len(starts), i, np.int32))
-    ids, begin = subwords(list(number))
-    return ids, begin, np.concatenate(bags), np.concatenate(owner)
+    words = list(number)
+    parts = [subwords(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]  # in steps, to bound memory
+    begin = np.cumsum(np.concatenate([[0], *(np.diff(b) for _, b in parts)]))
+    return np.concatenate([g for g, _ in parts] or [np.zeros(0, np.int32)]), begin, np.concatenate(bags or [np.zeros((0, BAG), np.int32)]), np.concatenate(owner or [np.zeros(0, np.int32)])
 
 
-def train(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 4, rate: float = 0.6, bags_per_text: int = 2000, seed: int = 5) -> SubwordModel:
+def train(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 4, rate: float = 0.6, bags_per_text: int = 600, seed: int = 5) -> SubwordModel:
     """Fits n-gram vectors and the two-class softmax together by Adagrad, in ``rounds`` of choosing bags and fitting."""
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
@@ -145,7 +147,7 @@ def train(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 4, ra
     ids, begin, bags, owner = _bags(texts, bags_per_text, rng)
     if not len(ids):
         return SubwordModel(np.zeros(BUCKETS, np.float32), -10.0)
-    label = toxic[owner]
+    label = toxic.astype(np.int8)[owner]
     squares = [np.full(x.shape, 1e-6, np.float32) for x in (vectors, softmax, bias)]
 
     def ngrams(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,7 +174,7 @@ def train(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 4, ra
                 logit -= logit.max(1, keepdims=True)
                 p = np.exp(logit)
                 p /= p.sum(1, keepdims=True)
-                p[np.arange(len(part)), target[part]] -= 1
+                p[np.arange(len(part)), target[part].astype(np.int64)] -= 1
                 p *= weight[part][:, None]
                 back = (p @ softmax) * share[:, None]
                 used, place = np.unique(g, return_inverse=True)
@@ -187,8 +189,7 @@ def train(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 4, ra
         return SubwordModel((vectors @ (softmax[1] - softmax[0])).astype(np.float32), float(bias[1] - bias[0]))
 
     # all bags of toxic documents count as slightly toxic at first: n-grams that clean documents never have stand out
-    every = np.arange(len(owner))
-    some = every if len(every) <= 150_000 else np.sort(rng.choice(every, 150_000, replace=False))
+    some = np.sort(rng.choice(len(owner), min(len(owner), 150_000), replace=False))
     balance = np.where(label[some] == 1, 0.5 / max(1, (label[some] == 1).sum()), 0.5 / max(1, (label[some] == 0).sum())) * len(some)
     fit(some, label[some], balance.astype(np.float32), 2, rate / 3)
     for _ in range(rounds):
@@ -196,16 +197,19 @@ def train(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 4, ra
         value = np.concatenate([[0.0], np.cumsum(now.ngram[ids].astype(np.float64))])
         per_word = np.append(value[begin[1:]] - value[begin[:-1]], 0.0)
         n_word = np.append(np.diff(begin), 0)
-        score = sum(per_word[b] for b in bags.T) / np.maximum(1, sum(n_word[b] for b in bags.T))
+        score = (sum(per_word[b] for b in bags.T) / np.maximum(1, sum(n_word[b] for b in bags.T))).astype(np.float32)
         order = np.lexsort((-score, owner))
-        rank = np.empty(len(order), np.int64)
         fresh = np.concatenate([[0], np.flatnonzero(np.diff(owner[order])) + 1])
-        rank[order] = np.arange(len(order)) - np.repeat(fresh, np.diff(np.append(fresh, len(order))))
-        rows = np.flatnonzero(np.where(label == 1, rank == 0, rank < 4))
+        sizes = np.diff(np.append(fresh, len(order)))
+        worst = np.concatenate([order[fresh[sizes > k] + k] for k in range(4)])
+        is_first = np.concatenate([np.full((sizes > k).sum(), k == 0) for k in range(4)])
+        rows = np.sort(worst[(label[worst] == 0) | is_first])
         weight = np.where(label[rows] == 1, 1.0 / max(1, (label[rows] == 1).sum()), 1.0 / max(1, (label[rows] == 0).sum()))
         fit(rows, label[rows], (weight * len(rows) / 2).astype(np.float32), 3, rate)
     fitted = model()
-    return SubwordModel(fitted.ngram, fitted.bias - _cut(fitted.scorer().logits(texts), toxic))
+    scorer = fitted.scorer(50_000)
+    logits = np.concatenate([scorer.logits(texts[i : i + 200]) for i in range(0, len(texts), 200)])
+    return SubwordModel(fitted.ngram, fitted.bias - _cut(logits, toxic))
 
 
 def _cut(logits: np.ndarray, toxic: np.ndarray) -> float:
@@ -225,7 +229,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_chars: int = 20_000) -> tuple[list[str], np.ndarray]:
+def training_rows(documents: DataFrame, labels: DataFrame, max_rows: int = 5_000, max_chars: int = 20_000) -> tuple[list[str], np.ndarray]:
     """At most ``max_rows`` labelled texts that aren't held out and have at most ``max_chars`` characters, by hash of id.
 
     The two bounds are the training sample's and hold at every size of input; scoring reads whole texts of all rows.
