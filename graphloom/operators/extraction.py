@@ -1,4 +1,4 @@
-"""Facts from source text: declarations, imports, exports, calls, member accesses and test cases of JavaScript and
+"""Facts from source text: declarations, heritage, imports, exports, calls, members and test cases of JavaScript and
 TypeScript files, by a small scanner of its own (no parser is at hand). One Arrow pass gives all facts of a file.
 
 The scanner blanks comments and the inside of strings, keeping every line and column, and then reads statements by
@@ -29,6 +29,8 @@ _MEMBER = re.compile(rf"\b(?P<path>{_NAME}(?:\??\.{_NAME})+)(?!\s*[\w$(.`?<])")
 #: Words before a bracket that are no calls.
 _NO_CALLS = {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "import", "super", "constructor", "of", "in", "new", "delete", "void", "case", "do", "else", "async"}
 
+_HERITAGE = re.compile(rf"\b(?:class|interface)\s+(?P<name>{_NAME})(?:<[^>{{]*>)?\s+(?P<clauses>(?:extends|implements)\b[^{{]+)")
+
 FACT = "kind string, name string, detail string, specifier string, exported boolean, line int, col int, end_line int"
 FACT_NAMES = [c.split()[0] for c in FACT.split(", ")]
 
@@ -98,6 +100,11 @@ def facts_of(text: str) -> list[tuple]:
     for m in _MEMBER.finditer(code):
         path = m["path"].replace("?.", ".")
         add("member", path.rpartition(".")[2], m.start(), "env" if path.startswith("process.env.") else None, path)
+    for m in _HERITAGE.finditer(code):
+        for how, names in re.findall(r"\b(extends|implements)\s+((?:(?!\b(?:extends|implements)\b)[^{])+)", m["clauses"]):
+            for name in re.sub(r"<[^<>]*>", "", names).split(","):
+                if name := name.strip().partition(" ")[0].strip("(){}<>"):
+                    add("heritage", m["name"], m.start(), how, name)
     for m in _TEST.finditer(bare):
         if code[m.start()] != " ":
             add("test", m["title"], m.start(), m["kind"])
