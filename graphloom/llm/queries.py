@@ -121,6 +121,17 @@ t AS (
 SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM t"""
 
 
+_LINKED_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT doc_id, doc_id FROM w),
+r(v, c) AS (SELECT a, b FROM e UNION SELECT r.v, e.b FROM r JOIN e ON r.c = e.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.c) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.v = w.doc_id GROUP BY w.doc_id, n.n"""
+
+
 _REPEATS_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM w),
@@ -133,4 +144,4 @@ FROM w LEFT JOIN g USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": _REPEATS_SQL, "op8_url_filter": _url_sql(), "op9_chat_format": _CHAT_SQL}
+    return {"op4_jaccard_join": _LINKED_SQL, "op5_substring_dedup": _REPEATS_SQL, "op8_url_filter": _url_sql(), "op9_chat_format": _CHAT_SQL}
