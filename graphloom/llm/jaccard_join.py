@@ -8,8 +8,9 @@ documents hang together:
    each (shingle, size band) has a pivot, its first document, and the documents under a pivot form its region; a
    document near several pivots, or at the edge of a size band, is replicated to each region. Very frequent shingles
    come last in the order, which keeps common passages from being anyone's first shingles.
-3. Regions join on sketches: the part of each set in a fixed fraction of hash space. Sketches that differ by more than
-   whole sets may, part the documents exactly. What hangs together in a region goes on.
+3. Regions are thinned by profiles (how many of a set's shingles each of 64 hash classes has) and then join on sketches
+   (the part of each set in a fixed fraction of hash space). Profiles or sketches that differ by more than whole sets
+   may, part documents exactly. What hangs together in a region goes on.
 4. Each such group joins on whole sets, recursively: pivots inside it, Voronoi cells of the nearest pivot, windows of
    the triangle inequality that replicate documents near a border, until cells are small. A document within the radius
    of a pivot is linked to it; two documents already linked through others aren't compared again.
@@ -36,6 +37,7 @@ BITMAP_BITS = 1 << 25
 #: At most so many shingles count as very frequent: those on more than this fraction of all prefix rows.
 MOST_HOT = 1 << 20
 LEAF = 40
+CLASSES = 64
 
 _words = WordHashes()
 
@@ -98,6 +100,12 @@ class Sets:
             out.append(mixed(sums[self.begin + self.n] - sums[self.begin], salt).view(np.int64))
         return out[0], out[1]
 
+    def profiles(self) -> list[bytes]:
+        """How many shingles fall into each class, as unsigned 16-bit numbers that stop at the highest."""
+        of = self.owner * CLASSES + (self.h & np.uint64(CLASSES - 1)).astype(np.int64)
+        counts = np.bincount(of, minlength=CLASSES * len(self.n)).reshape(-1, CLASSES)
+        return [row.tobytes() for row in np.minimum(counts, 65535).astype("<u2")]
+
     def lists(self, chosen: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
         sizes = np.bincount(self.owner[chosen], minlength=len(self.n))
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values[chosen], kind))
@@ -157,11 +165,12 @@ def _read(source: DataFrame, like: Likeness) -> DataFrame:
                         pa.array(np.ascontiguousarray(keys[:, 1])),
                         s.lists(first, s.h.view(np.int64), pa.int64()),
                         s.lists(low, short, pa.int32()),
+                        pa.array(s.profiles(), pa.binary()),
                     ],
-                    names=["doc_id", "k1", "k2", "n", "t1", "t2", "first", "sketch"],
+                    names=["doc_id", "k1", "k2", "n", "t1", "t2", "first", "sketch", "profile"],
                 )
 
-    return source.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, t1 long, t2 long, first array<long>, sketch array<int>")
+    return source.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, t1 long, t2 long, first array<long>, sketch array<int>, profile binary")
 
 
 def _frequent(sets: DataFrame) -> np.ndarray:
@@ -188,14 +197,14 @@ def _reordered(source: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
             owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             yield batch.append_column("hot", pa.array(np.bincount(owner[np.isin(flat, shared.value)], minlength=batch.num_rows) > 0))
 
-    flagged = written(sets.select("tid", "n", "t1", "t2", "first").mapInArrow(marked, "tid long, n long, t1 long, t2 long, first array<long>, hot boolean"), "jaccard-flagged")
-    again = flagged.filter("hot").select("tid", "t1", "t2")
+    flagged = written(sets.select("tid", "n", "doc_id", "t1", "t2", "first").mapInArrow(marked, "tid long, n long, doc_id long, t1 long, t2 long, first array<long>, hot boolean"), "jaccard-flagged")
+    again = flagged.filter("hot").select("tid", "n", "doc_id", "t1", "t2")
     bits = spark.sparkContext.broadcast(_bitmap(again))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in byte_slices(whole, "text", SLICE):
-                texts, keys, _ = _passing(batch, bits.value)
+                texts, keys, rows = _passing(batch, bits.value)
                 if not texts:
                     continue
                 s = Sets(texts, like)
@@ -203,12 +212,18 @@ def _reordered(source: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
                 order = np.lexsort((s.h, late, s.owner))
                 s.h = s.h[order]
                 first = s.rank < like.probe(s.n)[s.owner]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), s.lists(first, s.h.view(np.int64), pa.int64())], names=["t1", "t2", "first"])
+                columns = [batch.column("doc_id").take(pa.array(rows)), pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), s.lists(first, s.h.view(np.int64), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t1", "t2", "first"])
+
+    fresh = source.mapInArrow(run, "doc_id long, t1 long, t2 long, first array<long>")
+    fresh = fresh.join(again.hint("shuffle_hash"), _same_text(fresh, again)).select("tid", "n", "first")
+    out = written(flagged.filter("not hot").select("tid", "n", "first").unionByName(fresh), "jaccard-first")
+    discard(flagged)
+    return out
 
-    fresh = source.select("text").mapInArrow(run, "t1 long, t2 long, first array<long>")
-    fresh = fresh.join(again.hint("shuffle_hash"), ["t1", "t2"]).dropDuplicates(["tid"]).select("tid", F.col("first").alias("now"))
-    out = flagged.join(fresh, "tid", "left").select("tid", "n", F.coalesce("now", "first").alias("first"))
-    return written(out, "jaccard-first")
+
+def _same_text(a: DataFrame, b: DataFrame):
+    return (a["t1"] == b["t1"]) & (a["t2"] == b["t2"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
 
 def _regions(firsts: DataFrame, like: Likeness) -> DataFrame:
@@ -368,14 +383,56 @@ class Region:
                 roots = self.union.roots()[ids]
 
 
-def _join_regions(members: DataFrame, like: Likeness, exact: bool, most: int) -> DataFrame:
-    """members (region, tid, n, items array) -> links (a, b): each member that hangs together with others, with the least.
+def _thinned(regions: DataFrame, sets: DataFrame, like: Likeness, most: int) -> DataFrame:
+    """regions (region, tid) without members whose profile and size keep them from all others of their region.
+
+    A region of more than ``most`` members stays as it is.
+    """
+    rows = regions.join(sets.select("tid", "n", "profile"), "tid").select("region", "tid", "n", "profile")
+    dealt = rows.repartition("region").sortWithinPartitions("region")
+
+    def kept(region: int, tid: list, n: list, profile: list) -> list[tuple]:
+        if len(tid) < 2 or len(tid) > most:
+            return [(region, t) for t in tid] if len(tid) > 1 else []
+        sizes = np.array(n, np.int64)
+        counts = np.frombuffer(b"".join(profile), "<u2").reshape(len(tid), CLASSES).astype(np.int32)
+        alive = np.zeros(len(tid), bool)
+        for i in range(len(tid) - 1):
+            rest = slice(i + 1, None)
+            ok = (like.den * sizes[rest] >= like.num * sizes[i]) & (like.den * sizes[i] >= like.num * sizes[rest]) & ~(alive[rest] & alive[i])
+            found = np.flatnonzero(ok) + i + 1
+            if len(found):
+                near = found[np.abs(counts[found] - counts[i]).sum(1) <= like.most_apart(sizes[found] + sizes[i])]
+                alive[near] = True
+                alive[i] |= len(near) > 0
+        return [(region, tid[i]) for i in np.flatnonzero(alive)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, tids, sizes, profiles = None, [], [], []
+        for batch in batches:
+            out: list[tuple] = []
+            for r, t, n, p in zip(*(batch.column(c).to_pylist() for c in ("region", "tid", "n", "profile"))):
+                if r != region:
+                    out += kept(region, tids, sizes, profiles)
+                    region, tids, sizes, profiles = r, [], [], []
+                tids.append(t)
+                sizes.append(n)
+                profiles.append(p if len(tids) <= most else b"")
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["region", "tid"])
+        out = kept(region, tids, sizes, profiles)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["region", "tid"])
+
+    return dealt.mapInArrow(run, "region long, tid long").distinct()
+
+
+def _join_regions(regions: DataFrame, sets: DataFrame, like: Likeness, exact: bool, most: int) -> DataFrame:
+    """regions (region, tid), sets (tid, n, items array) -> links (a, b): each member with the least it hangs together with.
 
     A region of more than ``most`` members is joined as all pairs of blocks of its members.
     """
-    spark = members.sparkSession
-    counts = members.groupBy("region").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > most)
+    counts = regions.groupBy("region").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > most)
     large = written(counts.withColumn("blocks", F.ceil(F.col("m") / (most / 2)).cast("int")), "jaccard-large")
+    members = regions.join(sets, "tid").select("region", "tid", "n", "items")
     if not large.isEmpty():
         block = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -435,7 +492,7 @@ def _whole_sets(source: DataFrame, wanted: DataFrame, like: Likeness) -> DataFra
                     )
 
     sets = source.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, items array<long>")
-    return sets.join(wanted.hint("shuffle_hash"), (sets["t1"] == wanted["t1"]) & (sets["t2"] == wanted["t2"]) & sets["doc_id"].eqNullSafe(wanted["doc_id"])).select("tid", "n", "items")
+    return sets.join(wanted.hint("shuffle_hash"), _same_text(sets, wanted)).select("tid", "n", "items")
 
 
 def jaccard_groups(df: DataFrame, num: int = 90, den: int = 100, width: int = 3, id_col: str = "doc_id", text_col: str = "text", most_members: int = 8192) -> DataFrame:
@@ -495,17 +552,15 @@ def _linked_sets(source: DataFrame, like: Likeness, most_members: int) -> tuple[
     rows = written(_read(source, like), "jaccard-rows")
     # one text stands for a set: that of the smallest (id, text key)
     stands = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2")).alias("s")
-    sets = rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("least"), stands, F.first("first").alias("first"), F.first("sketch").alias("sketch"))
-    sets = sets.select("k1", "k2", "n", "least", "s.doc_id", "s.t1", "s.t2", "first", "sketch").withColumn("tid", F.monotonically_increasing_id())
+    sets = rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("least"), stands, *[F.first(c).alias(c) for c in ("first", "sketch", "profile")])
+    sets = sets.select("k1", "k2", "n", "least", "s.doc_id", "s.t1", "s.t2", "first", "sketch", "profile").withColumn("tid", F.monotonically_increasing_id())
     sets = written(sets, "jaccard-sets")
 
-    regions = _regions(_reordered(source, sets, like), like)
-    members = regions.join(sets.select("tid", "n", F.col("sketch").alias("items")), "tid").select(F.col("pivot").alias("region"), "tid", "n", "items")
-    near = written(_join_regions(members, like, False, most_members), "jaccard-near")
-    groups = near.unionAll(near.select("a", F.col("a").alias("b"))).distinct().select(F.col("a").alias("region"), F.col("b").alias("tid"))
-    wanted = sets.join(groups.select("tid").distinct(), "tid", "left_semi").select("tid", "doc_id", "t1", "t2")
-    whole = _whole_sets(source, written(wanted, "jaccard-wanted"), like)
-    members = groups.join(whole, "tid").select("region", "tid", "n", "items")
-    links = written(_join_regions(members, like, True, most_members), "jaccard-links")
-
+    firsts = _reordered(source, sets, like)
+    regions = written(_regions(firsts, like).select(F.col("pivot").alias("region"), "tid"), "jaccard-regions")
+    regions = written(_thinned(regions, sets, like, most_members), "jaccard-thinned")
+    near = written(_join_regions(regions, sets.select("tid", "n", F.col("sketch").alias("items")), like, False, most_members), "jaccard-near")
+    groups = written(near.unionAll(near.select("a", F.col("a").alias("b"))).distinct().select(F.col("a").alias("region"), F.col("b").alias("tid")), "jaccard-groups")
+    wanted = written(sets.join(groups.select("tid").distinct(), "tid", "left_semi").select("tid", "doc_id", "t1", "t2"), "jaccard-wanted")
+    links = written(_join_regions(groups, _whole_sets(source, wanted, like), like, True, most_members), "jaccard-links")
     return rows, sets, connected(links).withColumnRenamed("v", "tid")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,12 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, lineage cut, survives lost executors.
 
-    The files go when the application ends, or earlier by ``discard``.
+    The files go when the application ends, or earlier by ``discard``. The shuffles that led to the table are garbage
+    once it stands; collecting it lets Spark's cleaner remove their files now and not when the driver next runs short.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _fs(spark, path, "deleteOnExit")
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     back = spark.read.schema(df.schema).parquet(path)
     back._graphloom_path = path
     return back
