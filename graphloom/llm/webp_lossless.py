@@ -636,7 +636,7 @@ def _write_pixels(w: Writer, pixels: np.ndarray, main: bool, cache_bits: int = 0
     w.put(int(cache_bits > 0), 1)
     if cache_bits:
         w.put(cache_bits, 4)
-    rows = [0] * 1
+    rows: list[list[int]] = []  # the group of codes of each block
     if main:
         w.put(int(meta_bits > 0), 1)
         if meta_bits:
@@ -648,9 +648,9 @@ def _write_pixels(w: Writer, pixels: np.ndarray, main: bool, cache_bits: int = 0
     tokens = _tokens(flat, width, cache_bits, runs)
     at, placed = 0, []
     for t in tokens:
-        placed.append(rows[(at // width) >> meta_bits][(at % width) >> meta_bits] if meta_bits and main else 0)
+        placed.append(rows[(at // width) >> meta_bits][(at % width) >> meta_bits] if rows else 0)
         at += t.length or 1
-    groups = max((max(r) for r in rows), default=0) + 1 if meta_bits and main else 1
+    groups = max((max(r) for r in rows), default=0) + 1
     cache_size = 1 << cache_bits if cache_bits else 0
     sizes = (256 + LENGTH_CODES + cache_size, 256, 256, 256, DISTANCE_CODES)
     counts = [[[0] * n for n in sizes] for _ in range(groups)]
