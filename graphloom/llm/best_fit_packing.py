@@ -25,15 +25,20 @@ from graphloom.llm.shared import byte_slices, discard, texts_of, written
 Bins = list[list[int]]
 
 
+#: Marks that a pre-tokenizer splits from a word they follow, and no contraction begins with.
+_MARKS = b".,;:!?"
+
+
 class ChunkTokens:
     """Token ids (little-endian unsigned 32-bit) of whole texts, by a tokenizers file.
 
-    A text is cut at ASCII white space, which the tokenizer must treat as nothing but a boundary: ``cuts`` checks that
-    its pre-tokenizer drops white space and that no token can hold any. Each distinct chunk is encoded once while the
-    bounded memo remembers it.
+    A text is cut at ASCII white space, which the tokenizer must treat as nothing but a boundary; ``cuts`` tells whether
+    it does, by trial. Each distinct chunk is encoded once while the bounded memo remembers it. If case and marks after
+    a word make no difference to the word (``plain``, by trial too), chunks are reduced to words, and new words of
+    letters alone are encoded many in one call: a token that ends a word tells where each word's ids end.
     """
 
-    def __init__(self, path: str, memo_size: int = 250_000):
+    def __init__(self, path: str, memo_size: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,11 +48,51 @@ class ChunkTokens:
         probe = "a b\n c\t\td  \r\n e.f"
         whole = self._ids([probe])[0]
         self.cuts = b"".join(self._ids(probe.split())) == whole and whole == self._ids([" \n" + probe + "\t "])[0]
+        self.ends = np.array([(self.model.id_to_token(i) or "").endswith("</w>") for i in range(self.model.get_vocab_size())])
+        words = ["Word", "ÉCOLE", "naïve", "a", "日本"]
+        marks = _MARKS.decode()
+        self.plain = self.cuts and all(b"".join(self._ids([w.encode().lower().decode(), m])) == self._ids([w + m])[0] for w in words for m in (marks, *marks)) and self._joined(words) == self._ids(words)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
         return [np.array(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
 
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, from one encoding of all of them."""
+        encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
+        ids = np.array(encode([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stop) != len(words):
+            return self._ids(words)
+        raw, stops = ids.tobytes(), stop.tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops)]
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Encodes chunks that the memo lacks, by way of the words and marks they are made of."""
+        memo, parts, letters, others = self.memo, [], {}, {}
+        for c in chunks:
+            if not self.plain or b"<|" in c:
+                others[c] = None
+                continue
+            word = c.lower().rstrip(_MARKS)
+            mark = c[len(word) :]
+            if word and mark and not word.decode().lower()[-1:].isalnum():  # then the marks run on from a sign
+                others[c] = None
+                continue
+            parts.append((c, word, mark))
+            for x in (word, mark):
+                if x and x not in memo:
+                    text = x.decode()
+                    (letters if text.isalpha() else others)[x] = text
+        for found, encode in ((letters, self._joined), (others, self._ids)):
+            keys = list(found)
+            for at in range(0, len(keys), 1000):
+                part = keys[at : at + 1000]
+                memo.update(zip(part, encode([k.decode() for k in part])))
+        for c, word, mark in parts:
+            if c not in memo:
+                memo[c] = (memo[word] if word else b"") + (memo[mark] if mark else b"")
+
     def of(self, texts: list[bytes]) -> list[bytes]:
         if not self.cuts:
             return self._ids([t.decode() for t in texts])
@@ -56,14 +101,13 @@ class ChunkTokens:
         split = [t.split() for t in texts]
         known = set().union(*split) if split else set()
         new = [c for c in known if c not in self.memo]
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            self.memo.update(zip(part, self._ids([c.decode() for c in part])))
+        self._learn(new)
         ids = self.memo.__getitem__
         out = [b"".join(map(ids, chunks)) for chunks in split]
         for c in new:
-            if len(c) > 256:
-                del self.memo[c]
+            if len(c) > 256:  # the memo is bounded in bytes too
+                for key in (c, c.lower().rstrip(_MARKS)):
+                    self.memo.pop(key, None)
         return out
 
 
