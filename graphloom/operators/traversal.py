@@ -8,9 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.sources.durable import cut
+
 
 def expand(edges: DataFrame, seeds: DataFrame, depth: int, both_ways: bool = True) -> DataFrame:
-    """(id, depth): everything within ``depth`` hops of the seeds, each at its least depth."""
+    """(id, depth): everything within ``depth`` hops of the seeds, each at its least depth.
+
+    Each hop's frontier is checkpointed: later hops read it, and what was seen, instead of doing all earlier joins again.
+    """
     steps = edges.select("from_id", "to_id")
     if both_ways:
         steps = steps.unionByName(edges.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))
@@ -18,7 +23,7 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int, both_ways: bool = Tru
     frontier = seen
     for d in range(1, depth + 1):
         reached = frontier.join(steps, F.col("id") == F.col("from_id")).select(F.col("to_id").alias("id")).distinct()
-        frontier = reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
+        frontier = cut(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(frontier)
     return seen
 
@@ -70,7 +75,7 @@ def best_first(edges: DataFrame, pairs: DataFrame, depth: int, most_steps: int =
     for _ in range(depth):
         step = front.join(edges, F.col("at") == F.col("from_id")).select("start", "from_id", "to_id", "weight").distinct()
         reach = step if reach is None else reach.unionByName(step)
-        front = step.select("start", F.col("to_id").alias("at")).distinct().join(seen, ["start", "at"], "left_anti")
+        front = cut(step.select("start", F.col("to_id").alias("at")).distinct().join(seen, ["start", "at"], "left_anti"))
         seen = seen.unionByName(front)
     work = pairs.join(reach.distinct(), "start")
 
