@@ -194,8 +194,7 @@ def train(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 4, ra
     fit(some, label[some], balance.astype(np.float32), 2, rate / 3)
     for _ in range(rounds):
         now = model()
-        value = np.concatenate([[0.0], np.cumsum(now.ngram[ids].astype(np.float64))])
-        per_word = np.append(value[begin[1:]] - value[begin[:-1]], 0.0)
+        per_word = np.append(np.add.reduceat(now.ngram[ids], begin[:-1]), np.float32(0))  # a word has one n-gram at least
         n_word = np.append(np.diff(begin), 0)
         score = (sum(per_word[b] for b in bags.T) / np.maximum(1, sum(n_word[b] for b in bags.T))).astype(np.float32)
         order = np.lexsort((-score, owner))
