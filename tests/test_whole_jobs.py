@@ -38,3 +38,9 @@ def test_out_degree_of_all_functions(spark, sql):
     got = rows_of(spark, "out_degree")
     assert got == without(sql, "out_degree", " WHERE o_orderkey < 400")
     assert len(got[1]) == sql.execute("SELECT count(DISTINCT l_orderkey) FROM lineitem").fetchone()[0]
+
+
+def test_range_overlap_of_all_files(spark, sql):
+    got = rows_of(spark, "range_overlap")
+    assert got == without(sql, "range_overlap", " WHERE x.f % 10 = 0")
+    assert {f % 10 for f, _, _ in got[1]} == set(range(10))
