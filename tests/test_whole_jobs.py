@@ -44,3 +44,14 @@ def test_range_overlap_of_all_files(spark, sql):
     got = rows_of(spark, "range_overlap")
     assert got == without(sql, "range_overlap", " WHERE x.f % 10 = 0")
     assert {f % 10 for f, _, _ in got[1]} == set(range(10))
+
+
+def test_substring_theta_join_of_all_sources_and_whole_texts(spark, sql, tmp_path):
+    passage = "one two three four five six seven eight nine ten"
+    docs = [(1, f"before {passage} after", "src7"), (2, passage, "src3"), (3, passage[:24] + " and other words", "src3"), (4, None, "src3")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = registry.queries()["substring_theta_join"](spark, str(tmp_path)).select("doc_id", "item_id")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 3), (2, 3)]
+    want = sql.execute("SELECT d.doc_id, item_id FROM documents d JOIN benchmark i ON contains(d.text, i.text) ORDER BY 1, 2").fetchall()
+    assert want and rows_of(spark, "substring_theta_join")[1] == want
