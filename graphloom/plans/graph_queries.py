@@ -192,6 +192,15 @@ def transitive_calls(t: Tables) -> DataFrame:
     return traversal.two_hop_calls(calls)
 
 
+def _parts(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_partkey").alias("id"))
+
+
+def _goals(t: Tables) -> DataFrame:
+    """(start, goal): every part with every other part within four edges."""
+    return traversal.paths(double_ring(t), _parts(t), 4).select("start", F.col("id").alias("goal")).distinct()
+
+
 PATHS = f"""WITH RECURSIVE {DOUBLE}, starts AS (SELECT p_partkey AS s FROM part WHERE p_partkey % 50 = 0),
 r(start, id, hops, path, score) AS (SELECT s, s, 0, [s], 0::BIGINT FROM starts UNION ALL
   SELECT start, to_id, hops + 1, list_append(path, to_id), score + weight - (hops + 1) FROM r JOIN g ON id = from_id WHERE hops < 4 AND NOT list_contains(path, to_id))"""
@@ -199,16 +208,15 @@ r(start, id, hops, path, score) AS (SELECT s, s, 0, [s], 0::BIGINT FROM starts U
 
 @query(PATHS + " SELECT start, count(DISTINCT id) AS reached, count(*) AS paths FROM r WHERE hops > 0 GROUP BY start")
 def path_exists_bounded(t: Tables) -> DataFrame:
-    starts = t.part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"))
-    return traversal.paths(double_ring(t), starts, 4).groupBy("start").agg(F.countDistinct("id").alias("reached"), F.count(F.lit(1)).alias("paths"))
+    """Simple paths of up to four edges from every part; the SQL above starts at every fiftieth only."""
+    return traversal.paths(double_ring(t), _parts(t), 4).groupBy("start").agg(F.countDistinct("id").alias("reached"), F.count(F.lit(1)).alias("paths"))
 
 
 @query(PATHS + """, w AS (SELECT start, id AS goal, hops, score, array_to_string(path, '>') AS path FROM r WHERE hops > 0 AND id % 7 = 0),
 b AS (SELECT *, row_number() OVER (PARTITION BY start, goal ORDER BY score DESC, hops, path) AS n FROM w) SELECT start, goal, hops, score, path FROM b WHERE n = 1""")
 def best_path_score(t: Tables) -> DataFrame:
-    starts = t.part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("start"))
-    goals = traversal.paths(double_ring(t), starts.select(F.col("start").alias("id")), 4).filter("id % 7 = 0").select("start", F.col("id").alias("goal")).distinct()
-    return traversal.best_paths(double_ring(t), goals, 4)
+    """From every part the best path to each part within four edges; the SQL above has every fiftieth start and every seventh goal only."""
+    return traversal.best_paths(double_ring(t), _goals(t), 4)
 
 
 @query()
@@ -221,7 +229,8 @@ def best_first_path(t: Tables) -> DataFrame:
   SELECT start, to_id, hops + 1, called OR kind = 'CALLS' FROM r JOIN g ON id = from_id WHERE hops < 3 AND to_id <> start)
 SELECT start, id, min(hops) AS hops FROM r WHERE called GROUP BY start, id""")
 def indirect_coverage_3hop(t: Tables) -> DataFrame:
-    return traversal.indirect_coverage(double_ring(t), t.part.filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("id")))
+    """From every part; the SQL above starts at every fifth only."""
+    return traversal.indirect_coverage(double_ring(t), _parts(t))
 
 
 @query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), e AS (SELECT p_partkey AS f, (p_partkey * 3 + 1) % n AS target FROM part, n WHERE p_partkey % 4 <> 0),

@@ -55,3 +55,40 @@ def test_substring_theta_join_of_all_sources_and_whole_texts(spark, sql, tmp_pat
     assert sorted(tuple(r) for r in found.collect()) == [(1, 3), (2, 3)]
     want = sql.execute("SELECT d.doc_id, item_id FROM documents d JOIN benchmark i ON contains(d.text, i.text) ORDER BY 1, 2").fetchall()
     assert want and rows_of(spark, "substring_theta_join")[1] == want
+
+
+def brute_paths(n, depth=4):
+    """All simple paths of 1 to depth edges on the double ring of n parts: start -> [(path, score)]."""
+    weight = {0: 40, 1: 30, 2: 30, 3: 10, 4: 1}
+    out = {i: [((i * 17 + 11) % n, weight[i % 5]), ((i + 1) % n, 40)] for i in range(n)}
+    found = {}
+    for start in range(n):
+        now = [((start,), 0)]
+        for hop in range(1, depth + 1):
+            now = [((*path, b), score + w - hop) for path, score in now for b, w in out[path[-1]] if b not in path]
+            found.setdefault(start, []).extend(now)
+    return found
+
+
+def best_of(found):
+    best = {}
+    for start, ways in found.items():
+        for path, score in ways:
+            key = (-score, len(path) - 1, ">".join(map(str, path)))
+            best[start, path[-1]] = min(best.get((start, path[-1]), key), key)
+    return sorted((a, b, hops, -score, path) for (a, b), (score, hops, path) in best.items())
+
+
+def ordered(spark, name, *columns):
+    return sorted(tuple(r) for r in registry.queries()[name](spark, DATA).select(*columns).collect())
+
+
+def test_paths_from_all_parts_to_all_goals(spark):
+    found = brute_paths(200)
+    want = sorted((s, len({p[-1] for p, _ in ways}), len(ways)) for s, ways in found.items())
+    assert ordered(spark, "path_exists_bounded", "start", "reached", "paths") == want
+    assert ordered(spark, "best_path_score", "start", "goal", "hops", "score", "path") == best_of(found)
+
+
+def test_indirect_coverage_from_all_parts(spark, sql):
+    assert rows_of(spark, "indirect_coverage_3hop") == without(sql, "indirect_coverage_3hop", " WHERE p_partkey % 5 = 0")
