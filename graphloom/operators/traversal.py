@@ -67,7 +67,7 @@ def best_first(edges: DataFrame, pairs: DataFrame, depth: int, most_steps: int =
     smaller depth; goals are noted and not expanded; the search stops after ``most_steps`` expansions.
 
     The frontier loop collects, for each start, only edges it can reach within ``depth``; the ordered search itself then
-    runs on that neighbourhood, one group per pair.
+    runs on that neighbourhood, once for each of the start's goals.
     """
     reach = None
     front = pairs.select("start", F.col("start").alias("at")).distinct()
@@ -77,13 +77,8 @@ def best_first(edges: DataFrame, pairs: DataFrame, depth: int, most_steps: int =
         reach = step if reach is None else reach.unionByName(step)
         front = cut(step.select("start", F.col("to_id").alias("at")).distinct().join(seen, ["start", "at"], "left_anti"))
         seen = seen.unionByName(front)
-    work = pairs.join(reach.distinct(), "start")
 
-    def search(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        start, goal = key
-        out: dict = {}
-        for a, b, w in sorted(zip(group["from_id"], group["to_id"], group["weight"]), key=lambda e: (-e[2], e[1])):
-            out.setdefault(a, []).append((b, w))
+    def search(start, goal, out: dict) -> tuple | None:
         queue, entered, best, steps = [(0, 0, (start,))], {start: 0}, None, 0
         while queue and steps < most_steps:
             score, hops, path = heapq.heappop(queue)
@@ -99,11 +94,18 @@ def best_first(edges: DataFrame, pairs: DataFrame, depth: int, most_steps: int =
                 elif hops + 1 < entered.get(b, depth + 1):
                     entered[b] = hops + 1
                     heapq.heappush(queue, new)
-        found = [] if best is None or start == goal else [(start, goal, best[1], -best[0], ">".join(map(str, best[2])))]
+        return None if best is None or start == goal else (start, goal, best[1], -best[0], ">".join(map(str, best[2])))
+
+    def search_all(wanted: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        out: dict = {}
+        for a, b, w in sorted(zip(near["from_id"], near["to_id"], near["weight"]), key=lambda e: (-e[2], e[1])):
+            out.setdefault(a, []).append((b, w))
+        found = [r for start, goal in dict.fromkeys(zip(wanted["wanted_by"], wanted["goal"])) if (r := search(start, goal, out))]
         return pd.DataFrame({c: pd.Series([r[i] for r in found], dtype=object) for i, c in enumerate(("start", "goal", "hops", "score", "path"))})
 
     kind = dict(pairs.dtypes)["start"]
-    return work.groupBy("start", "goal").applyInPandas(search, f"start {kind}, goal {kind}, hops long, score long, path string")
+    wanted = pairs.select(F.col("start").alias("wanted_by"), F.col("goal"))
+    return wanted.groupBy("wanted_by").cogroup(reach.distinct().groupBy("start")).applyInPandas(search_all, f"start {kind}, goal {kind}, hops long, score long, path string")
 
 
 def indirect_coverage(edges: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:

@@ -221,8 +221,8 @@ def best_path_score(t: Tables) -> DataFrame:
 
 @query()
 def best_first_path(t: Tables) -> DataFrame:
-    pairs = t.part.filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("start"), (F.col("p_partkey") + 3).alias("goal"))
-    return traversal.best_first(double_ring(t), pairs, 4)
+    """From every part to every other one within four edges."""
+    return traversal.best_first(double_ring(t), _goals(t), 4)
 
 
 @query(f"""WITH RECURSIVE {DOUBLE}, r(start, id, hops, called) AS (SELECT p_partkey, p_partkey, 0, FALSE FROM part WHERE p_partkey % 5 = 0 UNION

@@ -92,3 +92,34 @@ def test_paths_from_all_parts_to_all_goals(spark):
 
 def test_indirect_coverage_from_all_parts(spark, sql):
     assert rows_of(spark, "indirect_coverage_3hop") == without(sql, "indirect_coverage_3hop", " WHERE p_partkey % 5 = 0")
+
+
+def best_first_of(n, depth=4):
+    """Best-first searches on the double ring of n parts, one for each start and each part within depth of it."""
+    import heapq
+
+    weight = {0: 40, 1: 30, 2: 30, 3: 10, 4: 1}
+    out = {i: [((i * 17 + 11) % n, weight[i % 5]), ((i + 1) % n, 40)] for i in range(n)}
+    rows = []
+    for start, ways in brute_paths(n, depth).items():
+        for goal in {path[-1] for path, _ in ways}:
+            queue, entered, hits = [(0, 0, (start,))], {start: 0}, []
+            while queue:
+                score, hops, path = heapq.heappop(queue)
+                for b, w in sorted(out[path[-1]], key=lambda e: (-e[1], e[0])) if hops < depth else []:
+                    new = (score - w + hops + 1, hops + 1, (*path, b))
+                    if b == goal and b not in path:
+                        hits.append(new)
+                    elif b not in path and hops + 1 < entered.get(b, depth + 1):
+                        entered[b] = hops + 1
+                        heapq.heappush(queue, new)
+            if hits:
+                score, hops, path = min(hits)
+                rows.append((start, goal, hops, -score, ">".join(map(str, path))))
+    return sorted(rows)
+
+
+def test_best_first_from_all_parts_to_all_goals(spark):
+    got = ordered(spark, "best_first_path", "start", "goal", "hops", "score", "path")
+    assert got == best_first_of(200)
+    assert {s for s, *_ in got} == set(range(200))
