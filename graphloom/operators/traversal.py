@@ -117,3 +117,34 @@ def indirect_coverage(edges: DataFrame, starts: DataFrame, hops: int = 3) -> Dat
         hit = now.filter("called").select("start", "id", F.lit(hop).alias("hops"))
         out = hit if out is None else out.unionByName(hit)
     return out.groupBy("start", "id").agg(F.min("hops").alias("hops"))
+
+
+def chains(modules: DataFrame, exports: DataFrame) -> DataFrame:
+    """(origin, last, depth): where the star exports (f, target) of each module (f) lead and how many modules are seen.
+
+    A module has one target at most. A chain ends at a module without one or before a module already seen; ``last`` is
+    null in the second case. Pointers are doubled until they reach past every module, so no length is a bound.
+    """
+    every = modules.select("f").unionByName(exports.select(F.col("target").alias("f"))).distinct()
+    first = cut(every.join(exports.select("f", "target"), "f", "left").select("f", F.coalesce("target", "f").alias("to"), F.col("target").isNotNull().cast("long").alias("steps"), F.col("f").alias("least"), F.col("target").isNull().alias("ends")))
+    n = first.count()
+
+    def doubled(now: DataFrame) -> DataFrame:
+        reached, far, before, total = now, 1, -1, 0
+        while far < n and before != total:  # where all are at an end, no step is added
+            b = reached.select(F.col("f").alias("to"), F.col("to").alias("b_to"), F.col("steps").alias("b_steps"), F.col("least").alias("b_least"))
+            reached = cut(reached.join(b, "to").select("f", F.col("b_to").alias("to"), (F.col("steps") + F.col("b_steps")).alias("steps"), F.least("least", "b_least").alias("least"), "ends"))
+            far, before, total = far * 2, total, reached.agg(F.sum("steps")).first()[0]
+        return reached
+
+    whole = doubled(first)
+    ends = first.filter("ends").select(F.col("f").alias("to"))
+    # n steps on, what isn't at an end is on a circle, and every module of a circle is where some chain is then
+    turning = whole.join(ends, "to", "left_anti")
+    circle = cut(whole.join(turning.select(F.col("to").alias("f")).distinct(), "f", "left_semi").select("f", "least"))
+    size = circle.join(circle.groupBy("least").agg(F.count(F.lit(1)).alias("size")), "least").select(F.col("f").alias("to"), "size")
+    stopped = first.join(circle.select("f", F.lit(True).alias("turns")), "f", "left")
+    stopped = cut(stopped.select("f", F.when(F.col("turns"), F.col("f")).otherwise(F.col("to")).alias("to"), F.when(F.col("turns"), 0).otherwise(F.col("steps")).alias("steps"), "least", "ends"))
+    tails = doubled(stopped).join(size, "to", "left")
+    out = tails.select(F.col("f").alias("origin"), F.when(F.col("size").isNull(), F.col("to")).alias("last"), (F.col("steps") + F.coalesce("size", F.lit(1))).alias("depth"))
+    return out.join(modules.select(F.col("f").alias("origin")), "origin", "left_semi")

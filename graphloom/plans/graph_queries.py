@@ -237,13 +237,11 @@ def indirect_coverage_3hop(t: Tables) -> DataFrame:
 r(origin, f, seen) AS (SELECT p_partkey, p_partkey, [p_partkey] FROM part UNION ALL SELECT origin, target, list_append(seen, target) FROM r JOIN e USING (f) WHERE NOT list_contains(seen, target) AND len(seen) < 9)
 SELECT origin AS module, min(f) FILTER (f % 4 = 0) AS declares, max(len(seen))::BIGINT AS depth FROM r GROUP BY origin""")
 def star_reexport_recursive(t: Tables) -> DataFrame:
-    """Follows star re-exports to the modules that declare a name, never in a circle."""
+    """Follows star re-exports to the modules that declare a name, never in a circle; the SQL above stops after eight."""
     n = t.part.agg(F.count(F.lit(1)).alias("n"))
-    t.part.join(F.broadcast(n)).filter("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("f"), ((F.col("p_partkey") * 3 + 1) % F.col("n")).alias("target")).createOrReplaceTempView("star_exports")
-    t.part.select("p_partkey").createOrReplaceTempView("star_modules")
-    return t.spark.sql("""WITH RECURSIVE r(origin, f, seen) AS (SELECT p_partkey, p_partkey, array(p_partkey) FROM star_modules UNION ALL
-        SELECT origin, target, array_append(seen, target) FROM r JOIN star_exports e ON r.f = e.f WHERE NOT array_contains(seen, target) AND size(seen) < 9)
-        SELECT origin AS module, min(f) FILTER (WHERE f % 4 = 0) AS declares, CAST(max(size(seen)) AS BIGINT) AS depth FROM r GROUP BY origin""")
+    exports = t.part.join(F.broadcast(n)).filter("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("f"), ((F.col("p_partkey") * 3 + 1) % F.col("n")).alias("target"))
+    found = traversal.chains(t.part.select(F.col("p_partkey").alias("f")), exports)
+    return found.select(F.col("origin").alias("module"), F.when(F.col("last") % 4 == 0, F.col("last")).alias("declares"), "depth")
 
 
 @query(f"""WITH {REFERENCES}, e AS (SELECT from_id, to_id, owner FROM refs WHERE by_syntax)

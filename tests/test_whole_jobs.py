@@ -123,3 +123,17 @@ def test_best_first_from_all_parts_to_all_goals(spark):
     got = ordered(spark, "best_first_path", "start", "goal", "hops", "score", "path")
     assert got == best_first_of(200)
     assert {s for s, *_ in got} == set(range(200))
+
+
+@pytest.mark.parametrize("n", [200, 203, 30])
+def test_star_reexports_of_any_length(spark, tmp_path, n):
+    spark.range(n).select("id").withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    want = []
+    for origin in range(n):
+        seen = [origin]
+        while seen[-1] % 4 and (seen[-1] * 3 + 1) % n not in seen:
+            seen.append((seen[-1] * 3 + 1) % n)
+        want.append((origin, min((f for f in seen if f % 4 == 0), default=None), len(seen)))
+    assert n == 30 or max(depth for *_, depth in want) > 9
+    got = registry.queries()["star_reexport_recursive"](spark, str(tmp_path)).select("module", "declares", "depth")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
