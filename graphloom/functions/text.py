@@ -33,7 +33,7 @@ def query_words(query: Column) -> Column:
 
 def camel(words: Column) -> Column:
     """camelCase of an array of words."""
-    rest = F.transform(F.slice(words, 2, 1000), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000)))
+    rest = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
     return F.concat(F.get(words, F.lit(0)), F.array_join(rest, ""))
 
 

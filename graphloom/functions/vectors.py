@@ -10,9 +10,12 @@ from graphloom.functions.text import fnv1a, tokens
 DIM = 64
 
 
-def unit(vector: Column) -> Column:
-    """The vector over its length; a zero vector as it is."""
-    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
+def length_of(vector: Column) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
+
+
+def over(vector: Column, length: Column) -> Column:
+    """The vector over its length; a zero vector as it is. The length must be a column, or it is computed per element."""
     return F.when(length > 0, F.transform(vector, lambda x: x / length)).otherwise(vector)
 
 
@@ -24,11 +27,11 @@ def hash_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = DIM) ->
     ids = df.select(F.col(id_col).alias("_i"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
     counts = ids.select("_i", F.explode("_t").alias("t")).groupBy("_i", "t").count()
     counts = counts.groupBy("_i", (fnv1a(F.col("t")) % dim).cast("int").alias("b")).agg(F.sum("count").alias("n"))
-    filled = counts.groupBy("_i").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.coalesce(F.element_at("m", b).cast("double"), F.lit(0.0)))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    joined = ids.select("_i").join(filled, "_i", "left")
-    return joined.select(F.col("_i").alias(id_col), F.coalesce(unit(vector), zero).alias("embedding"))
+    # one bucket at most from each group, so the norm is an aggregate and a bucket's value a sum over one row
+    sums = [F.sum(F.when(F.col("b") == k, F.col("n"))).cast("double").alias(f"_v{k}") for k in range(dim)]
+    filled = counts.groupBy("_i").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("_len"), *sums)
+    vector = F.array(*[F.coalesce(F.col(f"_v{k}") / F.col("_len"), F.lit(0.0)) for k in range(dim)])
+    return ids.select("_i").join(filled, "_i", "left").select(F.col("_i").alias(id_col), vector.alias("embedding"))
 
 
 def cosine(a: Column, b: Column) -> Column:

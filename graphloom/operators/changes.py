@@ -23,8 +23,9 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def merged_edges(rows: DataFrame) -> DataFrame:
     """Edges upserted by (kind, from_id, to_id): the last scalar (by seq) wins, evidence arrays are united and sorted."""
-    union = F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence"))))
-    return rows.groupBy("kind", "from_id", "to_id").agg(F.max_by("origin", "seq").alias("origin"), F.max_by("confidence", "seq").alias("confidence"), union.alias("evidence"))
+    union = F.array_sort(F.collect_set("_each"))  # a set per edge holds at most the kinds of evidence there are; nulls aren't collected
+    each = rows.withColumn("_each", F.explode_outer("evidence"))
+    return each.groupBy("kind", "from_id", "to_id").agg(F.max_by("origin", "seq").alias("origin"), F.max_by("confidence", "seq").alias("confidence"), union.alias("evidence"))
 
 
 def reuse(wanted: DataFrame, cache: DataFrame, key: str) -> DataFrame:

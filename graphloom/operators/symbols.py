@@ -56,12 +56,23 @@ def find_symbols(nodes: DataFrame, needle: str, limit: int) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(key)).filter("n = 1").orderBy(*order).limit(limit)
 
 
-def related(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, kind: str, incoming: bool) -> DataFrame:
-    """Edges of a kind at the seeds with the node at the other end. Seeds are ids; the engine picks the join by their size."""
+def at_ends(edges: DataFrame, seeds: DataFrame | list[str], *ends: str) -> DataFrame:
+    """Edges with a seed at one of the ends. A short list of ids becomes a filter, which reaches the edges' own tables."""
+    if isinstance(seeds, list):
+        keep = F.lit(False)
+        for end in ends:
+            keep = keep | F.col(end).isin(seeds)
+        return edges.filter(keep)
+    ids = seeds.select(F.col("id").alias("_seed")).distinct()
+    parts = [edges.join(ids, F.col(end) == F.col("_seed"), "left_semi") for end in ends]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).distinct()
+
+
+def related(edges: DataFrame, nodes: DataFrame, seeds: DataFrame | list[str], kind: str, incoming: bool) -> DataFrame:
+    """Edges of a kind at the seeds with the node at the other end. Seeds are a few ids, or a table of any size."""
     near, far = ("to_id", "from_id") if incoming else ("from_id", "to_id")
-    hits = edges.filter(F.col("kind") == kind).withColumnRenamed("kind", "edge_kind").drop("repo", "origin")
-    hits = hits.join(seeds.select(F.col("id").alias("seed")).distinct(), F.col(near) == F.col("seed"))
-    return hits.join(nodes, hits[far] == nodes["id"])
+    hits = at_ends(edges.filter(F.col("kind") == kind), seeds, near).withColumnRenamed("kind", "edge_kind").drop("repo", "origin")
+    return hits.withColumn("seed", F.col(near)).join(nodes, hits[far] == nodes["id"])
 
 
 def call_rank(incoming: bool) -> Column:
@@ -80,29 +91,27 @@ def ranked_first(rows: DataFrame, rank: Column, key: list[Column], limit: int) -
     return rows.withColumn("rank", rank).withColumn("n", F.row_number().over(w)).filter("n = 1").orderBy(*order).limit(limit)
 
 
-def callers(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
+def callers(edges: DataFrame, nodes: DataFrame, seeds: DataFrame | list[str], limit: int) -> DataFrame:
     return ranked_first(related(edges, nodes, seeds, "CALLS", True), call_rank(True), [F.col("file"), F.col("name")], limit)
 
 
-def callees(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
+def callees(edges: DataFrame, nodes: DataFrame, seeds: DataFrame | list[str], limit: int) -> DataFrame:
     return ranked_first(related(edges, nodes, seeds, "CALLS", False), call_rank(False), [F.col("id")], limit)
 
 
-def references(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
+def references(edges: DataFrame, nodes: DataFrame, seeds: DataFrame | list[str], limit: int) -> DataFrame:
     """One reference per file, best first."""
     rank = F.lit(100) - flag(F.col("file_kind") == "source", 18) + flag(F.col("file_kind") == "test", 18) - flag(F.col("kind").isin("Function", "Chunk"), 14) - flag(F.coalesce(F.col("confidence") == "high", F.lit(False)), 8) - flag(F.array_contains("evidence", "compiler"), 6) - flag(F.array_contains("evidence", "module-resolution"), 22)
     return ranked_first(related(edges, nodes, seeds, "REFERENCES", True), rank, [F.coalesce("file", "id")], limit)
 
 
-def relationships(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, kinds: list[str], limit: int) -> DataFrame:
+def relationships(edges: DataFrame, nodes: DataFrame, seeds: DataFrame | list[str], kinds: list[str], limit: int) -> DataFrame:
     """Edges of the kinds in either direction at the seeds, scored (lower is better) and cut after a total order."""
-    parts = []
-    for kind in kinds:
-        for incoming in (True, False):
-            parts.append(related(edges, nodes, seeds, kind, incoming).withColumn("direction", F.lit("incoming" if incoming else "outgoing")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    hits = at_ends(edges.filter(F.col("kind").isin(kinds)), seeds, "from_id", "to_id").withColumnRenamed("kind", "edge_kind").drop("repo", "origin")
+    ends = F.explode(F.array(F.struct(F.lit("incoming").alias("direction"), F.col("to_id").alias("seed"), F.col("from_id").alias("_other")), F.struct(F.lit("outgoing").alias("direction"), F.col("from_id").alias("seed"), F.col("to_id").alias("_other"))))
+    both = hits.select("*", ends.alias("_e")).select("*", "_e.*").drop("_e")
+    both = both.filter(F.col("seed").isin(seeds)) if isinstance(seeds, list) else both.join(seeds.select(F.col("id").alias("seed")).distinct(), "seed", "left_semi")
+    rows = both.join(nodes, both["_other"] == nodes["id"]).drop("_other")
     weights = {"CALLS": 22, "REFERENCES": 18, "TESTS": 16}
     score = F.lit(100)
     for kind, w in weights.items():

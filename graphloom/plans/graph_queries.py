@@ -61,17 +61,13 @@ def symbol_rank_order(t: Tables) -> DataFrame:
 SEED = "class:7"
 
 
-def _seeds(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(SEED,)], "id string")
-
-
 @query(f"""WITH {CUSTOMERS}, {FUNCTIONS}, {CALLS},
 r AS (SELECT f.*, 100 - CASE WHEN file_kind = 'source' THEN 18 ELSE -18 END - 16 - CASE WHEN confidence = 'high' THEN 8 ELSE 0 END - CASE WHEN by_module THEN 10 ELSE 0 END - CASE WHEN by_compiler THEN 6 ELSE 0 END AS rank
   FROM calls JOIN functions f ON from_id = f.id WHERE to_id = '{SEED}'),
 d AS (SELECT *, row_number() OVER (PARTITION BY file, name ORDER BY rank, file, name, id) AS n FROM r)
 SELECT id, file, name, rank FROM d WHERE n = 1 ORDER BY rank, file, name, id LIMIT 50""")
 def callers(t: Tables) -> DataFrame:
-    return symbols.callers(edges(t, "CALLS"), nodes(t, "Function"), _seeds(t), 50).select("id", "file", "name", "rank")
+    return symbols.callers(edges(t, "CALLS"), nodes(t, "Function"), [SEED], 50).select("id", "file", "name", "rank")
 
 
 @query(f"""WITH {CLASSES}, {CALLS},
@@ -79,7 +75,7 @@ r AS (SELECT c.id, c.file, c.name, 80 - CASE WHEN confidence = 'high' THEN 8 ELS
 d AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank, file, name, id) AS n FROM r)
 SELECT id, file, name, rank FROM d WHERE n = 1 ORDER BY rank, file, name, id LIMIT 10""")
 def callees(t: Tables) -> DataFrame:
-    seeds = t.spark.createDataFrame([(f"function:{i}",) for i in (1, 2, 3, 5)], "id string")
+    seeds = [f"function:{i}" for i in (1, 2, 3, 5)]
     return symbols.callees(edges(t, "CALLS"), nodes(t, "Class"), seeds, 10).select("id", "file", "name", "rank")
 
 
@@ -89,8 +85,7 @@ r AS (SELECT f.*, 100 - CASE WHEN file_kind = 'source' THEN 18 ELSE -18 END - 14
 d AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY rank, file, name, id) AS n FROM r)
 SELECT id, file, name, rank FROM d WHERE n = 1 ORDER BY rank, file, name, id LIMIT 40""")
 def references(t: Tables) -> DataFrame:
-    seeds = t.spark.createDataFrame([("type:11",)], "id string")
-    return symbols.references(edges(t, "REFERENCES"), nodes(t, "Function"), seeds, 40).select("id", "file", "name", "rank")
+    return symbols.references(edges(t, "REFERENCES"), nodes(t, "Function"), ["type:11"], 40).select("id", "file", "name", "rank")
 
 
 @query(f"""WITH {SYMBOLS}, {CALLS}, {REFERENCES},
@@ -100,7 +95,7 @@ r AS (SELECT edge_kind, to_id AS other, 'outgoing' AS direction, confidence, by_
 SELECT edge_kind, direction, id, 100 - CASE edge_kind WHEN 'CALLS' THEN 22 ELSE 18 END - CASE WHEN confidence = 'high' THEN 8 ELSE 0 END - CASE WHEN by_compiler THEN 7 ELSE 0 END - CASE WHEN by_module THEN 7 ELSE 0 END - 5 - CASE WHEN direction = 'incoming' THEN 2 ELSE 0 END AS score
 FROM r JOIN symbols ON other = id ORDER BY score, edge_kind, file, name, id, direction LIMIT 60""")
 def relationships_either(t: Tables) -> DataFrame:
-    seeds = t.spark.createDataFrame([("function:3",), ("class:7",)], "id string")
+    seeds = ["function:3", "class:7"]
     rows = symbols.relationships(edges(t, "CALLS", "REFERENCES"), nodes(t, "Function", "Class", "TypeAlias"), seeds, ["CALLS", "REFERENCES"], 60)
     return rows.select("edge_kind", "direction", "id", "score")
 
@@ -117,7 +112,7 @@ def adjacent_interleave(t: Tables) -> DataFrame:
 
 @query("""SELECT 'chunk:' || doc_id AS id, substr(text, 1, 200) AS excerpt FROM documents WHERE source = 'src3' ORDER BY doc_id LIMIT 20""")
 def context_chunks(t: Tables) -> DataFrame:
-    found = symbols.related(edges(t, "HAS_CHUNK"), nodes(t, "Chunk"), t.spark.createDataFrame([("source:src3",)], "id string"), "HAS_CHUNK", False)
+    found = symbols.related(edges(t, "HAS_CHUNK"), nodes(t, "Chunk"), ["source:src3"], "HAS_CHUNK", False)
     return found.orderBy(F.substring_index("id", ":", -1).cast("long")).limit(20).select("id", F.substring("content", 1, 200).alias("excerpt"))
 
 
@@ -201,21 +196,21 @@ def _goals(t: Tables) -> DataFrame:
     return traversal.paths(double_ring(t), _parts(t), 4).select("start", F.col("id").alias("goal")).distinct()
 
 
-PATHS = f"""WITH RECURSIVE {DOUBLE}, starts AS (SELECT p_partkey AS s FROM part WHERE p_partkey % 50 = 0),
+PATHS = f"""WITH RECURSIVE {DOUBLE}, starts AS (SELECT p_partkey AS s FROM part),
 r(start, id, hops, path, score) AS (SELECT s, s, 0, [s], 0::BIGINT FROM starts UNION ALL
   SELECT start, to_id, hops + 1, list_append(path, to_id), score + weight - (hops + 1) FROM r JOIN g ON id = from_id WHERE hops < 4 AND NOT list_contains(path, to_id))"""
 
 
 @query(PATHS + " SELECT start, count(DISTINCT id) AS reached, count(*) AS paths FROM r WHERE hops > 0 GROUP BY start")
 def path_exists_bounded(t: Tables) -> DataFrame:
-    """Simple paths of up to four edges from every part; the SQL above starts at every fiftieth only."""
+    """Simple paths of up to four edges from every part."""
     return traversal.paths(double_ring(t), _parts(t), 4).groupBy("start").agg(F.countDistinct("id").alias("reached"), F.count(F.lit(1)).alias("paths"))
 
 
-@query(PATHS + """, w AS (SELECT start, id AS goal, hops, score, array_to_string(path, '>') AS path FROM r WHERE hops > 0 AND id % 7 = 0),
+@query(PATHS + """, w AS (SELECT start, id AS goal, hops, score, array_to_string(path, '>') AS path FROM r WHERE hops > 0),
 b AS (SELECT *, row_number() OVER (PARTITION BY start, goal ORDER BY score DESC, hops, path) AS n FROM w) SELECT start, goal, hops, score, path FROM b WHERE n = 1""")
 def best_path_score(t: Tables) -> DataFrame:
-    """From every part the best path to each part within four edges; the SQL above has every fiftieth start and every seventh goal only."""
+    """From every part the best path to each part within four edges."""
     return traversal.best_paths(double_ring(t), _goals(t), 4)
 
 
@@ -225,19 +220,19 @@ def best_first_path(t: Tables) -> DataFrame:
     return traversal.best_first(double_ring(t), _goals(t), 4)
 
 
-@query(f"""WITH RECURSIVE {DOUBLE}, r(start, id, hops, called) AS (SELECT p_partkey, p_partkey, 0, FALSE FROM part WHERE p_partkey % 5 = 0 UNION
+@query(f"""WITH RECURSIVE {DOUBLE}, r(start, id, hops, called) AS (SELECT p_partkey, p_partkey, 0, FALSE FROM part UNION
   SELECT start, to_id, hops + 1, called OR kind = 'CALLS' FROM r JOIN g ON id = from_id WHERE hops < 3 AND to_id <> start)
 SELECT start, id, min(hops) AS hops FROM r WHERE called GROUP BY start, id""")
 def indirect_coverage_3hop(t: Tables) -> DataFrame:
-    """From every part; the SQL above starts at every fifth only."""
+    """From every part."""
     return traversal.indirect_coverage(double_ring(t), _parts(t))
 
 
 @query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), e AS (SELECT p_partkey AS f, (p_partkey * 3 + 1) % n AS target FROM part, n WHERE p_partkey % 4 <> 0),
-r(origin, f, seen) AS (SELECT p_partkey, p_partkey, [p_partkey] FROM part UNION ALL SELECT origin, target, list_append(seen, target) FROM r JOIN e USING (f) WHERE NOT list_contains(seen, target) AND len(seen) < 9)
+r(origin, f, seen) AS (SELECT p_partkey, p_partkey, [p_partkey] FROM part UNION ALL SELECT origin, target, list_append(seen, target) FROM r JOIN e USING (f) WHERE NOT list_contains(seen, target))
 SELECT origin AS module, min(f) FILTER (f % 4 = 0) AS declares, max(len(seen))::BIGINT AS depth FROM r GROUP BY origin""")
 def star_reexport_recursive(t: Tables) -> DataFrame:
-    """Follows star re-exports to the modules that declare a name, never in a circle; the SQL above stops after eight."""
+    """Follows star re-exports to the modules that declare a name, never in a circle."""
     n = t.part.agg(F.count(F.lit(1)).alias("n"))
     exports = t.part.join(F.broadcast(n)).filter("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("f"), ((F.col("p_partkey") * 3 + 1) % F.col("n")).alias("target"))
     found = traversal.chains(t.part.select(F.col("p_partkey").alias("f")), exports)
@@ -274,10 +269,10 @@ def layout_self_join(t: Tables) -> DataFrame:
     return files.join(layout, "folder").filter("id <> to_id").select(F.col("id").alias("from_id"), "to_id")
 
 
-@query(f"""WITH {CALLS}, {REFERENCES}, e AS (SELECT from_id, to_id FROM calls UNION ALL SELECT from_id, to_id FROM refs),
-o AS (SELECT o_orderkey FROM orders WHERE o_orderkey < 400) SELECT from_id, count(*) AS n_out, count(DISTINCT to_id) AS n_targets FROM e JOIN o ON from_id = 'function:' || o_orderkey GROUP BY from_id""")
+@query(f"""WITH {CALLS}, {REFERENCES}, e AS (SELECT from_id, to_id FROM calls UNION ALL SELECT from_id, to_id FROM refs)
+SELECT from_id, count(*) AS n_out, count(DISTINCT to_id) AS n_targets FROM e GROUP BY from_id""")
 def out_degree(t: Tables) -> DataFrame:
-    """Edges and targets of every from_id; the SQL above reads a prefix of the ids only."""
+    """Edges and targets of every from_id."""
     return edges(t, "CALLS", "REFERENCES").groupBy("from_id").agg(F.count(F.lit(1)).alias("n_out"), F.countDistinct("to_id").alias("n_targets"))
 
 
