@@ -1,10 +1,11 @@
 """Best-fit packing of tokenized documents by a grouping genetic algorithm on distributed islands.
 
 Pieces are dealt at random into shards of a few thousand, so that a shard's last, partly filled sequence hardly counts.
-Every shard lives on several islands. An island's population starts from best-fit-decreasing packings, in perturbed
-orders but for the first. Crossover injects whole well-filled bins of one parent into the other, removes the other's bins that
-hold one of their pieces, and best-fits what that displaced. Between epochs islands of a shard pass their elites on in
-a ring. The best packing of a shard's islands is its result.
+Every shard lives on several islands. An island's population starts from pieces best-fitted in random order. Crossover
+injects whole well-filled bins of one parent into the other, removes the other's bins that hold one of their pieces,
+and best-fits what that displaced; mutation dissolves bins with free space. Between epochs islands of a shard pass
+their elites on in a ring. The best packing of a shard's islands is its result; only should the decreasing order,
+best-fitted once, need fewer bins does that one stand instead (``settled``).
 """
 
 from __future__ import annotations
@@ -181,16 +182,25 @@ def best_fit(lengths: list[int], items: list[int], size: int, bins: Bins) -> Bin
     return bins
 
 
+def _fills(lengths: list[int], bins: Bins) -> list[int]:
+    return [sum(map(lengths.__getitem__, b)) for b in bins]
+
+
 def worth(lengths: list[int], bins: Bins, size: int) -> tuple[int, float]:
     """Fewer bins first, then fuller full ones: the mean squared fill is higher if some bins are full and some empty."""
-    return -len(bins), sum((sum(map(lengths.__getitem__, b)) / size) ** 2 for b in bins) / max(1, len(bins))
+    return -len(bins), sum((f / size) ** 2 for f in _fills(lengths, bins)) / max(1, len(bins))
 
 
 def crossover(lengths: list[int], giver: Bins, taker: Bins, size: int, rng: random.Random) -> Bins:
-    """The taker with some of the giver's best-filled bins injected whole, and what that displaced best-fitted again."""
-    fills = sorted(((sum(map(lengths.__getitem__, b)), i) for i, b in enumerate(giver)), reverse=True)
-    good = [giver[i] for _, i in fills[: max(1, len(fills) // 2)]]
-    chosen = rng.sample(good, max(1, int(len(good) * rng.uniform(0.2, 0.6))))
+    """The taker with some of the giver's best-filled bins injected whole, and what that displaced best-fitted again.
+
+    Best-filled are the full ones, or, if fewer than a quarter are full, the fuller half.
+    """
+    fills = _fills(lengths, giver)
+    good = [i for i, f in enumerate(fills) if f == size]
+    if 4 * len(good) < len(giver):
+        good = sorted(range(len(giver)), key=lambda i: -fills[i])[: max(1, len(giver) // 2)]
+    chosen = [giver[i] for i in rng.sample(good, max(1, int(len(good) * rng.uniform(0.3, 0.7))))]
     taken = {x for b in chosen for x in b}
     child: Bins = [list(b) for b in chosen]
     loose: list[int] = []
@@ -199,33 +209,36 @@ def crossover(lengths: list[int], giver: Bins, taker: Bins, size: int, rng: rand
             child.append(list(b))
         else:
             loose += [x for x in b if x not in taken]
-    return best_fit(lengths, _longest_first(lengths, loose), size, child)
+    return best_fit(lengths, longest_first(lengths, loose), size, child)
 
 
 def mutate(lengths: list[int], bins: Bins, size: int, rng: random.Random) -> Bins:
-    """The emptiest bins and a few others are dissolved and their pieces best-fitted again."""
-    order = sorted(range(len(bins)), key=lambda i: sum(map(lengths.__getitem__, bins[i])))
-    n = max(1, len(bins) // 50)
-    gone = set(order[:n]) | set(rng.sample(order, min(len(order), n)))
+    """All bins with free space and a twentieth of the others are dissolved and their pieces best-fitted again."""
+    fills = _fills(lengths, bins)
+    gone = {i for i, f in enumerate(fills) if f < size} | set(rng.sample(range(len(bins)), max(1, len(bins) // 20)))
     loose = [x for i in gone for x in bins[i]]
-    return best_fit(lengths, _longest_first(lengths, loose), size, [list(b) for i, b in enumerate(bins) if i not in gone])
+    return best_fit(lengths, longest_first(lengths, loose), size, [list(b) for i, b in enumerate(bins) if i not in gone])
 
 
-def _longest_first(lengths: list[int], items: list[int]) -> list[int]:
+def longest_first(lengths: list[int], items: list[int]) -> list[int]:
     return sorted(items, key=lambda i: -lengths[i])
 
 
-def evolve(lengths: list[int], size: int, seed: int, immigrants: list[Bins], population: int = 4, offspring: int = 6) -> list[Bins]:
-    """One epoch of one island: its two best packings. It ends early at the lower bound on the number of bins."""
+def evolve(lengths: list[int], size: int, seed: int, immigrants: list[Bins], population: int = 6, generations: int = 40) -> tuple[list[Bins], int]:
+    """One epoch of one island: its two best packings, and the bins of the best one before the first generation.
+
+    Members that no immigrant provides are pieces best-fitted in random order. It ends early at the lower bound.
+    """
     rng = random.Random(seed)
     people = list(immigrants)
     least = -(-sum(lengths) // size)
     while len(people) < population and not any(len(p) == least for p in people):
-        shake = 0.0 if not people and not seed % 16 else 0.08
-        order = sorted(range(len(lengths)), key=lambda i: -lengths[i] * (1 + shake * rng.random()))
+        order = list(range(len(lengths)))
+        rng.shuffle(order)
         people.append(best_fit(lengths, order, size, []))
     ranked = sorted(((worth(lengths, p, size), k, p) for k, p in enumerate(people)), reverse=True)
-    for k in range(offspring):
+    began = -ranked[0][0][0]
+    for k in range(generations):
         if -ranked[0][0][0] == least or len(ranked) < 2:
             break
         a, b = rng.sample(ranked, 2)
@@ -233,7 +246,13 @@ def evolve(lengths: list[int], size: int, seed: int, immigrants: list[Bins], pop
         if rng.random() < 0.5:
             child = mutate(lengths, child, size, rng)
         ranked = sorted([*ranked, (worth(lengths, child, size), population + k, child)], reverse=True)[:population]
-    return [p for _, _, p in ranked[:2]]
+    return [p for _, _, p in ranked[:2]], began
+
+
+def settled(lengths: list[int], size: int, evolved: Bins) -> Bins:
+    """The evolved packing, or the decreasing order best-fitted once should that need fewer bins."""
+    plain = best_fit(lengths, longest_first(lengths, list(range(len(lengths)))), size, [])
+    return plain if len(plain) < len(evolved) else evolved
 
 
 def _placed(bins: Bins, n: int) -> list[int]:
@@ -251,27 +270,48 @@ def _bins(placed: list[int]) -> Bins:
     return out
 
 
+STATE = "shard long, island int, lengths array<int>, elites array<array<int>>, began int, bins int, squares double"
+
+
 def _epoch(state: DataFrame, size: int, epoch: int) -> DataFrame:
-    """state: shard, island, lengths, guests (packings as bin numbers). Returns it with elites and the worth of the best."""
+    """state: shard, island, lengths, guests (packings as bin numbers). Returns it with elites, the bins of the best
+    packing before (``began``) and after the epoch, and its worth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            elites, bins, squares = [], [], []
+            elites, began, bins, squares = [], [], [], []
             for shard, island, lengths, guests in zip(*(batch.column(c).to_pylist() for c in ("shard", "island", "lengths", "guests"))):
-                seed = (shard * 64 + epoch) * 16 + island
-                best = evolve(lengths, size, seed, [_bins(g) for g in guests or ()])
+                best, first = evolve(lengths, size, (shard * 64 + epoch) * 16 + island, [_bins(g) for g in guests or ()])
                 elites.append([_placed(b, len(lengths)) for b in best])
+                began.append(first)
                 bins.append(len(best[0]))
                 squares.append(worth(lengths, best[0], size)[1])
+            kept = [batch.column(c) for c in ("shard", "island", "lengths")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("shard"), batch.column("island"), batch.column("lengths"), pa.array(elites, pa.list_(pa.list_(pa.int32()))), pa.array(bins, pa.int32()), pa.array(squares, pa.float64())],
-                names=["shard", "island", "lengths", "elites", "bins", "squares"],
+                [*kept, pa.array(elites, pa.list_(pa.list_(pa.int32()))), pa.array(began, pa.int32()), pa.array(bins, pa.int32()), pa.array(squares, pa.float64())],
+                names=["shard", "island", "lengths", "elites", "began", "bins", "squares"],
             )
 
-    return state.mapInArrow(run, "shard long, island int, lengths array<int>, elites array<array<int>>, bins int, squares double")
+    return state.mapInArrow(run, STATE)
+
+
+def islands_of(whole: DataFrame, size: int, shards: int, islands: int, epochs: int) -> DataFrame:
+    """whole (shard, lengths) -> the last epoch's state. Between epochs each island's elite moves to the next one."""
+    none = F.array().cast("array<array<int>>")
+    tasks = max(1, math.ceil(shards * islands / 8))  # a number of its own, as the state is small and would be one partition
+    state = whole.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", none.alias("guests"))
+    old = None
+    for epoch in range(epochs):
+        now = written(_epoch(state.repartition(tasks, "shard", "island"), size, epoch), "pack-epoch")
+        if old is not None:
+            discard(old)
+        old = now
+        moved = now.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.slice("elites", 1, 1).alias("came"))
+        state = now.join(moved, ["shard", "island"]).select("shard", "island", "lengths", F.concat("elites", "came").alias("guests"))
+    return old
 
 
-def pack(pieces: DataFrame, size: int = 2048, shard_pieces: int = 4096, islands: int = 3, epochs: int = 2) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 2048, shard_pieces: int = 4096, islands: int = 3, epochs: int = 3) -> DataFrame:
     """pieces (id first, with ``length`` up to size) with sequence_id and offset: gapless from 0 in each sequence.
 
     Pieces are told apart as rows, so nulls, ties and repeated rows are packed like any other. An empty table gives an
@@ -284,28 +324,18 @@ def pack(pieces: DataFrame, size: int = 2048, shard_pieces: int = 4096, islands:
     ordered = F.sort_array(F.collect_list(F.struct("length", "_row", *[c for c in names if c != "length"])), asc=False)
     whole = written(rows.groupBy(shard.alias("shard")).agg(ordered.alias("rows")), "pack-shards")
     lengths = F.transform("rows", lambda r: r["length"].cast("int"))
-    none = F.array().cast("array<array<int>>")
-    state = whole.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), lengths.alias("lengths"), none.alias("guests"))
-    state = state.repartition(F.col("shard"), F.col("island"))
-    old = None
-    for epoch in range(epochs):
-        now = written(_epoch(state, size, epoch), "pack-epoch")
-        if old is not None:
-            discard(old)
-        old = now
-        if epoch + 1 < epochs:
-            moved = now.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.slice("elites", 1, 1).alias("came"))
-            state = now.join(moved, ["shard", "island"]).select("shard", "island", "lengths", F.concat("elites", "came").alias("guests"))
+    old = islands_of(whole.select("shard", lengths.alias("lengths")), size, shards, islands, epochs)
     best = old.groupBy("shard").agg(F.max_by(F.col("elites")[0], F.struct(-F.col("bins"), "squares", "island")).alias("placed"))
-    laid = whole.join(best, "shard").select("shard", F.col("rows.length").alias("lengths"), "placed", "rows")
+    laid = whole.join(best, "shard").select("shard", "placed", "rows").repartition(max(1, math.ceil(shards / 8)), "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 number = batch.column("shard")[i].as_py()
                 structs = batch.column("rows").slice(i, 1).flatten()
-                placed = np.array(batch.column("placed")[i].as_py(), np.int64)
                 size_of = structs.field("length").to_numpy(zero_copy_only=False)
+                lengths = size_of.tolist()
+                placed = np.array(_placed(settled(lengths, size, _bins(batch.column("placed")[i].as_py())), len(lengths)), np.int64)
                 order = np.argsort(placed, kind="stable")
                 ends = np.cumsum(size_of[order])
                 fresh = np.concatenate([[0], np.flatnonzero(np.diff(placed[order])) + 1])

@@ -7,7 +7,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from graphloom.llm import queries
-from graphloom.llm.best_fit_packing import ChunkTokens, best_fit, crossover, evolve, mutate, pack, pack_documents
+from graphloom.llm.best_fit_packing import ChunkTokens, best_fit, crossover, evolve, islands_of, longest_first, mutate, pack, pack_documents, settled
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 MODEL = Tokenizer.from_file(PATH)
@@ -74,7 +74,48 @@ def test_operators_keep_every_item():
         lengths = [rng.randrange(1, 101) for _ in range(rng.randrange(1, 120))]
         everything = list(range(len(lengths)))
         a, b = (best_fit(lengths, rng.sample(everything, len(everything)), 100, []) for _ in "ab")
-        for bins in (a, b, crossover(lengths, a, b, 100, rng), mutate(lengths, a, 100, rng), *evolve(lengths, 100, seed, [a])):
+        for bins in (a, b, crossover(lengths, a, b, 100, rng), mutate(lengths, a, 100, rng), *evolve(lengths, 100, seed, [a])[0]):
             assert sorted(x for y in bins for x in y) == everything
             assert all(0 < sum(lengths[x] for x in y) <= 100 for y in bins)
-        assert len(evolve(lengths, 100, seed, [a])[0]) <= len(a)
+        assert len(evolve(lengths, 100, seed, [a])[0][0]) <= len(a)
+
+
+def fewest(lengths, size):
+    """The least number of bins, by trying every bin for every item."""
+    best = len(lengths)
+
+    def place(i, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if i == len(lengths):
+            best = len(fills)
+            return
+        for j, f in enumerate(fills):
+            if f + lengths[i] <= size:
+                place(i + 1, [*fills[:j], f + lengths[i], *fills[j + 1 :]])
+        place(i + 1, [*fills, lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_as_few_bins_as_possible():
+    rng = random.Random(4)
+    for seed in range(40):
+        lengths = sorted((rng.randrange(5, 70) for _ in range(rng.randrange(1, 10))), reverse=True)
+        elites, _ = evolve(lengths, 100, seed, [])
+        assert len(settled(lengths, 100, elites[0])) == fewest(lengths, 100)
+
+
+def test_generations_and_migration_do_the_packing(spark):
+    """Islands begin with more bins than the decreasing order needs and end, by crossover and migration, with no more."""
+    rng = random.Random(5)
+    lengths = sorted((min(2048, int(rng.lognormvariate(6.3, 1)) + 1) for _ in range(3000)), reverse=True)
+    plain = len(best_fit(lengths, longest_first(lengths, list(range(3000))), 2048, []))
+    whole = spark.createDataFrame([(0, lengths), (1, lengths)], "shard long, lengths array<int>")
+    for shard in (0, 1):
+        alone = evolve(lengths, 2048, shard * 64 * 16, [])
+        assert alone[1] > plain and len(alone[0][0]) < alone[1]
+    last = islands_of(whole, 2048, 2, 3, 3).groupBy("shard").agg({"bins": "min"}).collect()
+    assert all(r["min(bins)"] <= plain for r in last)
