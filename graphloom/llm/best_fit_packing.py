@@ -15,6 +15,8 @@ import os
 import random
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,6 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.shared import byte_slices, discard, texts_of, written
 
-Bins = list[list[int]]
-
 
 #: Marks that a pre-tokenizer splits from a word they follow, and no contraction begins with.
 _MARKS = b".,;:!?"
@@ -72,43 +72,52 @@ class ChunkTokens:
         """Encodes chunks that the memo lacks, by way of the words and marks they are made of."""
         memo, parts, letters, others = self.memo, [], {}, {}
         for c in chunks:
-            if not self.plain or b"<|" in c:
-                others[c] = None
+            if not self.plain:
+                others[c] = c.decode()
                 continue
-            word = c.lower().rstrip(_MARKS)
-            mark = c[len(word) :]
-            if word and mark and not word.decode().lower()[-1:].isalnum():  # then the marks run on from a sign
-                others[c] = None
+            if c.isalpha():  # ASCII letters, so without marks
+                word, mark = c.lower(), b""
+            elif b"<|" in c:
+                others[c] = c.decode()
                 continue
-            parts.append((c, word, mark))
-            for x in (word, mark):
-                if x and x not in memo:
-                    text = x.decode()
-                    (letters if text.isalpha() else others)[x] = text
+            else:
+                word = c.lower().rstrip(_MARKS)
+                mark = c[len(word) :]
+                if word and mark and not word.decode().lower()[-1:].isalnum():  # then the marks run on from a sign
+                    others[c] = c.decode()
+                    continue
+            if mark or word != c:
+                parts.append((c, word, mark))
+            for x in (word, mark) if mark else (word,):
+                if x and x not in memo and x not in letters and x not in others:
+                    told = x.decode()
+                    (letters if told.isalpha() else others)[x] = told
         for found, encode in ((letters, self._joined), (others, self._ids)):
             keys = list(found)
             for at in range(0, len(keys), 1000):
                 part = keys[at : at + 1000]
-                memo.update(zip(part, encode([k.decode() for k in part])))
+                memo.update(zip(part, encode([found[k] for k in part])))
         for c, word, mark in parts:
-            if c not in memo:
-                memo[c] = (memo[word] if word else b"") + (memo[mark] if mark else b"")
+            memo[c] = (memo[word] if word else b"") + (memo[mark] if mark else b"")
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         if not self.cuts:
             return self._ids([t.decode() for t in texts])
-        if len(self.memo) > self.memo_size:
-            self.memo.clear()
+        memo = self.memo
+        if len(memo) > self.memo_size:
+            memo.clear()
         split = [t.split() for t in texts]
-        known = set().union(*split) if split else set()
-        new = [c for c in known if c not in self.memo]
-        self._learn(new)
-        ids = self.memo.__getitem__
+        new: dict[bytes, None] = {}
+        for chunks in split:
+            for c in filterfalse(memo.__contains__, chunks):
+                new[c] = None
+        self._learn(list(new))
+        ids = memo.__getitem__
         out = [b"".join(map(ids, chunks)) for chunks in split]
         for c in new:
             if len(c) > 256:  # the memo is bounded in bytes too
                 for key in (c, c.lower().rstrip(_MARKS)):
-                    self.memo.pop(key, None)
+                    memo.pop(key, None)
         return out
 
 
@@ -165,108 +174,123 @@ class Room:
         return bin_, free
 
 
-def best_fit(lengths: list[int], items: list[int], size: int, bins: Bins) -> Bins:
-    """bins with items, in their order, each put into the fullest bin that has room, or a new one."""
+class Packing(NamedTuple):
+    """Items by bin, and how full each bin is."""
+
+    bins: list[list[int]]
+    fills: list[int]
+
+
+def best_fit(lengths: list[int], items: list[int], size: int, start: Packing | None = None) -> Packing:
+    """``start`` with items, in their order, each put into the fullest bin that has room, or a new one."""
+    bins, fills = start or Packing([], [])
     room = Room(size)
-    for i, b in enumerate(bins):
-        room.put(i, size - sum(map(lengths.__getitem__, b)))
+    for i, f in enumerate(fills):
+        room.put(i, size - f)
     for item in items:
         n = lengths[item]
         found = room.take(n)
         if found is None:
             room.put(len(bins), size - n)
             bins.append([item])
+            fills.append(n)
         else:
-            bins[found[0]].append(item)
-            room.put(found[0], found[1] - n)
-    return bins
-
-
-def _fills(lengths: list[int], bins: Bins) -> list[int]:
-    return [sum(map(lengths.__getitem__, b)) for b in bins]
+            i, free = found
+            bins[i].append(item)
+            fills[i] += n
+            room.put(i, free - n)
+    return Packing(bins, fills)
 
 
-def worth(lengths: list[int], bins: Bins, size: int) -> tuple[int, float]:
+def worth(packing: Packing, size: int) -> tuple[int, float]:
     """Fewer bins first, then fuller full ones: the mean squared fill is higher if some bins are full and some empty."""
-    return -len(bins), sum((f / size) ** 2 for f in _fills(lengths, bins)) / max(1, len(bins))
+    n = len(packing.fills)
+    return -n, sum(f * f for f in packing.fills) / (size * size * max(1, n))
 
 
-def crossover(lengths: list[int], giver: Bins, taker: Bins, size: int, rng: random.Random) -> Bins:
+def crossover(lengths: list[int], giver: Packing, taker: Packing, size: int, rng: random.Random) -> Packing:
     """The taker with some of the giver's best-filled bins injected whole, and what that displaced best-fitted again.
 
     Best-filled are the full ones, or, if fewer than a quarter are full, the fuller half.
     """
-    fills = _fills(lengths, giver)
-    good = [i for i, f in enumerate(fills) if f == size]
-    if 4 * len(good) < len(giver):
-        good = sorted(range(len(giver)), key=lambda i: -fills[i])[: max(1, len(giver) // 2)]
-    chosen = [giver[i] for i in rng.sample(good, max(1, int(len(good) * rng.uniform(0.3, 0.7))))]
-    taken = {x for b in chosen for x in b}
-    child: Bins = [list(b) for b in chosen]
+    good = [i for i, f in enumerate(giver.fills) if f == size]
+    if 4 * len(good) < len(giver.fills):
+        good = sorted(range(len(giver.fills)), key=lambda i: -giver.fills[i])[: max(1, len(giver.fills) // 2)]
+    chosen = rng.sample(good, max(1, int(len(good) * rng.uniform(0.3, 0.7))))
+    taken = {x for i in chosen for x in giver.bins[i]}
+    child = Packing([list(giver.bins[i]) for i in chosen], [giver.fills[i] for i in chosen])
     loose: list[int] = []
-    for b in taker:
+    for b, f in zip(*taker):
         if taken.isdisjoint(b):
-            child.append(list(b))
+            child.bins.append(list(b))
+            child.fills.append(f)
         else:
             loose += [x for x in b if x not in taken]
     return best_fit(lengths, longest_first(lengths, loose), size, child)
 
 
-def mutate(lengths: list[int], bins: Bins, size: int, rng: random.Random) -> Bins:
+def mutate(lengths: list[int], packing: Packing, size: int, rng: random.Random) -> Packing:
     """All bins with free space and a twentieth of the others are dissolved and their pieces best-fitted again."""
-    fills = _fills(lengths, bins)
-    gone = {i for i, f in enumerate(fills) if f < size} | set(rng.sample(range(len(bins)), max(1, len(bins) // 20)))
-    loose = [x for i in gone for x in bins[i]]
-    return best_fit(lengths, longest_first(lengths, loose), size, [list(b) for i, b in enumerate(bins) if i not in gone])
+    n = len(packing.fills)
+    gone = {i for i, f in enumerate(packing.fills) if f < size} | set(rng.sample(range(n), max(1, n // 20)))
+    kept = [i for i in range(n) if i not in gone]
+    loose = [x for i in gone for x in packing.bins[i]]
+    return best_fit(lengths, longest_first(lengths, loose), size, Packing([list(packing.bins[i]) for i in kept], [packing.fills[i] for i in kept]))
 
 
 def longest_first(lengths: list[int], items: list[int]) -> list[int]:
     return sorted(items, key=lambda i: -lengths[i])
 
 
-def evolve(lengths: list[int], size: int, seed: int, immigrants: list[Bins], population: int = 6, generations: int = 40) -> tuple[list[Bins], int]:
+def evolve(lengths: list[int], size: int, seed: int, immigrants: list[Packing], population: int = 6, generations: int = 40, patience: int = 15) -> tuple[list[Packing], int]:
     """One epoch of one island: its two best packings, and the bins of the best one before the first generation.
 
-    Members that no immigrant provides are pieces best-fitted in random order. It ends early at the lower bound.
+    Members that no immigrant provides are pieces best-fitted in random order. It ends early at the lower bound, and
+    after ``patience`` generations without fewer bins.
     """
     rng = random.Random(seed)
     people = list(immigrants)
     least = -(-sum(lengths) // size)
-    while len(people) < population and not any(len(p) == least for p in people):
+    while len(people) < population and not any(len(p.bins) == least for p in people):
         order = list(range(len(lengths)))
         rng.shuffle(order)
-        people.append(best_fit(lengths, order, size, []))
-    ranked = sorted(((worth(lengths, p, size), k, p) for k, p in enumerate(people)), reverse=True)
-    began = -ranked[0][0][0]
+        people.append(best_fit(lengths, order, size))
+    ranked = sorted(((worth(p, size), k, p) for k, p in enumerate(people)), reverse=True)
+    began = best = -ranked[0][0][0]
+    since = 0
     for k in range(generations):
-        if -ranked[0][0][0] == least or len(ranked) < 2:
+        if best == least or len(ranked) < 2 or since == patience:
             break
         a, b = rng.sample(ranked, 2)
         child = crossover(lengths, max(a, b)[2], min(a, b)[2], size, rng)
         if rng.random() < 0.5:
             child = mutate(lengths, child, size, rng)
-        ranked = sorted([*ranked, (worth(lengths, child, size), population + k, child)], reverse=True)[:population]
+        ranked = sorted([*ranked, (worth(child, size), population + k, child)], reverse=True)[:population]
+        since = 0 if -ranked[0][0][0] < best else since + 1
+        best = -ranked[0][0][0]
     return [p for _, _, p in ranked[:2]], began
 
 
-def settled(lengths: list[int], size: int, evolved: Bins) -> Bins:
+def settled(lengths: list[int], size: int, evolved: Packing) -> Packing:
     """The evolved packing, or the decreasing order best-fitted once should that need fewer bins."""
-    plain = best_fit(lengths, longest_first(lengths, list(range(len(lengths)))), size, [])
-    return plain if len(plain) < len(evolved) else evolved
+    plain = best_fit(lengths, longest_first(lengths, list(range(len(lengths)))), size)
+    return plain if len(plain.bins) < len(evolved.bins) else evolved
 
 
-def _placed(bins: Bins, n: int) -> list[int]:
+def _placed(packing: Packing, n: int) -> list[int]:
     out = [0] * n
-    for i, b in enumerate(bins):
+    for i, b in enumerate(packing.bins):
         for x in b:
             out[x] = i
     return out
 
 
-def _bins(placed: list[int]) -> Bins:
-    out: Bins = [[] for _ in range(max(placed, default=-1) + 1)]
+def _packing(lengths: list[int], placed: list[int]) -> Packing:
+    n = max(placed, default=-1) + 1
+    out = Packing([[] for _ in range(n)], [0] * n)
     for x, i in enumerate(placed):
-        out[i].append(x)
+        out.bins[i].append(x)
+        out.fills[i] += lengths[x]
     return out
 
 
@@ -281,11 +305,11 @@ def _epoch(state: DataFrame, size: int, epoch: int) -> DataFrame:
         for batch in batches:
             elites, began, bins, squares = [], [], [], []
             for shard, island, lengths, guests in zip(*(batch.column(c).to_pylist() for c in ("shard", "island", "lengths", "guests"))):
-                best, first = evolve(lengths, size, (shard * 64 + epoch) * 16 + island, [_bins(g) for g in guests or ()])
+                best, first = evolve(lengths, size, (shard * 64 + epoch) * 16 + island, [_packing(lengths, g) for g in guests or ()])
                 elites.append([_placed(b, len(lengths)) for b in best])
                 began.append(first)
-                bins.append(len(best[0]))
-                squares.append(worth(lengths, best[0], size)[1])
+                bins.append(len(best[0].bins))
+                squares.append(worth(best[0], size)[1])
             kept = [batch.column(c) for c in ("shard", "island", "lengths")]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(elites, pa.list_(pa.list_(pa.int32()))), pa.array(began, pa.int32()), pa.array(bins, pa.int32()), pa.array(squares, pa.float64())],
@@ -335,7 +359,7 @@ def pack(pieces: DataFrame, size: int = 2048, shard_pieces: int = 4096, islands:
                 structs = batch.column("rows").slice(i, 1).flatten()
                 size_of = structs.field("length").to_numpy(zero_copy_only=False)
                 lengths = size_of.tolist()
-                placed = np.array(_placed(settled(lengths, size, _bins(batch.column("placed")[i].as_py())), len(lengths)), np.int64)
+                placed = np.array(_placed(settled(lengths, size, _packing(lengths, batch.column("placed")[i].as_py())), len(lengths)), np.int64)
                 order = np.argsort(placed, kind="stable")
                 ends = np.cumsum(size_of[order])
                 fresh = np.concatenate([[0], np.flatnonzero(np.diff(placed[order])) + 1])

@@ -73,11 +73,11 @@ def test_operators_keep_every_item():
     for seed in range(30):
         lengths = [rng.randrange(1, 101) for _ in range(rng.randrange(1, 120))]
         everything = list(range(len(lengths)))
-        a, b = (best_fit(lengths, rng.sample(everything, len(everything)), 100, []) for _ in "ab")
-        for bins in (a, b, crossover(lengths, a, b, 100, rng), mutate(lengths, a, 100, rng), *evolve(lengths, 100, seed, [a])[0]):
-            assert sorted(x for y in bins for x in y) == everything
-            assert all(0 < sum(lengths[x] for x in y) <= 100 for y in bins)
-        assert len(evolve(lengths, 100, seed, [a])[0][0]) <= len(a)
+        a, b = (best_fit(lengths, rng.sample(everything, len(everything)), 100) for _ in "ab")
+        for p in (a, b, crossover(lengths, a, b, 100, rng), mutate(lengths, a, 100, rng), *evolve(lengths, 100, seed, [a])[0]):
+            assert sorted(x for y in p.bins for x in y) == everything
+            assert [sum(lengths[x] for x in y) for y in p.bins] == p.fills and all(0 < f <= 100 for f in p.fills)
+        assert len(evolve(lengths, 100, seed, [a])[0][0].bins) <= len(a.bins)
 
 
 def fewest(lengths, size):
@@ -105,17 +105,17 @@ def test_as_few_bins_as_possible():
     for seed in range(40):
         lengths = sorted((rng.randrange(5, 70) for _ in range(rng.randrange(1, 10))), reverse=True)
         elites, _ = evolve(lengths, 100, seed, [])
-        assert len(settled(lengths, 100, elites[0])) == fewest(lengths, 100)
+        assert len(settled(lengths, 100, elites[0]).bins) == fewest(lengths, 100)
 
 
 def test_generations_and_migration_do_the_packing(spark):
     """Islands begin with more bins than the decreasing order needs and end, by crossover and migration, with no more."""
     rng = random.Random(5)
     lengths = sorted((min(2048, int(rng.lognormvariate(6.3, 1)) + 1) for _ in range(3000)), reverse=True)
-    plain = len(best_fit(lengths, longest_first(lengths, list(range(3000))), 2048, []))
+    plain = len(best_fit(lengths, longest_first(lengths, list(range(3000))), 2048).bins)
     whole = spark.createDataFrame([(0, lengths), (1, lengths)], "shard long, lengths array<int>")
     for shard in (0, 1):
         alone = evolve(lengths, 2048, shard * 64 * 16, [])
-        assert alone[1] > plain and len(alone[0][0]) < alone[1]
+        assert alone[1] > plain and len(alone[0][0].bins) < alone[1]
     last = islands_of(whole, 2048, 2, 3, 3).groupBy("shard").agg({"bins": "min"}).collect()
     assert all(r["min(bins)"] <= plain for r in last)
