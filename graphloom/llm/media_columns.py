@@ -80,17 +80,28 @@ def media_pixels(df: DataFrame, id_col: str = "doc_id", media_col: str = "media"
 
 
 def media_digests(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """What the stored media hold: id, n_bytes, and sizes and hashes of the samples read back and of the media itself."""
-    source = df.select(df[id_col].alias("id"), "n_bytes", df[media_col].alias("media"))
+    """What the stored media hold: id, n_bytes, and sizes and hashes of the samples read back and of the media itself.
+
+    Null media has nulls in all of them; media that can't be read has its own size and hash and nulls for the rest. Repeated
+    rows stay, other columns are not read, an empty table gives an empty one.
+    """
+    source = df.select(df[id_col].alias("id"), df["n_bytes"].alias("n_bytes"), df[media_col].alias("media"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in byte_slices(whole, "media", 2 << 20):
                 rows = []
                 for media in batch.column("media").to_pylist():
-                    images = load_pixels(media)
-                    payload = b"".join(map(samples_of, images))
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), features(images)))
+                    if media is None:
+                        rows.append((None,) * 6)
+                        continue
+                    stored = len(media), hashlib.sha256(media).hexdigest()
+                    try:
+                        images = load_pixels(media)
+                        payload = b"".join(map(samples_of, images))
+                        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), *stored, features(images) if images else None))
+                    except CorruptImage:
+                        rows.append((None, None, None, *stored, None))
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 columns = list(zip(*rows)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays(

@@ -1,10 +1,10 @@
 """Lossless WebP, both ways, in numpy: pixel arrays are (height, width) uint32 values 0xAARRGGBB.
 
 The decoder reads prefix codes, back-references and the colour cache, and inverts the predictor, cross-colour,
-subtract-green and palette transforms. Where an image has one group of prefix codes, it finds all symbols at once: for
-every bit position it looks up what a pixel starting there would take, which gives each position's successor, and then
-walks from the first pixel to the last. The encoder takes any choice of these features; ``store_bytes`` packs arbitrary
-bytes, four to a pixel, and ``load_bytes`` gets them back.
+subtract-green and palette transforms. Where an image has one group of prefix codes and no back-references, it finds
+all symbols at once: for every bit position it looks up what a pixel starting there would take, which gives each
+position's successor, and then walks from the first pixel to the last. The encoder takes any choice of these features;
+``store_bytes`` stores arbitrary bytes with those that make the file small, and ``load_bytes`` gets them back.
 """
 
 from __future__ import annotations
@@ -264,21 +264,25 @@ def _read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
         meta = ((small >> U32(8)) & U32(0xFFFF)).astype(np.int64)
         groups = int(meta.max()) + 1
     codes = [_read_group(r, cache_size) for _ in range(groups)]
-    if meta is None and len(np.flatnonzero(codes[0][0].lengths[256:])) == 0:
-        return _read_literals(r, codes[0], width * height).reshape(height, width)
+    first = codes[0][0]
+    if meta is None and not first.lengths[256 : 256 + LENGTH_CODES].any() and (first.only is None or first.only < 256):
+        return _read_literals(r, codes[0], width * height, cache_bits).reshape(height, width)
     return _read_symbols(r, codes, meta, meta_bits, cache_bits, width, height).reshape(height, width)
 
 
-def _read_literals(r: Reader, codes: list[Code], pixels: int, chunk: int = 1 << 17) -> np.ndarray:
-    """Pixels that are all literals, found for a chunk of bytes at a time."""
+def _read_literals(r: Reader, codes: list[Code], pixels: int, cache_bits: int = 0, chunk: int = 1 << 17) -> np.ndarray:
+    """Pixels that are all literals or cache hits, found for a chunk of bytes at a time."""
     four = codes[:4]
     if all(c.only is not None for c in four):
         g, red, b, a = (c.only for c in four)
         return np.full(pixels, (a << 24) | (red << 16) | (g << 8) | b, U32)
     widest = max(c.bits for c in four)
-    same = all(np.array_equal(c.lengths[:256], four[0].lengths[:256]) for c in four[1:])
+    hits = cache_bits > 0 and bool(four[0].lengths[256:].any())
+    # channels with equal codes share their lookups
+    like = [next(j for j in range(k + 1) if np.array_equal(four[j].lengths, c.lengths) or (not four[j].lengths[256:].any() and np.array_equal(four[j].lengths[:256], c.lengths[:256]))) for k, c in enumerate(four)]
     data = np.frombuffer(r.data, np.uint8)
     out = np.empty((pixels, 4), np.uint8)
+    slot = np.full(pixels if hits else 0, -1, np.int32)
     done = 0
     while done < pixels:
         byte = r.at >> 3
@@ -291,15 +295,19 @@ def _read_literals(r: Reader, codes: list[Code], pixels: int, chunk: int = 1 <<
         n = len(window)
         sizes: list[np.ndarray] = []
         for k, c in enumerate(four):
-            if k and same:
-                sizes.append(sizes[0])
+            if like[k] < k:
+                sizes.append(sizes[like[k]])
                 continue
             s = np.zeros(n + 320, np.intp)  # beyond the end a pixel takes no bits
             s[:n] = c.size.take(window & U32((1 << c.bits) - 1) if c.bits < widest else window)
             sizes.append(s)
         place = np.arange(n + 256)
-        for s in sizes:
+        for k, s in enumerate(sizes):
             place = place + s.take(place)
+            if hits and k == 0:
+                short, ends = place.copy(), (four[0].symbol >= 256).take(window & U32((1 << four[0].bits) - 1) if four[0].bits < widest else window)
+        if hits:
+            place[:n] = np.where(ends, short[:n], place[:n])
         place[n:] = np.arange(n, n + 256)
         two = place.take(place)
         four_on = memoryview(two.take(two))  # the walk takes four pixels a step
@@ -316,16 +324,39 @@ def _read_literals(r: Reader, codes: list[Code], pixels: int, chunk: int = 1 <<
         p_of = np.stack([each, place[each], two[each], place[two[each]]], 1).ravel()[: pixels - done]
         if p_of[-1] >= n:
             raise CorruptImage("the data ends early")
-        found = len(p_of)
+        found, following = len(p_of), int(place[p_of[-1]])
         for k, c in enumerate(four):
-            out[done : done + found, k] = c.symbol.take(window.take(p_of, mode="clip") & U32((1 << c.bits) - 1))
+            symbol = c.symbol.take(window.take(p_of, mode="clip") & U32((1 << c.bits) - 1))
+            out[done : done + found, k] = symbol
+            if hits and k == 0:
+                slot[done : done + found] = symbol - 256 - LENGTH_CODES
             p_of = p_of + sizes[k].take(p_of)
         done += found
-        r.at = byte * 8 + int(p_of[-1])
+        r.at = byte * 8 + following
         if r.at > r.end:
             raise CorruptImage("the data ends early")
     g, red, b, a = (out[:, k].astype(U32) for k in range(4))
-    return a << U32(24) | red << U32(16) | g << U32(8) | b
+    literal = a << U32(24) | red << U32(16) | g << U32(8) | b
+    return _from_cache(literal, slot, cache_bits) if hits else literal
+
+
+def cache_slots(pixels: np.ndarray, bits: int) -> np.ndarray:
+    """The place of each pixel in a colour cache."""
+    return (((pixels.astype(np.uint64) * np.uint64(HASH)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.uint16)
+
+
+def _from_cache(pixels: np.ndarray, slot: np.ndarray, bits: int) -> np.ndarray:
+    """Pixels with those of a slot of 0 or more replaced by the last pixel before that has this slot (0 if none has)."""
+    key = np.where(slot >= 0, slot, cache_slots(pixels, bits)).astype(np.uint16)
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], np.arange(len(key))
+    fresh = np.concatenate([[True], key[1:] != key[:-1]])
+    # a hit puts its own value back, so what counts is the last literal of the slot
+    last = np.maximum.accumulate(np.where(slot[order] < 0, at, -1))
+    known = last >= np.maximum.accumulate(np.where(fresh, at, 0))
+    out = np.empty_like(pixels)
+    out[order] = np.where(known, pixels[order][last], U32(0))
+    return out
 
 
 def _read_symbols(r: Reader, groups: list[list[Code]], meta: np.ndarray | None, meta_bits: int, cache_bits: int, width: int, height: int) -> np.ndarray:
@@ -772,13 +803,19 @@ def _residuals(pixels: np.ndarray, bits: int, modes: np.ndarray) -> np.ndarray:
 
 # ---- bytes as pixels ------------------------------------------------------------------------------------------------
 
-ROW = 16  # pixels, 64 bytes
+ROW = 16  # pixels, 64 bytes: the width of images with four bytes a pixel
+GREY = 64  # pixels: the width of images with one byte a pixel
 MOST_ROWS = 1 << 14
+REPEATED = 0.5  # with fewer distinct windows of 8 bytes than this share of all, bytes are stored with back-references
 
 
 def store_bytes(payload: bytes) -> bytes:
-    """Bytes, a positive multiple of 64, as WebP files end to end: four bytes a pixel (green, red, blue, alpha), 16
-    pixels a row, at most 16384 rows a file. One prefix code, made for this file's bytes, serves all four channels."""
+    """Bytes, a positive multiple of 64, as WebP files end to end of at most 16384 rows of 64 bytes.
+
+    Bytes that repeat themselves are grey pixels, one byte each, with a palette if it lets pixels be packed, and
+    back-references. Others are pixels of four bytes (green, red, blue, alpha), with a colour cache where that makes
+    the file smaller. The width, 64 or 16, tells which.
+    """
     if not payload or len(payload) % (4 * ROW):
         raise ValueError("a positive multiple of 64 bytes is needed")
     step = 4 * ROW * MOST_ROWS
@@ -787,21 +824,148 @@ def store_bytes(payload: bytes) -> bytes:
 
 def _store(payload: bytes) -> bytes:
     samples = np.frombuffer(payload, np.uint8)
-    lengths = code_lengths(np.bincount(samples, minlength=256).tolist())
+    counts = np.bincount(samples, minlength=256)
+    if np.count_nonzero(counts) <= 16 or _distinct_windows(samples) < REPEATED:
+        return _store_grey(samples, counts)
+    return _store_pixels(samples, counts)
+
+
+def _distinct_windows(samples: np.ndarray) -> float:
+    windows = np.lib.stride_tricks.sliding_window_view(samples, 8)
+    key = np.ascontiguousarray(windows).view("<u8").ravel() * np.uint64(0x9E3779B97F4A7C15)
+    short = np.sort((key >> np.uint64(32)).astype(np.uint32))
+    return (1 + np.count_nonzero(short[1:] != short[:-1])) / len(short)
+
+
+def _bits_of(counts: np.ndarray) -> float:
+    """About what symbols with these counts take, their code's header included."""
+    used = counts[counts > 0].astype(np.float64)
+    return float((used * np.log2(used.sum() / used)).sum()) + 4 * len(used) if len(used) else 0.0
+
+
+def _store_pixels(samples: np.ndarray, counts: np.ndarray) -> bytes:
     w = Writer()
-    _start(w, ROW, len(samples) // (4 * ROW))
-    w.put(0, 3)  # no transform, no colour cache, one group of codes
-    header = _header(lengths)
-    for _ in range(4):
-        w.small += header
-    w.small += _header([1])
-    if sum(map(bool, lengths)) > 1:
-        sizes, codes = np.array(lengths), codes_of(np.array(lengths))
-        size, value = sizes[samples], codes[samples]
-        w.put_all(value[::2] | value[1::2] << size[::2], size[::2] + size[1::2])  # two symbols have up to 30 bits
+    pixels = len(samples) // 4
+    _start(w, ROW, pixels // ROW)
+    bits = min(10, max(4, pixels.bit_length() - 1))
+    hit, slot = _cache_hits(samples.view("<u4"), bits)
+    literal = samples.reshape(-1, 4)[~hit]
+    green = np.concatenate([np.bincount(literal[:, 0], minlength=256 + LENGTH_CODES), np.bincount(slot[hit], minlength=1 << bits)])
+    rest = np.bincount(literal[:, 1:].ravel(), minlength=256)
+    cached = _bits_of(green) + _bits_of(rest) < 0.97 * _bits_of(counts)
+    w.put(0, 1)  # no transform
+    w.put(int(cached), 1)
+    if cached:
+        w.put(bits, 4)
+    else:
+        green = rest = counts
+    w.put(0, 1)  # one group of codes
+    lengths = [code_lengths(c.tolist()) for c in (green, rest)] if cached else [code_lengths(counts.tolist())] * 2
+    headers = [_header(n) for n in (lengths if cached else lengths[:1])]
+    w.small += headers[0] + 3 * headers[-1] + _header([1])
+    (size, code), (size3, code3) = (_table(n) for n in lengths)
+    if not cached:
+        value, n = code[samples], size[samples]
+        w.put_all(value[::2] | value[1::2] << n[::2], n[::2] + n[1::2])  # two symbols have up to 30 bits
+        return _file(w.bytes())
+    first = np.where(hit, slot.astype(np.int64) + 256 + LENGTH_CODES, samples[::4])
+    values, sizes = np.empty((pixels, 2), np.int64), np.empty((pixels, 2), np.int64)
+    red, blue, alpha = (samples[k::4] for k in (1, 2, 3))
+    values[:, 0] = code[first] | np.where(hit, 0, code3[red]) << size[first]
+    sizes[:, 0] = size[first] + np.where(hit, 0, size3[red])
+    values[:, 1] = np.where(hit, 0, code3[blue] | code3[alpha] << size3[blue])
+    sizes[:, 1] = np.where(hit, 0, size3[blue] + size3[alpha])
+    w.put_all(values.ravel(), sizes.ravel())
     return _file(w.bytes())
 
 
+def _table(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, code) of each symbol; a lone symbol takes no bits."""
+    sizes = np.array(lengths, np.int64)
+    return (sizes, codes_of(sizes)) if np.count_nonzero(sizes) > 1 else (np.zeros_like(sizes), np.zeros_like(sizes))
+
+
+def _cache_hits(quads: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pixels a colour cache has when they come, and every pixel's slot. Bytes lie as green, red, blue, alpha."""
+    green, red, blue, alpha = (quads >> U32(8 * k) & U32(255) for k in range(4))
+    pixels = alpha << U32(24) | red << U32(16) | green << U32(8) | blue
+    slot = cache_slots(pixels, bits)
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(len(pixels), bool)
+    hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+    return hit, slot
+
+
+def _store_grey(samples: np.ndarray, counts: np.ndarray) -> bytes:
+    w = Writer()
+    _start(w, GREY, len(samples) // GREY)
+    used = np.flatnonzero(counts)
+    green, width = samples, GREY
+    if len(used) <= 16:
+        packed = _packing(len(used))
+        w.put(1, 1)
+        w.put(PALETTE, 2)
+        w.put(len(used) - 1, 8)
+        _write_pixels(w, _steps(used.astype(U32) << U32(8) | U32(0xFF000000)).reshape(1, -1), False)
+        rank = np.zeros(256, np.int64)
+        rank[used] = np.arange(len(used))
+        green = (rank[samples].reshape(-1, 1 << packed) << (np.arange(1 << packed) * (8 >> packed))).sum(1).astype(np.uint8)
+        width = GREY >> packed
+    w.put(0, 1)
+    w.put(0, 2)  # no cache, one group
+    near = {_distance(c + 1, width): c + 1 for c in reversed(range(len(NEAR)))}
+    steps = []  # (symbol, length's extra bits, their number, distance's prefix, its extra bits, their number)
+    for at, length, back in _matches(green.tobytes()):
+        if not length:
+            steps += [(g, 0, 0, -1, 0, 0) for g in green[at:back].tolist()]  # literals from at to back
+        else:
+            (a, av, an), (b, bv, bn) = _prefix(length), _prefix(near.get(back, back + len(NEAR)))
+            steps.append((256 + a, av, an, b, bv, bn))
+    t = np.array(steps, np.int64)
+    far = t[:, 3] >= 0
+    lengths = [code_lengths(np.bincount(t[:, 0], minlength=256 + LENGTH_CODES).tolist()), code_lengths(np.bincount(t[far, 3], minlength=DISTANCE_CODES).tolist())]
+    w.small += _header(lengths[0])
+    for value in (0, 0, 255):
+        w.small += _header([int(s == value) for s in range(256)])
+    w.small += _header(lengths[1])
+    (size, code), (size_d, code_d) = (_table(n) for n in lengths)
+    d = np.where(far, t[:, 3], 0)
+    values = np.stack([code[t[:, 0]] | t[:, 1] << size[t[:, 0]], np.where(far, code_d[d], 0), t[:, 4]], 1)
+    sizes = np.stack([size[t[:, 0]] + t[:, 2], np.where(far, size_d[d], 0), t[:, 5]], 1)
+    w.put_all(values.ravel(), sizes.ravel())
+    return _file(w.bytes())
+
+
+def _matches(data: bytes, least: int = 8, most: int = 4096):
+    """A greedy parse: (at, 0, end) of literals and (at, length, back) of the latest match of ``least`` bytes or more."""
+    n = len(data)
+    before = np.full(n, -1)
+    if n >= least:
+        key = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), least)).view(f"<u{least}").ravel()
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+    starts = np.flatnonzero(before >= 0)
+    following = starts[np.minimum(np.searchsorted(starts, np.arange(n)), len(starts) - 1)] if len(starts) else np.full(n, -1)
+    at = 0
+    while at < n:
+        begin = int(following[at])
+        if begin < at:
+            yield at, 0, n
+            return
+        if begin > at:
+            yield at, 0, begin
+        source, length = int(before[begin]), least
+        while length < most and begin + length < n and data[source + length : source + length + 64] == data[begin + length : begin + length + 64]:
+            length += 64
+        end = min(n - begin, most)
+        length = min(length, end)
+        while length < end and data[source + length] == data[begin + length]:
+            length += 1
+        yield begin, length, begin - source
+        at = begin + length
+
+
 def load_pixels(media: bytes) -> list[np.ndarray]:
     """The images of files end to end."""
     out, at = [], 0
@@ -817,6 +981,8 @@ def load_pixels(media: bytes) -> list[np.ndarray]:
 def samples_of(pixels: np.ndarray) -> bytes:
     """The bytes that ``store_bytes`` put into an image."""
     flat = pixels.ravel()
+    if pixels.shape[1] == GREY:
+        return (flat >> U32(8)).astype(np.uint8).tobytes()
     out = np.empty((len(flat), 4), np.uint8)
     for k, shift in enumerate((8, 16, 0, 24)):
         out[:, k] = flat >> U32(shift)

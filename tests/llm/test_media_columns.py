@@ -39,3 +39,6 @@ def test_pixels(spark):
     assert got[1]["images"][0]["pixels"] == pixels.ravel().tolist() and (got[1]["images"][0]["width"], got[1]["images"][0]["height"]) == (7, 9)
     assert got[2]["images"] is None and got[2]["problem"] is None
     assert got[3]["images"] is None and got[3]["problem"] and got[4]["problem"]
+    told = {r["doc_id"]: r for r in media_digests(df.selectExpr("doc_id", "5L n_bytes", "media")).collect()}
+    assert told[1]["payload_bytes"] == 9 * 7 * 4 and told[2]["media_bytes"] is None and told[2]["n_bytes"] == 5
+    assert told[3]["media_bytes"] == 4 and told[3]["payload_sha256"] is None and told[4]["payload_sha256"] is None

@@ -90,6 +90,48 @@ def test_speed_of_the_walk():
     assert len(media) < 0.6 * len(payload) and time.process_time() - start < 5
 
 
+def test_what_is_stored_how():
+    """Bytes of each sort come back, and the features meant for them are in the file."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlucmfwypvbgkqjxz", k=rng.randrange(2, 9))) for _ in range(400)]
+    prose = " ".join(rng.choice(words[:9]) if rng.random() < 0.3 else "".join(rng.choices("etaoinshrdlucmfwypvbgkqjxz", k=rng.randrange(2, 9))) for _ in range(9000)).encode()
+    line = " ".join(rng.sample(words, 20)).encode() + b"\n"
+    for raw, width, feature in ((prose, W.ROW, "cache"), (line * 300 + prose[:2000], W.GREY, "runs"), (b"ok no " * 500, W.GREY, "palette"), (bytes(64), W.GREY, "palette")):
+        payload = raw + bytes(-len(raw) % 64)
+        media = W.store_bytes(payload)
+        assert W.load_bytes(media) == payload and W.load_pixels(media)[0].shape[1] == width
+        r = W.Reader(media[20:])
+        r.at = 40
+        transform = r.read(1)
+        assert transform == int(feature == "palette")
+        if feature != "palette":
+            assert r.read(1) == int(feature == "cache")
+        assert len(media) < (0.65 if feature == "cache" else 0.2) * len(payload) + 60
+
+
+def test_cache_hits_found_at_once_or_one_by_one():
+    rng = np.random.default_rng(6)
+    few = rng.integers(0, 1 << 32, 50, np.uint64).astype(np.uint32)
+    for bits in (1, 4, 10):
+        for size in (3, 40, 3000):
+            pixels = np.where(rng.random((size, 16)) < 0.7, rng.choice(few, (size, 16)), rng.integers(0, 1 << 32, (size, 16), np.uint64).astype(np.uint32))
+            media = W.encode(pixels, cache_bits=bits)
+            assert (W.decode(media) == pixels).all()
+            codes_of_one = W._read_literals
+            try:  # the same file by the reader that takes one symbol after the other
+                W._read_literals = lambda r, codes, n, cache_bits=0: W._read_symbols(r, [codes], None, 0, cache_bits, n, 1)
+                assert (W.decode(media) == pixels).all()
+            finally:
+                W._read_literals = codes_of_one
+
+
+def test_a_file_of_another_program():
+    """The smallest lossless file browsers are probed with: one pixel."""
+    import base64
+
+    assert W.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")).shape == (1, 1)
+
+
 def test_corrupt():
     good = W.encode(image(np.random.default_rng(4), 20, 20, "noise"))
     for bad in (b"", good[:30], b"RIFF" + good[4:20], good[:4] + b"xxxx" + b"WEBX" + good[12:], good[:20] + b"\0" + good[21:]):
