@@ -4,18 +4,23 @@ Jaccard distance is a metric. Two documents are linked within a radius; the join
 documents hang together:
 
 1. Equal sets become one.
-2. Pivots. In hash order, sets within the radius share one of their first few shingles and have similar sizes. So
+2. First pivots. In hash order, sets within the radius share one of their first few shingles and have similar sizes. So
    each (shingle, size band) has a pivot, its first document, and the documents under a pivot form its region; a
    document near several pivots, or at the edge of a size band, is replicated to each region. Very frequent shingles
    come last in the order, which keeps common passages from being anyone's first shingles.
 3. Regions are thinned by profiles (how many of a set's shingles each of 64 hash classes has) and then join on sketches
-   (the part of each set in a fixed fraction of hash space). Profiles or sketches that differ by more than whole sets
-   may, part documents exactly. What hangs together in a region goes on.
-4. Each such group joins on whole sets, recursively: pivots inside it, Voronoi cells of the nearest pivot, windows of
-   the triangle inequality that replicate documents near a border, until cells are small. A document within the radius
-   of a pivot is linked to it; two documents already linked through others aren't compared again.
-
-Groups larger than a task should hold are joined as pairs of blocks, which is exact whatever their shape.
+   (the part of each set in a fixed fraction of hash space; symmetric difference is a metric too). Profiles or sketches
+   that differ by more than whole sets may, part documents exactly. What hangs together in a region goes on to a join
+   on whole sets.
+4. Both joins go the same way (``Region``): pivots, each the farthest from those before; a Voronoi cell for each, with
+   the documents nearest to it and, by the triangle inequality, those less than twice the radius farther from it than
+   from their own pivot; a cell for the documents far from all pivots; and each cell joined in the same way, until it
+   has a few documents. A document within the radius of a pivot is linked to it; two documents already linked through
+   others aren't compared again.
+
+A region larger than a task should hold is parted by the same pivots, cells and windows as a distributed step, turn by
+turn (``_parted``): documents within the radius of a cell's pivot hang together by it, so only the cell's others are
+compared with all. What cells can't part (all at about the same distance) is joined as pairs of blocks, exactly as well.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import connected
@@ -36,7 +41,12 @@ SLICE = 2 << 20
 BITMAP_BITS = 1 << 25
 #: At most so many shingles count as very frequent: those on more than this fraction of all prefix rows.
 MOST_HOT = 1 << 20
-LEAF = 40
+#: A cell of so many documents is compared pair by pair.
+LEAF = 3
+PIVOTS = 16
+#: Of a region to be parted about so many documents are candidates for pivots.
+SAMPLE = 512
+TURNS = 3
 CLASSES = 64
 
 _words = WordHashes()
@@ -70,6 +80,27 @@ class Likeness:
         return np.floor(np.log(np.maximum(n, 1)) / width).astype(np.int64)
 
 
+    def reach(self, n: np.ndarray, exact: bool) -> np.ndarray:
+        """No set linked with one of size n is farther from it."""
+        if exact:
+            return np.full(len(n), 1 - self.num / self.den + 1e-9)
+        return (n + n * self.den / self.num) * (self.den - self.num) / (self.den + self.num) + 1e-6
+
+
+def windows(place: np.ndarray, reach: np.ndarray, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which cells documents are in, by their distances to pivots: (near some pivot, in the cell of each, far from all).
+
+    Of two linked documents both near a pivot, each is less than twice the reach farther from the other's pivot than
+    from its own, so both are in a cell together. If one is far from all pivots, the other is almost as far, and both
+    are among the far ones. If no document is far, none needs that cell. Sketches have no greatest distance: none are far.
+    """
+    nearest = place.min(axis=1)
+    edge = 1 - 3 * reach[0] if exact and reach[0] < 0.25 else np.inf  # a wide radius leaves no room between near and far
+    near = nearest <= edge
+    inside = near[:, None] & (place <= (nearest + 2 * reach)[:, None])
+    return near, inside, np.zeros(len(near), bool) if near.all() else nearest > edge - reach
+
+
 class Sets:
     """Shingle sets of many texts, sorted by hash, end to end."""
 
@@ -301,62 +332,77 @@ class Region:
     """The members of one region, as sorted arrays end to end, joined recursively by pivots.
 
     ``sizes`` are those of whole sets. If the arrays are whole sets (``exact``), distance is Jaccard's and the radius
-    1 - num/den; for sketches it is the symmetric difference, a lower bound of that of whole sets.
+    1 - num/den; for sketches it is the symmetric difference, a lower bound of that of whole sets. ``cells`` and ``far``
+    count the Voronoi cells that were joined and how often documents far from all pivots went on by themselves.
     """
 
     def __init__(self, arrays: list[np.ndarray], sizes: np.ndarray, like: Likeness, exact: bool):
         self.arrays, self.sizes, self.like, self.exact = arrays, sizes, like, exact
         self.held = np.fromiter(map(len, arrays), np.int64, len(arrays))
         self.union = Union(len(arrays))
+        self.cells = self.far = 0
 
-    def _apart(self, x: int, ids: np.ndarray, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Symmetric difference of member x and each of ids, whose arrays are in flat from begin on."""
-        own = self.arrays[x]
+    def apart(self, own: np.ndarray, ids: np.ndarray, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Symmetric difference of a sorted array and those of each of ids, which are in flat from begin on."""
         if not len(own) or not len(flat):
-            return self.held[x] + self.held[ids]
+            return len(own) + self.held[ids]
         at = np.searchsorted(own, flat)
         at[at == len(own)] = 0
         hits = np.concatenate([[0], np.cumsum(own[at] == flat)])
-        return self.held[x] + self.held[ids] - 2 * (hits[begin + self.held[ids]] - hits[begin])
-
-    def _linked(self, x: int, ids: np.ndarray, apart: np.ndarray) -> np.ndarray:
-        return apart <= self.like.most_apart(self.sizes[x] + self.sizes[ids])
-
-    def _distance(self, x: int, ids: np.ndarray, apart: np.ndarray) -> np.ndarray:
-        return 2 * apart / np.maximum(1, self.held[x] + self.held[ids] + apart) if self.exact else apart.astype(float)
-
-    def _radius(self, x: int, ids: np.ndarray) -> np.ndarray | float:
-        if self.exact:
-            return 1 - self.like.num / self.like.den + 1e-9
-        return self.like.most_apart(self.sizes[x] + self.sizes[ids]) + 0.5
+        return len(own) + self.held[ids] - 2 * (hits[begin + self.held[ids]] - hits[begin])
+
+    def linked(self, size: int, ids: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        return apart <= self.like.most_apart(size + self.sizes[ids])
+
+    def distance(self, held: int, ids: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        return 2 * apart / np.maximum(1, held + self.held[ids] + apart) if self.exact else apart.astype(float)
+
+    def laid(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The arrays of ids end to end, and where each begins."""
+        return np.concatenate([self.arrays[i] for i in ids]), np.cumsum(self.held[ids]) - self.held[ids]
+
+    def pivots(self, ids: np.ndarray, most: int, flat: np.ndarray, begin: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """Pivots, each the farthest from those before, and the distance of each id to each. Who is within the radius
+        of a pivot is joined to it; pivots end early where all hang together or no id is away from all of them."""
+        chosen, columns, at = [], [], 0
+        nearest = np.full(len(ids), np.inf)
+        while len(chosen) < most and nearest[at] > 0:
+            p = int(ids[at])
+            apart = self.apart(self.arrays[p], ids, flat, begin)
+            if (near := ids[self.linked(self.sizes[p], ids, apart)]).size:
+                self.union.join(p, near)
+                if len(near) == len(ids) and not chosen:
+                    return [p], self.distance(self.held[p], ids, apart)[:, None]
+            chosen.append(p)
+            columns.append(self.distance(self.held[p], ids, apart))
+            nearest = np.minimum(nearest, columns[-1])
+            at = int(nearest.argmax())
+        return chosen, np.stack(columns, 1)
 
     def roots(self) -> np.ndarray:
         self._join(np.arange(len(self.arrays)), 0)
         return self.union.roots()
 
     def _join(self, ids: np.ndarray, depth: int) -> None:
-        if len(ids) < 2 or len(set(self.union.roots()[ids].tolist())) == 1:
-            return
-        flat = np.concatenate([self.arrays[i] for i in ids])
-        begin = np.cumsum(self.held[ids]) - self.held[ids]
-        k = min(16, max(2, len(ids) // 24)) if len(ids) > LEAF else 0
-        pivots = ids[np.linspace(0, len(ids) - 1, k).astype(int)] if k else ids[:0]
-        columns = []
-        for p in pivots.tolist():
-            apart = self._apart(p, ids, flat, begin)
-            if (near := ids[self._linked(p, ids, apart)]).size:
-                self.union.join(p, near)
-            columns.append(self._distance(p, ids, apart))
-        place = np.array(columns).T.reshape(len(ids), k)
-        if k and depth < 12:
-            widest = 2 * (self._radius(0, ids[:1]) if self.exact else self.like.most_apart(2 * self.sizes[ids].max()) + 0.5)
-            nearest = place.min(axis=1)
-            cells = [ids[place[:, j] <= nearest + widest] for j in range(k)]  # own cell, and windows at its borders
-            if sum(len(c) ** 2 for c in cells) < 0.5 * len(ids) ** 2:
-                for cell in cells:
-                    self._join(cell, depth + 1)
+        """Joins ids; those far from all pivots go on in this loop, cells one level down."""
+        whole = self.union.roots
+        while len(ids) > 1 and (whole()[ids] != whole()[ids[0]]).any():
+            flat, begin = self.laid(ids)
+            if len(ids) <= LEAF or depth > 12:
+                return self._scan(ids, flat, begin, np.empty((len(ids), 0)))
+            _, place = self.pivots(ids, min(PIVOTS, max(2, len(ids) // 4)), flat, begin)
+            if (whole()[ids] == whole()[ids[0]]).all():
                 return
-        self._scan(ids, flat, begin, place)
+            _, inside, far = windows(place, self.like.reach(self.sizes[ids], self.exact), self.exact)
+            cells = [ids[inside[:, j]] for j in range(place.shape[1])]
+            # parts whose squares sum to less than the whole's are worth taking, and keep all of the recursion below n²
+            if sum(len(c) ** 2 for c in cells) + far.sum() ** 2 > 0.8 * len(ids) ** 2:
+                return self._scan(ids, flat, begin, place)
+            for cell in cells:
+                self.cells += 1
+                self._join(cell, depth + 1)
+            self.far += int(far.any())
+            ids = ids[far]
 
     def _scan(self, ids: np.ndarray, flat: np.ndarray, begin: np.ndarray, place: np.ndarray) -> None:
         """All pairs that the pivots' windows and the sizes leave and that aren't linked through others yet."""
@@ -368,16 +414,15 @@ class Region:
             ok = roots[rest] != roots[i]
             ok &= (den * sizes[rest] >= num * sizes[i]) & (den * sizes[i] >= num * sizes[rest])
             if place.shape[1] and ok.any():
-                ok &= np.abs(place[rest] - place[i]).max(axis=1) <= self._radius(x, ids[rest])
+                ok &= np.abs(place[rest] - place[i]).max(axis=1) <= self.like.reach(sizes[i : i + 1], self.exact)
             found = np.flatnonzero(ok) + i + 1
             if not len(found):
                 continue
             if 4 * len(found) > len(ids):
-                apart = self._apart(x, ids, flat, begin)[found]
+                apart = self.apart(self.arrays[x], ids, flat, begin)[found]
             else:
-                some = ids[found]
-                apart = self._apart(x, some, np.concatenate([self.arrays[j] for j in some]), np.cumsum(self.held[some]) - self.held[some])
-            near = ids[found][self._linked(x, ids[found], apart)]
+                apart = self.apart(self.arrays[x], ids[found], *self.laid(ids[found]))
+            near = ids[found][self.linked(sizes[i], ids[found], apart)]
             if len(near):
                 self.union.join(x, near)
                 roots = self.union.roots()[ids]
@@ -386,14 +431,19 @@ class Region:
 def _thinned(regions: DataFrame, sets: DataFrame, like: Likeness, most: int) -> DataFrame:
     """regions (region, tid) without members whose profile and size keep them from all others of their region.
 
-    A region of more than ``most`` members stays as it is.
+    A region of more than ``most`` members stays as it is, and isn't gathered.
     """
+    large = regions.groupBy("region").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > most).select("region")
+    large = written(large, "jaccard-large")
+    as_is = None if large.isEmpty() else regions.join(large, "region", "left_semi").select("region", "tid")
+    if as_is is not None:
+        regions = regions.join(large, "region", "left_anti")
     rows = regions.join(sets.select("tid", "n", "profile"), "tid").select("region", "tid", "n", "profile")
     dealt = rows.repartition("region").sortWithinPartitions("region")
 
     def kept(region: int, tid: list, n: list, profile: list) -> list[tuple]:
-        if len(tid) < 2 or len(tid) > most:
-            return [(region, t) for t in tid] if len(tid) > 1 else []
+        if len(tid) < 2:
+            return []
         sizes = np.array(n, np.int64)
         counts = np.frombuffer(b"".join(profile), "<u2").reshape(len(tid), CLASSES).astype(np.int32)
         alive = np.zeros(len(tid), bool)
@@ -417,63 +467,194 @@ def _thinned(regions: DataFrame, sets: DataFrame, like: Likeness, most: int) ->
                     region, tids, sizes, profiles = r, [], [], []
                 tids.append(t)
                 sizes.append(n)
-                profiles.append(p if len(tids) <= most else b"")
+                profiles.append(p)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["region", "tid"])
         out = kept(region, tids, sizes, profiles)
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["region", "tid"])
 
-    return dealt.mapInArrow(run, "region long, tid long").distinct()
+    thin = dealt.mapInArrow(run, "region long, tid long").distinct()
+    return thin if as_is is None else thin.unionByName(as_is)
+
+
+MEMBER = ("region", "tid", "n", "items")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], key: str, exact: bool) -> Iterator[tuple[dict[str, np.ndarray], list[np.ndarray]]]:
+    """(other columns, items) of the rows of each key; rows come sorted by it."""
+    kind, signed = (np.uint64, np.int64) if exact else (np.uint32, np.int32)
+
+    def whole(parts: list) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
+        if len(parts) == 1:
+            return parts[0]
+        return {c: np.concatenate([p[0][c] for p in parts]) for c in parts[0][0]}, [x for p in parts for x in p[1]]
+
+    last, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column("items")
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(signed).view(kind)
+        items = np.split(flat, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1])
+        columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != "items"}
+        keys = columns[key]
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and keys[a] != last:
+                yield whole(held)
+                held = []
+            last = keys[a]
+            held.append(({c: v[a:b] for c, v in columns.items()}, items[a:b]))
+    if held:
+        yield whole(held)
+
+
+def _list_array(arrays: list[np.ndarray], exact: bool) -> pa.Array:
+    sizes = np.fromiter(map(len, arrays), np.int64, len(arrays))
+    signed = np.int64 if exact else np.int32
+    flat = np.concatenate(arrays).view(signed) if len(arrays) else np.zeros(0, signed)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+
+
+def _parted(todo: DataFrame, like: Likeness, exact: bool, most: int) -> tuple[DataFrame, DataFrame]:
+    """todo: members (region, tid, n, items) of regions of more than ``most``. Returns members of regions that a task can
+    hold, and links (a, b) of pivots with members within the radius.
+
+    A turn deals each region over tasks, with its pivots in each. A cell whose members all hang together by its pivot is
+    done; in one where few don't, these go to every block of the others, with the pivot; larger ones are parted again.
+    A region that cells don't part stays whole: in blocks like that, or as pairs of blocks.
+    """
+    kinds = dict(todo.dtypes)
+    ready: list[DataFrame] = []
+    links: list[DataFrame] = []
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, arrays in _grouped(batches, "region", exact):
+            ids = np.arange(len(arrays))
+            r = Region(arrays, rows["n"], like, exact)
+            chosen, _ = r.pivots(ids, PIVOTS, *r.laid(ids))
+            yield pa.RecordBatch.from_arrays([*(pa.array(rows[c][chosen]) for c in ("region", "tid", "n")), _list_array([arrays[i] for i in chosen], exact)], names=list(MEMBER))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, arrays in _grouped(batches, "part", exact):
+            lead, ids = np.flatnonzero(rows["lead"]).tolist(), np.flatnonzero(~rows["lead"])
+            if not len(ids):
+                continue
+            r, tids, n = Region(arrays, rows["n"], like, exact), rows["tid"], len(ids)
+            flat, begin = r.laid(ids)
+            apart = [r.apart(arrays[p], ids, flat, begin) for p in lead]
+            ball = np.array([r.linked(r.sizes[p], ids, a) for p, a in zip(lead, apart)]).reshape(len(lead), n).T
+            place = np.array([r.distance(r.held[p], ids, a) for p, a in zip(lead, apart)]).reshape(len(lead), n).T
+            _, inside, far = windows(place, like.reach(r.sizes[ids], exact), exact) if lead else (None, None, np.ones(n, bool))
+            region = int(rows["region"][0])
+            for j in (*range(len(lead)), -1):
+                some = np.flatnonzero(inside[:, j] if j >= 0 else far)
+                if len(some):
+                    n = len(some)
+                    pivot = pa.array([int(tids[lead[j]])] * n if j >= 0 else [None] * n, pa.int64())
+                    tied = pa.array(ball[some, j] if j >= 0 else np.zeros(n, bool))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([region] * n, pa.int64()), pa.array(tids[ids[some]]), pa.array(r.sizes[ids[some]]), _list_array([arrays[i] for i in ids[some]], exact), pivot, tied],
+                        names=[*MEMBER, "pivot", "tied"],
+                    )
+
+    shape = f"region long, tid long, n long, items {kinds['items']}"
+    for turn in range(TURNS):
+        sizes = written(todo.groupBy("region").agg(F.count(F.lit(1)).alias("m")), "jaccard-sizes")
+        counted = todo.join(sizes, "region")
+        chance = F.pmod(F.xxhash64("tid", F.lit(turn)), F.lit(1 << 20)) * F.col("m")
+        sample = counted.filter(chance < F.lit(SAMPLE << 20)).select(*MEMBER)
+        chosen = written(sample.repartition("region").sortWithinPartitions("region", "tid").mapInArrow(pick, shape), "jaccard-pivots")
+        blocks = F.ceil(F.col("m") / most).cast("int")
+        part = lambda salt: F.xxhash64("region", salt)
+        own = counted.select(*MEMBER, F.lit(False).alias("lead"), part(F.pmod(F.xxhash64("tid"), blocks).cast("int")).alias("part"))
+        led = chosen.join(sizes, "region").select(*MEMBER, F.lit(True).alias("lead"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("salt")).select(*MEMBER, "lead", part(F.col("salt")).alias("part"))
+        dealt = own.unionByName(led).repartition("part").sortWithinPartitions("part")
+        cells = written(dealt.mapInArrow(deal, f"{shape}, pivot long, tied boolean"), "jaccard-cells")
+        links.append(cells.filter("tied AND pivot <> tid").select(F.col("pivot").alias("a"), F.col("tid").alias("b")))
+        of = cells.groupBy("region", "pivot").agg(F.count_if("tied").alias("tied_by"), F.count_if(~F.col("tied")).alias("loose"))
+        whole, loose = F.col("tied_by") + F.col("loose"), F.col("loose")
+        work = F.sum(F.when(loose > 0, whole * F.least(2 * loose, whole)).otherwise(0))
+        most_tied = F.max(F.struct("tied_by", "pivot"))
+        per = of.groupBy("region").agg(work.alias("work"), most_tied.alias("best")).join(sizes, "region")
+        # cells are taken if that leaves clearly less to compare than the region itself, so turns add up to a bounded sum
+        per = written(per.select(F.col("region").alias("r"), "m", (F.col("work") <= F.col("m") * F.col("m") * 0.5).alias("parts"), F.col("best.tied_by").alias("best"), F.col("best.pivot").alias("best_pivot")), "jaccard-regions-parted")
+
+        def settle(loose: Column, whole: Column, last: bool) -> Column:
+            rest = "pairs" if last else "again"
+            return F.when(loose == 0, "done").when(whole <= most, "ready").when(loose <= most // 2, "blocks").otherwise(rest)
+
+        last = turn == TURNS - 1
+        ways = of.join(per.filter("parts"), F.col("region") == F.col("r")).select(F.col("region").alias("r"), F.col("pivot").alias("p"), "tied_by", whole.alias("w"), settle(loose, whole, last).alias("way"))
+        ways = written(ways.filter("way <> 'done'"), "jaccard-ways")
+        taken = cells.join(ways, (F.col("region") == F.col("r")) & F.col("pivot").eqNullSafe(F.col("p"))).withColumn("region", F.xxhash64("region", F.coalesce("pivot", F.lit(-1)), F.lit(turn)))
+        # a region that cells don't part stays whole, with the pivot that ties most of it
+        single = per.filter("not parts").withColumn("way", settle(F.col("m") - F.col("best"), F.col("m"), True)).filter("way <> 'done'")
+        single = written(single, "jaccard-single")
+        by_best = cells.filter("tied").select(F.col("region").alias("cr"), F.col("pivot").alias("cp"), F.col("tid").alias("ct"))
+        kept = todo.join(single, F.col("region") == F.col("r")).join(by_best, (F.col("region") == F.col("cr")) & (F.col("best_pivot") == F.col("cp")) & (F.col("tid") == F.col("ct")), "left")
+        columns = [*MEMBER, "pivot", "tied", "tied_by", "w", "way"]
+        kept = kept.select(*MEMBER, F.col("best_pivot").alias("pivot"), F.col("ct").isNotNull().alias("tied"), F.col("best").alias("tied_by"), F.col("m").alias("w"), "way")
+        both = taken.select(columns).unionByName(kept)
+        ready.append(both.filter("way = 'ready'").select(*MEMBER))
+        count = F.ceil(F.col("tied_by") / (most // 2)).cast("int")
+        where = F.when(F.col("tied") & (F.col("pivot") != F.col("tid")), F.array(F.pmod(F.xxhash64("tid"), count).cast("int"))).otherwise(F.sequence(F.lit(0), count - 1))
+        spread = both.filter("way = 'blocks'").withColumn("block", F.explode(where))
+        ready.append(spread.withColumn("region", F.xxhash64("region", "block")).select(*MEMBER))
+        ready.append(_block_pairs(both.filter("way = 'pairs'").withColumn("m", F.col("w")), most))
+        if last or ways.filter("way = 'again'").isEmpty():
+            break
+        todo = written(taken.filter("way = 'again'").select(*MEMBER), "jaccard-again")
+    out, tied = ready[0], links[0]
+    for more in ready[1:]:
+        out = out.unionByName(more)
+    for more in links[1:]:
+        tied = tied.unionByName(more)
+    return out, tied
+
+
+def _block_pairs(members: DataFrame, most: int) -> DataFrame:
+    """members (with ``m``, the size of their region) as a region for each pair of blocks of their region."""
+    blocks = F.ceil(F.col("m") / (most / 2)).cast("int")
+    own = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
+    split = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return split.withColumn("region", F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))).select(*MEMBER)
 
 
 def _join_regions(regions: DataFrame, sets: DataFrame, like: Likeness, exact: bool, most: int) -> DataFrame:
     """regions (region, tid), sets (tid, n, items array) -> links (a, b): each member with the least it hangs together with.
 
-    A region of more than ``most`` members is joined as all pairs of blocks of its members.
+    A region of more than ``most`` members is parted first.
     """
     counts = regions.groupBy("region").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > most)
-    large = written(counts.withColumn("blocks", F.ceil(F.col("m") / (most / 2)).cast("int")), "jaccard-large")
-    members = regions.join(sets, "tid").select("region", "tid", "n", "items")
+    large = written(counts.select("region"), "jaccard-large")
+    members, tied = regions.join(sets, "tid").select(*MEMBER), None
     if not large.isEmpty():
-        block = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        split = members.join(large, "region").withColumn("block", block).withColumn("other", other)
-        split = split.withColumn("region", F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")))
-        members = members.join(large, "region", "left_anti").select("region", "tid", "n", "items").unionByName(split.select("region", "tid", "n", "items"))
-    kind = np.uint64 if exact else np.uint32
-    signed = np.int64 if exact else np.int32
-
-    def finish(tids: list, sizes: list, arrays: list) -> tuple[np.ndarray, np.ndarray]:
-        tid, first = np.unique(np.array(tids, np.int64), return_index=True)
-        roots = Region([arrays[i] for i in first], np.array(sizes, np.int64)[first], like, exact).roots()
-        moved = np.flatnonzero(roots != np.arange(len(tid)))
-        return tid[roots[moved]], tid[moved]
+        parts, tied = _parted(written(members.join(large, "region", "left_semi").select(*MEMBER), "jaccard-todo"), like, exact, most)
+        members = members.join(large, "region", "left_anti").select(*MEMBER).unionByName(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, tids, sizes, arrays = None, [], [], []
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            keys = batch.column("region").to_numpy()
-            tid, n = batch.column("tid").to_numpy(), batch.column("n").to_numpy()
-            lists = batch.column("items")
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(signed).view(kind)
-            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
-            for i in range(batch.num_rows):
-                if keys[i] != region:
-                    if len(tids) > 1:
-                        out.append(finish(tids, sizes, arrays))
-                    region, tids, sizes, arrays = keys[i], [], [], []
-                tids.append(tid[i])
-                sizes.append(n[i])
-                arrays.append(np.array(flat[ends[i - 1] if i else 0 : ends[i]]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out]), pa.int64()) for k in (0, 1)], names=["a", "b"])
-                out = []
-        if len(tids) > 1:
-            a, b = finish(tids, sizes, arrays)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        def flushed() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in (0, 1)], names=["a", "b"])
+            out.clear()
+            return made
+
+        for rows, arrays in _grouped(batches, "region", exact):
+            if len(arrays) < 2:
+                continue
+            tid, first = np.unique(rows["tid"], return_index=True)
+            roots = Region([arrays[i] for i in first], rows["n"][first], like, exact).roots()
+            moved = np.flatnonzero(roots != np.arange(len(tid)))
+            out.append((tid[roots[moved]], tid[moved]))
+            if len(out) >= 4096:
+                yield flushed()
+        if out:
+            yield flushed()
 
     dealt = members.repartition("region").sortWithinPartitions("region")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    found = dealt.mapInArrow(run, "a long, b long")
+    return (found if tied is None else found.unionByName(tied)).distinct()
 
 
 def _whole_sets(source: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame:
@@ -495,7 +676,7 @@ def _whole_sets(source: DataFrame, wanted: DataFrame, like: Likeness) -> DataFra
     return sets.join(wanted.hint("shuffle_hash"), _same_text(sets, wanted)).select("tid", "n", "items")
 
 
-def jaccard_groups(df: DataFrame, num: int = 90, den: int = 100, width: int = 3, id_col: str = "doc_id", text_col: str = "text", most_members: int = 8192) -> DataFrame:
+def jaccard_groups(df: DataFrame, num: int = 90, den: int = 100, width: int = 3, id_col: str = "doc_id", text_col: str = "text", most_members: int = 1024) -> DataFrame:
     """Per row: id, n_shingles and component_id, the smallest id that links lead to from this row's document.
 
     A-Z is lower-cased; a text with fewer than ``width`` words is one shingle; one without words has none and is linked
@@ -512,7 +693,7 @@ def jaccard_groups(df: DataFrame, num: int = 90, den: int = 100, width: int = 3,
     return out.select(rows["doc_id"].alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each_group(df: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text", most_members: int = 8192) -> DataFrame:
+def one_of_each_group(df: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text", most_members: int = 1024) -> DataFrame:
     """One row of each group of linked documents, all columns as they are: that of the smallest id (null last, then by
     a hash of the text; of rows equal in both any). Rows without words are linked with nothing and all stay."""
     source = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))

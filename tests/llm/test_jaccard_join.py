@@ -65,7 +65,7 @@ def edited(rng, words, n):
 @pytest.mark.parametrize("num,width,most", [(80, 5, 8192), (90, 3, 12), (60, 1, 30), (100, 2, 8192)])
 def test_clusters_around_the_threshold(spark, num, width, most, monkeypatch):
     rng = random.Random(num)
-    monkeypatch.setattr(jaccard_join, "LEAF", 8)
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 40)
     bases = [[f"w{rng.randrange(300)}" for _ in range(rng.randrange(30, 90))] for _ in range(6)]
     texts = [edited(rng, rng.choice(bases), rng.randrange(5)) for _ in range(260)]
     shared = " ".join(f"common{i}" for i in range(40))
@@ -105,6 +105,56 @@ def test_region_matches_all_pairs():
         assert len(set(zip(roots.tolist(), want))) == len(set(roots.tolist())) == len(set(want))
 
 
+@pytest.mark.parametrize("num", [60, 80, 90])
+def test_cells_and_windows_do_the_join(num):
+    """Clusters, a chain from one to another, and unrelated sets: the cells are taken, and the answer is that of all pairs."""
+    rng = np.random.default_rng(num)
+    like = Likeness(num, 100, 1)
+    arrays = []
+    for k in range(14):
+        base = rng.choice(5000, 80, replace=False) + 10_000 * k
+        for _ in range(30):
+            s = set(base.tolist()) - set(rng.choice(base, rng.integers(0, 12), replace=False).tolist())
+            arrays.append(np.array(sorted(s | set(rng.integers(300_000, 400_000, rng.integers(0, 8)).tolist())), np.uint64))
+    step = np.arange(900_000, 900_200)
+    arrays += [step[i : i + 100].astype(np.uint64) for i in range(0, 100, 2)]
+    arrays += [np.unique(rng.integers(0, 1 << 40, 60)).astype(np.uint64) for _ in range(200)]
+    arrays = [arrays[i] for i in rng.permutation(len(arrays))]
+    region = Region(arrays, np.array([len(a) for a in arrays]), like, True)
+    roots = region.roots()
+    assert num == 60 or region.cells > 10 and region.far > 0
+    index, up = {}, list(range(len(arrays)))
+    find = lambda x: x if up[x] == x else find(up[x])
+    for i, a in enumerate(arrays):
+        shared = {}
+        for x in a.tolist():
+            for j in index.setdefault(x, []):
+                shared[j] = shared.get(j, 0) + 1
+            index[x].append(i)
+        for j, both in shared.items():
+            if 100 * both >= num * (len(a) + len(arrays[j]) - both):
+                up[find(i)] = find(j)
+    want = [find(i) for i in range(len(arrays))]
+    assert len(set(zip(roots.tolist(), want))) == len(set(roots.tolist())) == len(set(want))
+
+
+def test_regions_larger_than_a_task_should_hold(spark, monkeypatch):
+    """A group of near copies, its fringe and unrelated texts with the same opening, parted over tasks."""
+    rng = random.Random(9)
+    taken = []
+    parted = jaccard_join._parted
+    monkeypatch.setattr(jaccard_join, "_parted", lambda todo, *rest: taken.append(todo.count()) or parted(todo, *rest))
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 30)
+    base = [f"b{i}" for i in range(60)]
+    texts = [edited(rng, base, rng.randrange(4)) for _ in range(150)]
+    texts += [edited(rng, base, rng.randrange(4, 14)) for _ in range(60)]
+    texts += [" ".join([f"{rng.randrange(10**6)}" for _ in range(50)]) for _ in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for num, width in ((80, 1), (90, 2)):
+        assert got(jaccard_groups(df, num, 100, width, most_members=40)) == brute(df.collect(), num, 100, width)
+    assert taken and all(n > 40 for n in taken)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(200, 100), (100, 150), (7, 7), (None, 3), (300, 301), (301, 300)]
     out = {r["v"]: r["root"] for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
