@@ -27,6 +27,7 @@ from graphloom.llm.word_hashes import Runs, WordHashes, mixed
 SLICE = 2 << 20
 #: Bits of the bitmap that turns texts away; beyond some tens of millions of survivors it turns away fewer, never wrongly.
 BITMAP_BITS = 1 << 25
+MOST_OFTEN = 1024
 
 _words = WordHashes()
 
@@ -160,9 +161,20 @@ def _bitmap(wanted: DataFrame) -> np.ndarray:
     return out
 
 
-def _repeated(rows: DataFrame, *more: Column) -> DataFrame:
-    """The hashes ``h`` that rows have more than once."""
-    return rows.groupBy("h").agg(F.count(F.lit(1)).alias("_n"), *more).filter("_n > 1").drop("_n")
+def _of_repeated(rows: DataFrame, shown: DataFrame, total: DataFrame, *more: Column) -> DataFrame:
+    """The rows whose hash ``h`` shown has more than once, with what more says of that hash. total: one row, how many
+    rows shown has.
+
+    A hash on more than a MOST_OFTEN-th of them is one of fewer than MOST_OFTEN: those are broadcast, so that the rows
+    of no single hash are dealt to one task.
+    """
+    found = written(shown.groupBy("h").agg(F.count(F.lit(1)).alias("_n"), *more).filter("_n > 1"), "repeats-found")
+    often = [r["h"] for r in found.filter(F.col("_n") > (total.first()[0] or 0) // MOST_OFTEN).select("h").collect()]
+    if not often:
+        return rows.join(found.drop("_n"), "h")
+    hot = F.col("h").isin(often)
+    some = rows.filter(~hot).join(found.filter(~hot).drop("_n"), "h")
+    return some.unionByName(rows.filter(hot).join(F.broadcast(found.filter(hot).drop("_n")), "h"))
 
 
 def _double(fetched: DataFrame, size: int, part: int) -> DataFrame:
@@ -255,21 +267,21 @@ def _decide(source: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFra
     texts = written(texts.withColumn("tid", F.monotonically_increasing_id()), "repeats-texts")
 
     runs = texts.select("tid", F.explode(F.arrays_zip("h", "at")).alias("r")).select("tid", "r.h", "r.at")
-    alive = runs.join(_repeated(runs.select("h")), "h", "left_semi").groupBy("tid").agg(F.collect_list("at").alias("alive"))
+    alive = _of_repeated(runs, runs.select("h"), texts.agg(F.sum(F.size("h")))).groupBy("tid").agg(F.collect_list("at").alias("alive"))
     alive = written(texts.select("tid", "k1", "k2", "doc_id", "copies").join(alive, "tid"), "repeats-alive")
 
     halves = written(_double(_fetch(source, alive), size, part), "repeats-halves")
     each = halves.select("tid", F.explode(F.arrays_zip("h", "code")).alias("r")).select("tid", "r.h", "r.code")
-    twice = _repeated(each.select("h", "tid"), F.min("tid").alias("first"))
     code = F.col("code") * 2 - F.col("code") % 4 + F.when(F.col("first") == F.col("tid"), 4).otherwise(0)
-    codes = each.join(twice, "h").groupBy("tid").agg(F.collect_list(code).alias("codes"))
+    twice = _of_repeated(each, each.select("h", "tid"), halves.agg(F.sum(F.size("h"))), F.min("tid").alias("first"))
+    codes = twice.groupBy("tid").agg(F.collect_list(code).alias("codes"))
     codes = written(alive.drop("alive").join(codes, "tid"), "repeats-codes")
     discard(halves)
 
     ends = written(_ends(_fetch(source, codes), size, part), "repeats-ends")
     asked = ends.select("tid", F.explode(F.arrays_zip("asked", "at")).alias("r")).select("tid", F.col("r.asked").alias("h"), "r.at")
-    repeated = _repeated(ends.select(F.explode(F.concat("asked", "shown")).alias("h")))
-    hits = asked.join(repeated, "h", "left_semi").groupBy("tid").agg(F.collect_list("at").alias("hits"))
+    shown = ends.select(F.explode(F.concat("asked", "shown")).alias("h"))
+    hits = _of_repeated(asked, shown, ends.agg(F.sum(F.size("asked") + F.size("shown")))).groupBy("tid").agg(F.collect_list("at").alias("hits"))
     none = F.array().cast("array<int>")
     starts = ends.select("tid", "lo", "hi").join(hits, "tid", "left").select("tid", "lo", "hi", F.coalesce("hits", none).alias("hits"))
     starts = starts.filter((F.size("lo") > 0) | (F.size("hits") > 0))
