@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.shared import byte_slices
@@ -112,11 +112,8 @@ class BagScorer:
         return out
 
 
-def _bags(texts: list[str], most: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """n-gram ids of all distinct words with their bounds, the words (as numbers) of every bag, and the bag's text.
-
-    At most ``most`` bags of a text are drawn; training alone samples like this.
-    """
+def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """n-gram ids of all distinct words with their bounds, the words (as numbers) of every bag, and the bag's text."""
     number: dict[bytes, int] = {}
     bags, owner = [], []
     for i, text in enumerate(texts):
@@ -124,8 +121,6 @@ def _bags(texts: list[str], most: int, rng: np.random.Generator) -> tuple[np.nda
         if not len(words):
             continue
         starts = np.arange(max(1, len(words) - BAG + 1))
-        if len(starts) > most:
-            starts = np.sort(rng.choice(starts, most, replace=False))
         padded = np.concatenate([words, np.full(BAG, -1, np.int32)])
         bags.append(padded[starts[:, None] + np.arange(BAG)])
         owner.append(np.full(len(starts), i, np.int32))
@@ -135,8 +130,9 @@ def _bags(texts: list[str], most: int, rng: np.random.Generator) -> tuple[np.nda
     return np.concatenate([g for g, _ in parts] or [np.zeros(0, np.int32)]), begin, np.concatenate(bags or [np.zeros((0, BAG), np.int32)]), np.concatenate(owner or [np.zeros(0, np.int32)])
 
 
-def train(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 4, rate: float = 0.6, bags_per_text: int = 600, seed: int = 5) -> SubwordModel:
-    """Fits n-gram vectors and the two-class softmax together by Adagrad, in ``rounds`` of choosing bags and fitting."""
+def train(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 4, rate: float = 0.6, first_bags: int = 150_000, seed: int = 5) -> SubwordModel:
+    """Fits n-gram vectors and the two-class softmax together by Adagrad, in ``rounds`` of choosing each text's worst bags
+    from all of its bags and fitting those. The fit before the first choice draws ``first_bags`` bags of all texts."""
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     softmax = np.stack([-np.ones(dim), np.ones(dim)]).astype(np.float32) / np.sqrt(dim)
@@ -144,7 +140,7 @@ def train(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 4, ra
     toxic = np.asarray(toxic).astype(np.int64)
     if not len(texts) or len(set(toxic.tolist())) < 2:
         return SubwordModel(np.zeros(BUCKETS, np.float32), -10.0 if not toxic.any() else 10.0)
-    ids, begin, bags, owner = _bags(texts, bags_per_text, rng)
+    ids, begin, bags, owner = _bags(texts)
     if not len(ids):
         return SubwordModel(np.zeros(BUCKETS, np.float32), -10.0)
     label = toxic.astype(np.int8)[owner]
@@ -189,7 +185,7 @@ def train(texts: list[str], toxic: np.ndarray, dim: int = 8, rounds: int = 4, ra
         return SubwordModel((vectors @ (softmax[1] - softmax[0])).astype(np.float32), float(bias[1] - bias[0]))
 
     # all bags of toxic documents count as slightly toxic at first: n-grams that clean documents never have stand out
-    some = np.sort(rng.choice(len(owner), min(len(owner), 150_000), replace=False))
+    some = np.sort(rng.choice(len(owner), min(len(owner), first_bags), replace=False))
     balance = np.where(label[some] == 1, 0.5 / max(1, (label[some] == 1).sum()), 0.5 / max(1, (label[some] == 0).sum())) * len(some)
     fit(some, label[some], balance.astype(np.float32), 2, rate / 3)
     for _ in range(rounds):
@@ -228,16 +224,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, max_rows: int = 5_000, max_chars: int = 20_000) -> tuple[list[str], np.ndarray]:
-    """At most ``max_rows`` labelled texts that aren't held out and have at most ``max_chars`` characters, by hash of id.
+def training_rows(documents: DataFrame, labels: DataFrame, max_rows: int = 5_000, max_chars: int = 30_000_000) -> tuple[list[str], np.ndarray]:
+    """Labelled texts that aren't held out, in the order of a hash of their id: ``max_rows`` at most, and no more after
+    ``max_chars`` characters in all.
 
-    The two bounds are the training sample's and hold at every size of input; scoring reads whole texts of all rows.
-    An id with several labels counts as toxic if one of them says so; null labels don't count.
+    The two bounds are the training sample's, in rows taken whole whatever their length, and hold at every size of
+    input; scoring reads whole texts of all rows. An id with several labels counts as toxic if one of them says so; null labels don't count.
     """
     ids = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = documents.select("doc_id", "text").filter(F.length("text").between(1, max_chars)).join(F.broadcast(ids), "doc_id")
-    table = rows.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("r")).select("doc_id", "r.text", "r.toxic").toArrow().sort_by("doc_id")
+    rows = documents.select("doc_id", "text").filter(F.length("text") >= 1).join(F.broadcast(ids), "doc_id")  # max_rows rows
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("r")).select("doc_id", "r.text", "r.toxic", F.length("r.text").alias("n"))
+    before = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    kept = one.select("doc_id", F.coalesce(before, F.lit(0)).alias("before"), "n").filter(F.col("before") < max_chars).select("doc_id")
+    table = one.select("doc_id", "text", "toxic").join(kept, "doc_id").toArrow().sort_by("doc_id")
     return table.column("text").to_pylist(), np.array(table.column("toxic").to_pylist(), np.int64)
 
 

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 
 from graphloom.llm import queries
-from graphloom.llm.toxicity import score_documents, train, training_rows
+from graphloom.llm.toxicity import BAG, score_documents, subwords, train, training_rows, words_of
 
 CLEAN = "the river runs past old stone houses and quiet green fields under bright morning clouds".split()
 
@@ -59,3 +59,29 @@ def test_tricky_rows(spark, tricky):
     model = train(*training_rows(tricky, labels))
     assert score_documents(tricky, model).count() == tricky.count()
     assert score_documents(tricky.limit(0), model).count() == 0
+
+
+def test_scores_against_all_bags_one_by_one():
+    model = train(*made(300, 4))
+    texts, _ = made(60, 5)
+    texts += ["", " ", "one", "one two", "scumbag " * 7, " ".join(CLEAN * 40) + " dimwited", "Ünïcödé wörds 日本 and😀signs"]
+    got = model.scorer().logits(texts)
+    for text, logit in zip(texts, got):
+        words, best = words_of(text), None
+        if not words:
+            assert logit == -4
+            continue
+        for at in range(max(1, len(words) - BAG + 1)):
+            grams = [g for w in words[at : at + BAG] for g in subwords([w])[0].tolist()]
+            mean = sum(float(model.ngram[g]) for g in grams) / max(1, len(grams))
+            best = mean if best is None else max(best, mean)
+        assert abs(logit - (best + model.bias)) < 1e-4
+
+
+def test_training_rows_are_taken_whole(spark):
+    docs = spark.createDataFrame([(i, "word " * (20_000 if i % 3 else 3)) for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    texts, _ = training_rows(docs, labels)
+    assert sorted({len(t) for t in texts}) == [15, 100_000] and len(texts) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(30))
+    fewer, _ = training_rows(docs, labels, max_chars=250_000)
+    assert set(fewer) <= set(texts) and 250_000 <= sum(map(len, fewer)) < 350_000
