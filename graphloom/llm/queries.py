@@ -57,8 +57,17 @@ URL_RULES = [
 ]
 
 
+#: What is blocked where no rule says otherwise. Hosts have a dot in front, so ``*.x`` fits a label's start.
+URL_GLOBS = [
+    *(url_filter.Glob(f"*.{name}*") for name in ("spam-", "cheap-", "casino", "adserv", "doubleclick", "torrent", "warez", "phish", "malware", "porn", "viagra", "payday")),
+    *(url_filter.Glob("*", path) for path in ("*/ads/*", "*/banner*", "*/popup*", "*/login*", "*/cart/*", "*/wp-admin/*", "*/cgi-bin/*", "*/session?/*", "*.exe", "*.zip", "*.apk", "*/feed/*.xml")),
+    url_filter.Glob("*.xn--*.top"),
+    url_filter.Glob("*.m.*", "*/print/*"),
+]
+
+
 def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, default="allow")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, URL_GLOBS, default="allow")
 
 
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,10 +109,12 @@ def _url_sql() -> str:
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     rule = " ".join(f"WHEN {fits(r)} THEN '{r.text}'" for r in ranked)
     verdict = " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in ranked)
+    like = lambda glob: glob.replace("_", "\\_").replace("*", "%").replace("?", "_")
+    bad = " OR ".join(f"'.' || host LIKE '{like(g.host)}' ESCAPE '\\' AND path LIKE '{like(g.path)}' ESCAPE '\\'" for g in URL_GLOBS)
     return f"""
 WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, {_HOST} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
-SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict FROM p"""
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN {bad} THEN 'block' ELSE 'allow' END AS verdict FROM p"""
 
 
 _CHAT_SQL = """

@@ -35,6 +35,18 @@ class Rule:
         return b"*." + self.host.encode() + BOUND + self.path.encode() + b"*"
 
 
+@dataclass(frozen=True)
+class Glob:
+    """Globs of a host with a dot in front and of a path, which both must fit whole."""
+
+    host: str
+    path: str = "*"
+
+    @property
+    def glob(self) -> bytes:
+        return self.host.encode() + BOUND + self.path.encode()
+
+
 class GlobAutomaton:
     """Glob patterns over bytes (``*``: any run, ``?``: any byte, backslash: next byte is literal), all in one pass."""
 
@@ -132,14 +144,15 @@ def canonical(url: str | None) -> tuple[str, str]:
     return host.encode().lower().decode(), slash + path
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Per row: id, host, path, the text of the longest rule that fits (null if none) and its verdict or ``default``.
+def judge_urls(pages: DataFrame, rules: list[Rule], blocked: list[Glob] = [], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """Per row: id, host, path, the text of the longest rule that fits (null if none) and a verdict: the rule's, else
+    ``block`` if one of the globs fits, else ``default``. Rules and globs are simulated together.
 
-    Null urls and urls without ``://`` have an empty host and path and get ``default``. Rules of the same length: the
+    Null urls and urls without ``://`` have an empty host and path, judged like others. Rules of the same length: the
     one listed last. Repeated rows stay, other columns are not read, an empty table gives an empty one.
     """
     ranked = sorted(range(len(rules)), key=lambda i: (-len(rules[i].text), -i))
-    automaton = GlobAutomaton(rules[i].glob for i in ranked)
+    automaton = GlobAutomaton([*(rules[i].glob for i in ranked), *(b.glob for b in blocked)])
     texts = [rules[i].text for i in ranked]
     verdicts = [rules[i].verdict for i in ranked]
     source = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"))
@@ -148,14 +161,15 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_c
         for batch in batches:
             parts = [canonical(u) for u in batch.column("url").to_pylist()]
             fits = automaton.fits([b"." + h.encode() + BOUND + p.encode() for h, p in parts])
-            best = np.where(fits.any(axis=1), fits.argmax(axis=1), -1).tolist() if texts else [-1] * len(parts)
+            of_rules, bad = fits[:, : len(texts)], fits[:, len(texts) :].any(axis=1).tolist()
+            best = np.where(of_rules.any(axis=1), of_rules.argmax(axis=1), -1).tolist() if texts else [-1] * len(parts)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     pa.array([h for h, _ in parts], pa.string()),
                     pa.array([p for _, p in parts], pa.string()),
                     pa.array([texts[b] if b >= 0 else None for b in best], pa.string()),
-                    pa.array([verdicts[b] if b >= 0 else default for b in best], pa.string()),
+                    pa.array([verdicts[b] if b >= 0 else "block" if no else default for b, no in zip(best, bad)], pa.string()),
                 ],
                 names=[id_col, "host", "path", "rule", "verdict"],
             )

@@ -2,6 +2,7 @@ import fnmatch
 import random
 import re
 
+from graphloom.llm import queries
 from graphloom.llm.url_filter import GlobAutomaton, Rule, canonical, judge_urls
 
 
@@ -42,3 +43,12 @@ def test_rows(spark):
     assert [r["verdict"] for r in rows] == ["allow", "block", "block", "allow", "allow", "allow", "allow", "allow", "allow"]
     assert [r["rule"] for r in rows] == ["example.com/en/7", "com/en/", "com/en/", None, None, None, None, None, "example.com/en/7"]
     assert judge_urls(df.limit(0), rules).count() == 0 and judge_urls(df, []).filter("verdict = 'allow'").count() == 9
+
+
+def test_globs_where_no_rule_fits(spark):
+    assert GlobAutomaton([*(r.glob for r in queries.URL_RULES), *(g.glob for g in queries.URL_GLOBS)]).words > 3
+    urls = [u for host in ("spam-x.org", "a.cheap-y.net", "xcheap-y.net", "m.example.com", "casino", "a.xn--b.top") for u in (f"http://{host}/ads/1", f"http://{host}/x.exe", f"http://{host}/de/8", f"http://{host}/a/print/b", f"http://{host}/session9/x", f"http://{host}", f"http://{host}/ok?/ads/")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in judge_urls(df, queries.URL_RULES, queries.URL_GLOBS).collect():
+        bad = any(glob_regex(g.host).fullmatch("." + r["host"]) and glob_regex(g.path).fullmatch(r["path"]) for g in queries.URL_GLOBS)
+        assert r["rule"] or r["verdict"] == ("block" if bad else "allow"), r
