@@ -47,7 +47,7 @@ def _edge(sizes: DataFrame, quota: DataFrame, bucket: str) -> DataFrame:
     """For each source the bucket in which its fraction ends, and what is left of the fraction at its start."""
     run = Window.partitionBy("_s").orderBy(bucket)
     sums = sizes.groupBy("_s", bucket).agg(F.sum("size").alias("_in"))
-    sums = sums.withColumn("_past", F.sum("_in").over(run) - F.col("_in")).join(F.broadcast(quota), "_s")
+    sums = sums.withColumn("_past", F.sum("_in").over(run) - F.col("_in")).join(quota, "_s")
     return (
         sums.filter((F.col("_past") <= F.col("_quota")) & (F.col("_past") + F.col("_in") > F.col("_quota")))
         .groupBy("_s")
@@ -63,8 +63,10 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.
     the one at the edge is inside if half of it is, so a source's sum is within half a document of its target. The
     order is a hash of seed, id, size and source, so reruns agree; repeated rows are separate rows that may be dealt
     with differently. An empty table gives an empty one; documents without words take 0. Source names are few by
-    nature; what is broadcast is one row for each. A column of df named like a result gives way to it.
+    nature; tables of one row for each are written, so Spark knows their size when it picks a join. A column of df named like a result gives way to it.
     """
+    if not weights or min(weights) <= 0:
+        raise ValueError("weights must be above 0")
     results = ("size", "source_size", "target", "taken")
     kept = [c for c in df.columns if c not in results]
     keyed = df.select(
@@ -75,7 +77,7 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.
         F.coalesce(F.concat(F.lit("s"), df[source_col]), F.lit("n")).alias("_s"),
     )
     plan = mix_plan(keyed.select("_s", "source", "size", "_mix_h"), weights, share, max_epochs)
-    return keyed.join(F.broadcast(plan), "_s").select(
+    return keyed.join(plan, "_s").select(
         *[F.col(f"_c{i}").alias(c) for i, c in enumerate(kept)],
         "size",
         "source_size",
@@ -114,9 +116,9 @@ def mix_plan(sizes: DataFrame, weights, share, max_epochs) -> DataFrame:
     quota = targets.filter("_quota > 0").select("_s", "_quota")
     keyed = sizes.select("_s", "size", "_mix_h", _first(F.col("_mix_h")).alias("_b1"), _second(F.col("_mix_h")).alias("_b2"))
     edge1 = written(_edge(keyed, quota, "_b1").withColumnRenamed("_edge", "_edge1"), "mix-edge")
-    in1 = keyed.join(F.broadcast(edge1.select("_s", "_edge1")), "_s").filter("_b1 = _edge1")
+    in1 = keyed.join(edge1.select("_s", "_edge1"), "_s").filter("_b1 = _edge1")
     edge2 = written(_edge(in1, edge1.select("_s", "_quota"), "_b2").withColumnRenamed("_edge", "_edge2"), "mix-edge")
-    in2 = in1.join(F.broadcast(edge2), "_s").filter("_b2 = _edge2")
+    in2 = in1.join(edge2, "_s").filter("_b2 = _edge2")
     run = Window.partitionBy("_s").orderBy("_mix_h")
     # rows of one hash (repeats) count as one step, in or out together
     steps = in2.groupBy("_s", "_mix_h", "_quota").agg(F.sum("size").alias("size"))
