@@ -806,6 +806,7 @@ def _residuals(pixels: np.ndarray, bits: int, modes: np.ndarray) -> np.ndarray:
 ROW = 16  # pixels, 64 bytes: the width of images with four bytes a pixel
 GREY = 64  # pixels: the width of images with one byte a pixel
 MOST_ROWS = 1 << 14
+LEAST_CACHED = 400  # pixels: what a cache saves in a smaller image, its longer prefix code takes
 REPEATED = 0.5  # with fewer distinct windows of 8 bytes than this share of all, bytes are stored with back-references
 
 
@@ -847,12 +848,14 @@ def _store_pixels(samples: np.ndarray, counts: np.ndarray) -> bytes:
     w = Writer()
     pixels = len(samples) // 4
     _start(w, ROW, pixels // ROW)
-    bits = min(10, max(4, pixels.bit_length() - 1))
-    hit, slot = _cache_hits(samples.view("<u4"), bits)
-    literal = samples.reshape(-1, 4)[~hit]
-    green = np.concatenate([np.bincount(literal[:, 0], minlength=256 + LENGTH_CODES), np.bincount(slot[hit], minlength=1 << bits)])
-    rest = np.bincount(literal[:, 1:].ravel(), minlength=256)
-    cached = _bits_of(green) + _bits_of(rest) < 0.97 * _bits_of(counts)
+    bits = min(10, pixels.bit_length() - 1)
+    cached = pixels >= LEAST_CACHED
+    if cached:
+        hit, slot = _cache_hits(samples.view("<u4"), bits)
+        literal = samples.reshape(-1, 4)[~hit]
+        green = np.concatenate([np.bincount(literal[:, 0], minlength=256 + LENGTH_CODES), np.bincount(slot[hit], minlength=1 << bits)])
+        rest = np.bincount(literal[:, 1:].ravel(), minlength=256)
+        cached = _bits_of(green) + _bits_of(rest) < 0.97 * _bits_of(counts)
     w.put(0, 1)  # no transform
     w.put(int(cached), 1)
     if cached:
