@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import query_words, truncate_utf8
 from graphloom.functions.vectors import cosine, hash_embedding
-from graphloom.operators import retrieval, symbols, traversal
+from graphloom.operators import path_ranking, retrieval, symbols, traversal
 from graphloom.operators.search import search_lines
+from graphloom.sources.durable import cut
 
 EXCERPT_BYTES, MOST_ROWS, MOST_DEPTH = 16_000, 50, 8
 EDGE_KINDS = ("CONTAINS", "DEFINES", "CALLS", "REFERENCES", "IMPORTS", "EXPORTS", "EXTENDS", "IMPLEMENTS", "DEPENDS_ON", "HAS_CHUNK", "TESTS", "MENTIONS")
 
 
+def _united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 class Engine:
     """Bounded questions over nodes and edges (see ``graphloom.sources.graph_views`` for their columns).
 
@@ -63,17 +71,24 @@ class Engine:
         rows = own.unionByName(told).groupBy("id").agg(F.min("place").alias("place"), F.first("file").alias("file"), F.first("content").alias("content"))
         return rows.orderBy("place", "id").limit(self._limit(limit)).select("id", "file", truncate_utf8(F.col("content"), EXCERPT_BYTES).alias("excerpt"))
 
-    def trace_path(self, start: str, goal: str, depth: int = 4, kinds: tuple[str, ...] | None = None, both_ways: bool = True) -> DataFrame:
-        """The best-first path between two nodes: start, goal, hops, score, path. None from a node to itself."""
-        weight = F.when(F.col("kind").isin("CALLS", "TESTS"), 40).when(F.col("kind").isin("IMPORTS", "EXPORTS", "REFERENCES"), 30).when(F.col("kind").isin("DEFINES", "HAS_CHUNK"), 10).when(F.col("kind") == "MENTIONS", 1).otherwise(5)
-        proof = symbols.flag(F.array_contains("evidence", "compiler"), 40) + symbols.flag(F.array_contains("evidence", "module-resolution"), 25)
-        sure = F.when(F.col("confidence") == "high", 20).when(F.col("confidence") == "medium", 10).when(F.col("confidence") == "fallback", 2).otherwise(0)
-        rows = self.edges if kinds is None else self.edges.filter(F.col("kind").isin(*kinds))
-        steps = rows.select("from_id", "to_id", (weight + F.coalesce(proof, F.lit(0)) + sure).cast("long").alias("weight"))
-        if both_ways:
-            steps = steps.unionByName(steps.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), (F.col("weight") - 5).alias("weight")))
+    def trace_path(self, start: str, goal: str, depth: int = 4, kinds: tuple[str, ...] | None = None, direction: str = "either", require_evidence: bool | dict[str, list[str]] | None = None, through_packages: bool = False) -> DataFrame:
+        """The best-first path between two nodes: start, goal, hops, score, path. None from a node to itself.
+
+        Packages aren't passed through unless asked for, or dependencies are among the kinds.
+        """
+        steps = traversal.steps_of(self.edges, direction, list(kinds) if kinds else None, require_evidence)
         pairs = self.spark.createDataFrame([(start, goal)], "start string, goal string")
-        return traversal.best_first(steps, pairs, max(1, min(MOST_DEPTH, depth)))
+        open_ = through_packages or "DEPENDS_ON" in (kinds or ())
+        closed = None if open_ else self.nodes.filter("kind = 'Package'").select("id")
+        return traversal.best_first(steps, pairs, max(1, min(MOST_DEPTH, depth)), closed=closed)
+
+    def trace_through(self, groups: list[list[str]], depth: int = 4, kinds: tuple[str, ...] | None = None, direction: str = "outgoing", require_evidence: bool | dict[str, list[str]] | None = None) -> DataFrame:
+        """The way through one node of each group, in order: hops, score, path."""
+        rows = [(0, place, id_) for place, ids in enumerate(groups) for id_ in ids]
+        asked = self.spark.createDataFrame(rows, "seq int, place int, id string").join(self.nodes.select("id"), "id", "left_semi")
+        steps = traversal.steps_of(self.edges, direction, list(kinds) if kinds else None, require_evidence)
+        closed = None if "DEPENDS_ON" in (kinds or ()) else self.nodes.filter("kind = 'Package'").select("id")
+        return traversal.ordered_paths(steps, asked, max(1, min(MOST_DEPTH, depth)), closed=closed).drop("seq")
 
     def search_text(self, pattern: str, limit: int = 50) -> DataFrame:
         return search_lines(self.nodes.filter("content is not null"), pattern, ["file", "id"], "content", self._limit(limit))
@@ -83,23 +98,53 @@ class Engine:
             self._vectors = hash_embedding(self.nodes.filter("kind = 'Chunk'").select("id", "content"), "id", "content")
         return self._vectors
 
-    def semantic_search(self, query: str, limit: int = 10) -> DataFrame:
-        """Vector, lexical, symbol and graph candidates fused by reciprocal rank, boosted, demoted, capped and explained."""
+    def semantic_search(self, query: str, limit: int = 10, repo: str | None = None, package_name: str | None = None, file_kind: str | None = None, symbol_kind: str | None = None) -> DataFrame:
+        """Vector, lexical, symbol, graph, path and test candidates fused by reciprocal rank, boosted, demoted, capped and
+        explained. The filters keep nodes of a repo, package, kind of file or of symbol before anything is ranked.
+        """
         model = retrieval.query_model(query)
+        keep = retrieval.passes({"repo": repo, "package_name": package_name, "file_kind": file_kind and file_kind.lower(), "symbol_kind": symbol_kind})
+        nodes = self.nodes.filter(keep)
         asked = self.spark.createDataFrame([("query", query)], "id string, content string")
         vector = hash_embedding(asked, "id", "content").select(F.col("embedding").alias("asked"))
-        near = self.vectors().join(F.broadcast(vector)).select("id", cosine(F.col("embedding"), F.col("asked")).alias("s")).filter("s > 0")
-        hay = F.lower(F.concat_ws(" ", "file", "name", "kind", "qualified_name"))
-        lexical = self.nodes.withColumn("s", F.round(retrieval.lexical_score(model, hay, F.coalesce("name", F.lit(""))), 6)).filter("s > 0")
-        named = self.nodes.filter(F.lower("name").isin([s.lower() for s in model.symbol_tokens])) if model.symbol_tokens else self.nodes.limit(0)
-        calls = self.edges.filter("kind = 'CALLS'").join(named.select(F.col("id").alias("to_id")), "to_id", "left_semi").select(F.col("from_id").alias("id")).distinct().withColumn("s", F.lit(0))
-        parts = [retrieval.top(near, "s", max(5 * limit, 50), "semantic"), retrieval.top(lexical, "s", 120, "lexical"), retrieval.top(named.withColumn("s", F.lit(0)), "s", 40, "symbol"), retrieval.top(calls, "s", 80, "graph")]
-        candidates = parts[0]
-        for p in parts[1:]:
-            candidates = candidates.unionByName(p)
-        cap = 4 if model.intent in ("caller", "callee", "imports") else 2
-        rows = retrieval.hybrid(self.nodes, candidates, model, self._limit(limit), cap)
-        return rows.select("id", "kind", "file", "name", "score", retrieval.normalized(F.col("score")).alias("normal"), "sources", "boost", "demotion")
+        near = self.vectors().join(F.broadcast(vector)).select("id", cosine(F.col("embedding"), F.col("asked")).alias("s")).join(nodes.select("id"), "id", "left_semi")
+        # one row of the query, and at most a few hundred of each source from here on
+        semantic = cut(retrieval.top(near, [F.round("s", 9).desc()], max(5 * self._limit(limit), 50), "semantic"))
+        lex = cut(retrieval.lexical(nodes, model).select("id", "kind", "file", "file_kind", "name", "lexical", "matched"))
+        kept = nodes.select("id")
+        names = cut(retrieval.named(self.nodes, model))
+        by_name = retrieval.first_places(names.join(kept, "id", "left_semi"), ["token", "place"], "symbol")
+        met = cut(retrieval.neighbours(self.edges, self.nodes, names.select("id", "token"), ["token"], 10).join(kept, "id", "left_semi"))
+        told = [met.withColumn("direct", F.lit(True)).select("id", "edge_kind", "evidence", "direct")]
+        parts = [semantic, retrieval.top_lexical(lex), by_name, retrieval.first_places(met, ["token", "spec", "place"], "graph")]
+        files = nodes.filter("kind = 'File'").select(F.col("id").alias("fid"), F.col("file").alias("of"))
+        close = nodes.join(semantic.filter("rank <= 12").select("id"), "id").select("id", "file")
+        beside = close.select("id").unionByName(close.join(files, F.col("file") == F.col("of")).select(F.col("fid").alias("id")))
+        around = cut(retrieval.adjacent(self.edges, beside, 120).filter(retrieval.neighbour_fits(model)).join(nodes.select("id"), "id", "left_semi"))
+        parts.append(retrieval.first_places(around, ["turn"], "graph"))
+        told.append(around.select("id", "edge_kind", "evidence", F.lit(True).alias("direct")))
+        if retrieval.expands_flow(model):
+            known = _united(parts).select("id").distinct()
+            start = nodes.join(known, "id").orderBy(retrieval.flow_seed_rank(model), F.coalesce("file", F.lit("")), F.coalesce("name", F.lit("")), "id").limit(48)
+            flow = cut(retrieval.adjacent(self.edges, start, 48 * 80).filter(retrieval.neighbour_fits(model)).join(nodes.select("id"), "id", "left_semi"))
+            parts.append(retrieval.first_places(flow, ["turn"], "graph"))
+            told.append(flow.select("id", "edge_kind", "evidence", F.lit(True).alias("direct")))
+        ways = None
+        if path_ranking.applies(model):
+            known = cut(_united(parts))
+            found = cut(path_ranking.paths(nodes, self.edges, path_ranking.seeds(nodes, known, lex, model), model))
+            ranks, on, ways = path_ranking.path_candidates(found, nodes, model)
+            parts.append(ranks)
+            told.append(on)
+            heads, why = path_ranking.owners(nodes, _united([known, ranks]), model)
+            parts.append(heads)
+            rows = ways.select("id", F.explode("paths").alias("p")).select("id", "p.score", "p.reason", "p.path")
+            ways = path_ranking.explained(rows.unionByName(why))
+        if model.intent == "test":
+            parts += retrieval.test_candidates(lex, nodes)
+        rows = retrieval.hybrid(nodes, cut(_united(parts)), model, self._limit(limit), _united(told), lex, ways)
+        paths = F.col("paths") if ways is not None else F.lit(None)
+        return rows.select("id", "kind", "file", "name", "score", retrieval.normalized(F.col("score")).alias("normal"), F.lit(model.intent).alias("intent"), "sources", "boost", "demotion", "reasons", "demoted", paths.alias("paths"))
 
     def query_terms(self, query: str) -> DataFrame:
         return self.spark.createDataFrame([(query,)], "q string").select(query_words(F.col("q")).alias("words"))

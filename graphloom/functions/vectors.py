@@ -10,13 +10,10 @@ from graphloom.functions.text import fnv1a, tokens
 DIM = 64
 
 
-def length_of(vector: Column) -> Column:
-    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
-
-
-def over(vector: Column, length: Column) -> Column:
-    """The vector over its length; a zero vector as it is. The length must be a column, or it is computed per element."""
-    return F.when(length > 0, F.transform(vector, lambda x: x / length)).otherwise(vector)
+def unit(vector: Column) -> Column:
+    """The vector over its length, which is computed once a row; a zero vector as it is."""
+    over = lambda squares: F.when(squares > 0, F.transform(vector, lambda x: x / F.sqrt(squares))).otherwise(vector)
+    return F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x, over)
 
 
 def hash_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = DIM) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.symbols import flag
 from graphloom.sources.durable import cut
 
 
@@ -62,50 +63,147 @@ def best_paths(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
     return hits.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
-def best_first(edges: DataFrame, pairs: DataFrame, depth: int, most_steps: int = 5000) -> DataFrame:
-    """Best-first search for each (start, goal): a queue by score, then hops; a node is entered again only at a
-    smaller depth; goals are noted and not expanded; the search stops after ``most_steps`` expansions.
+#: What the kind of an edge, its evidence and its confidence are worth on a path.
+KIND_SCORE = {"CALLS": 40, "TESTS": 40, "IMPORTS": 30, "EXPORTS": 30, "REFERENCES": 30, "DEFINES": 10, "HAS_CHUNK": 10, "MENTIONS": 1}
+OTHER_KIND = 5
+
+
+def evidence_of() -> Column:
+    """Evidence and origin of an edge, sorted."""
+    none = F.array().cast("array<string>")
+    origin = F.when(F.coalesce("origin", F.lit("")) != "", F.array("origin")).otherwise(none)
+    return F.array_sort(F.array_distinct(F.filter(F.concat(F.coalesce("evidence", none), origin), lambda e: e != "")))
+
+
+def evidence_fits(require: bool | dict[str, list[str]] | None) -> Column:
+    """Whether an edge has the evidence asked for: any at all (True), one of ``any_of``, each of ``all_of``."""
+    if not require:
+        return F.lit(True)
+    have = evidence_of()
+    if require is True:
+        return F.size(have) > 0
+    if "any_of" in require:
+        return F.arrays_overlap(have, F.array(*[F.lit(e) for e in require["any_of"]])) if require["any_of"] else F.lit(False)
+    return F.size(F.array_except(F.array(*[F.lit(e) for e in require["all_of"]]).cast("array<string>"), have)) == 0
+
+
+def edge_score(incoming: bool = False) -> Column:
+    have = evidence_of()
+    kind = F.coalesce(F.create_map(*[F.lit(x) for pair in KIND_SCORE.items() for x in pair])[F.col("kind")], F.lit(OTHER_KIND))
+    told = flag(F.array_contains(have, "compiler"), 40) + flag(F.array_contains(have, "module-resolution"), 25) + flag(F.exists(have, lambda e: e.endswith("syntax")), 10)
+    sure = F.when(F.col("confidence") == "high", 20).when(F.col("confidence") == "medium", 10).when(F.col("confidence") == "fallback", 2).otherwise(0)
+    return (kind + told + sure - (5 if incoming else 0)).cast("long")
+
+
+def steps_of(edges: DataFrame, direction: str = "outgoing", kinds: list[str] | None = None, require: bool | dict[str, list[str]] | None = None) -> DataFrame:
+    """Edges to walk (from_id, to_id, weight) in a direction: outgoing, incoming or either; of some kinds and evidence."""
+    rows = edges.filter(evidence_fits(require)) if kinds is None else edges.filter(F.col("kind").isin(*kinds)).filter(evidence_fits(require))
+    parts = []
+    if direction in ("outgoing", "either"):
+        parts.append(rows.select("from_id", "to_id", edge_score().alias("weight")))
+    if direction in ("incoming", "either"):
+        parts.append(rows.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), edge_score(True).alias("weight")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _search(start, goals: set, forbidden: set, out: dict, depth: int, most_steps: int) -> tuple | None:
+    """The best path as (negative score, hops, nodes): by score, then fewer hops, then ids. A node is entered again only
+    nearer to the start; goals are noted and not expanded; paths at full depth don't count as steps."""
+    queue, entered, best, steps = [(0, 0, (start,))], dict.fromkeys(forbidden, 0) | {start: 0}, None, 0
+    while queue and steps < most_steps:
+        score, hops, path = heapq.heappop(queue)
+        if hops >= depth:
+            continue
+        steps += 1
+        for b, w in out.get(path[-1], ()):
+            if entered.get(b, depth + 1) <= hops + 1:
+                continue
+            new = (score - w + hops + 1, hops + 1, (*path, b))
+            if b in goals:
+                best = new if best is None or new < best else best
+                continue
+            entered[b] = hops + 1
+            heapq.heappush(queue, new)
+    return best
 
-    The frontier loop collects, for each start, only edges it can reach within ``depth``; the ordered search itself then
-    runs on that neighbourhood, once for each of the start's goals.
-    """
+
+def _reach(edges: DataFrame, starts: DataFrame, depth: int, closed: DataFrame | None) -> DataFrame:
+    """(start, from_id, to_id, weight): the edges each start can walk within ``depth``, not on from closed nodes."""
     reach = None
-    front = pairs.select("start", F.col("start").alias("at")).distinct()
+    front = starts.select("start", F.col("start").alias("at")).distinct()
     seen = front
     for _ in range(depth):
-        step = front.join(edges, F.col("at") == F.col("from_id")).select("start", "from_id", "to_id", "weight").distinct()
+        step = front.join(edges, F.col("at") == F.col("from_id")).groupBy("start", "from_id", "to_id").agg(F.max("weight").alias("weight"))
         reach = step if reach is None else reach.unionByName(step)
-        front = cut(step.select("start", F.col("to_id").alias("at")).distinct().join(seen, ["start", "at"], "left_anti"))
+        found = step.select("start", F.col("to_id").alias("at")).distinct().join(seen, ["start", "at"], "left_anti")
+        if closed is not None:
+            found = found.join(closed.select(F.col("id").alias("at")), "at", "left_anti").select("start", "at")
+        front = cut(found)
         seen = seen.unionByName(front)
+    return reach
+
+
+def _out(near: pd.DataFrame) -> dict:
+    out: dict = {}
+    for a, b, w in sorted(zip(near["from_id"], near["to_id"], near["weight"]), key=lambda e: (-e[2], e[1])):
+        out.setdefault(a, []).append((b, w))
+    return out
 
-    def search(start, goal, out: dict) -> tuple | None:
-        queue, entered, best, steps = [(0, 0, (start,))], {start: 0}, None, 0
-        while queue and steps < most_steps:
-            score, hops, path = heapq.heappop(queue)
-            steps += 1
-            if hops == depth:
-                continue
-            for b, w in out.get(path[-1], ()):
-                if b in path:
-                    continue
-                new = (score - w + hops + 1, hops + 1, (*path, b))
-                if b == goal:
-                    best = new if best is None or new < best else best
-                elif hops + 1 < entered.get(b, depth + 1):
-                    entered[b] = hops + 1
-                    heapq.heappush(queue, new)
-        return None if best is None or start == goal else (start, goal, best[1], -best[0], ">".join(map(str, best[2])))
+
+def best_first(edges: DataFrame, pairs: DataFrame, depth: int, most_steps: int = 5000, closed: DataFrame | None = None) -> DataFrame:
+    """Best-first search for each (start, goal) over edges (from_id, to_id, weight), up to ``most_steps`` expansions.
+
+    The frontier loop collects, for each start, only edges it can reach within ``depth``; the ordered search itself then
+    runs on that neighbourhood, once for each of the start's goals. Closed nodes (id) can be a start or goal only.
+    """
 
     def search_all(wanted: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        out: dict = {}
-        for a, b, w in sorted(zip(near["from_id"], near["to_id"], near["weight"]), key=lambda e: (-e[2], e[1])):
-            out.setdefault(a, []).append((b, w))
-        found = [r for start, goal in dict.fromkeys(zip(wanted["wanted_by"], wanted["goal"])) if (r := search(start, goal, out))]
+        out, found = _out(near), []
+        for start, goal in dict.fromkeys(zip(wanted["wanted_by"], wanted["goal"])):
+            if start != goal and (best := _search(start, {goal}, set(), out, depth, most_steps)):
+                found.append((start, goal, best[1], -best[0], ">".join(map(str, best[2]))))
         return pd.DataFrame({c: pd.Series([r[i] for r in found], dtype=object) for i, c in enumerate(("start", "goal", "hops", "score", "path"))})
 
     kind = dict(pairs.dtypes)["start"]
     wanted = pairs.select(F.col("start").alias("wanted_by"), F.col("goal"))
-    return wanted.groupBy("wanted_by").cogroup(reach.distinct().groupBy("start")).applyInPandas(search_all, f"start {kind}, goal {kind}, hops long, score long, path string")
+    return wanted.groupBy("wanted_by").cogroup(_reach(edges, pairs, depth, closed).groupBy("start")).applyInPandas(search_all, f"start {kind}, goal {kind}, hops long, score long, path string")
+
+
+def ordered_paths(edges: DataFrame, sequences: DataFrame, depth: int, most_steps: int = 5000, closed: DataFrame | None = None) -> DataFrame:
+    """For each sequence of groups of nodes (seq, place from 0, id) the first way through them in order: (seq, hops,
+    score, path array of strings).
+
+    From each node of the first group, in the order of ids, the best path to any node of the next group, from there to
+    the one after, each of up to ``depth`` edges and without the nodes already passed. The first start that gets
+    through stands. Groups are asked for by name, so a sequence has few of them.
+    """
+    text = sequences.select("seq", "place", F.col("id").cast("string").alias("id"))
+    steps = edges.select(F.col("from_id").cast("string").alias("from_id"), F.col("to_id").cast("string").alias("to_id"), "weight")
+    last = text.groupBy("seq").agg(F.max("place").alias("last"))
+    groups = last.agg(F.max("last")).first()[0]
+    state = text.filter("place = 0").select("seq", F.col("id").alias("first"), F.array("id").alias("path"), F.lit(0).cast("long").alias("score"))
+    done = None
+
+    def search_all(asks: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        out, found = _out(near), []
+        for seq, first, path, score, goals in zip(*(asks[c] for c in ("seq", "first", "path", "score", "goals"))):
+            best = _search(path[-1], set(goals), set(path[:-1]), out, depth, most_steps)
+            if best is not None:
+                found.append((seq, first, [*path, *best[2][1:]], score - best[0]))
+        return pd.DataFrame({c: pd.Series([r[i] for r in found], dtype=object) for i, c in enumerate(("seq", "first", "path", "score"))})
+
+    kind = dict(text.dtypes)["seq"]
+    for place in range(groups + 1):
+        through = state.join(last.filter(F.col("last") == place), "seq").drop("last")
+        done = through if done is None else done.unionByName(through)
+        if place == groups:
+            break
+        goals = text.filter(F.col("place") == place + 1).groupBy("seq").agg(F.collect_list("id").alias("goals"))
+        asks = state.join(goals, "seq").withColumn("at", F.element_at("path", -1))
+        reach = _reach(steps, asks.select(F.col("at").alias("start")).distinct(), depth, closed)
+        state = cut(asks.groupBy("at").cogroup(reach.groupBy("start")).applyInPandas(search_all, f"seq {kind}, first string, path array<string>, score long"))
+    best = done.groupBy("seq").agg(F.min(F.struct("first", "path", "score")).alias("b"))
+    return best.select("seq", (F.size("b.path") - 1).cast("long").alias("hops"), "b.score", "b.path")
 
 
 def indirect_coverage(edges: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:

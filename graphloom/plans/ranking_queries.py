@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import fnv1a, query_words, tokens
 from graphloom.functions.vectors import hash_embedding, nearest
 from graphloom.operators import retrieval
-from graphloom.plans.graph_queries import CLASSES, CUSTOMERS, FUNCTIONS, SYMBOLS
+from graphloom.plans.graph_queries import CALLS, CLASSES, CUSTOMERS, FUNCTIONS, SYMBOLS
 from graphloom.plans.registry import query
-from graphloom.sources.graph_views import Tables, nodes
+from graphloom.sources.graph_views import Tables, edges, nodes
 
 FNV = "list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, length(w) + 1), lambda i: ascii(w[i])::HUGEINT)), lambda h, c: (xor(h::BIGINT, c::BIGINT)::HUGEINT * 16777619) % 4294967296)::BIGINT"
 TOKENS = "list_filter(regexp_split_to_array(lower(regexp_replace({t}, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9_]+'), lambda x: x <> '')"
@@ -48,64 +48,129 @@ def cosine_topk_filtered(t: Tables) -> DataFrame:
     return nearest(t.embeddings, _query_vector(t), 10, F.col("label") % 3 == 1).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-ASK = "where is handle12 called for the red widget orders"
-MODEL = retrieval.query_model(ASK)
-HAY = "lower(concat_ws(' ', file, name, kind, qualified_name))"
+#: A question of each intent that the ranking queries ask.
+QUESTIONS = {"caller": "where is handle12 called for the red widget orders", "implementation": "implementation source of handle12", "test": "tests for handle12", "imports": "imported handle12 types"}
+MODELS = {k: retrieval.query_model(q) for k, q in QUESTIONS.items()}
+MODEL = MODELS["caller"]
 
+PACKAGES = "pk AS (SELECT 'function:' || o_orderkey AS id, n_name FROM orders JOIN cust ON o_custkey = c_custkey UNION ALL SELECT 'class:' || s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+KIND_ORDER = "CASE kind WHEN 'Function' THEN 0 WHEN 'Class' THEN 1 ELSE 5 END"
 
-def _lexical_sql() -> str:
-    terms = [f"CASE WHEN contains(hay, '{w}') THEN {0.04 if len(w) <= 3 else 0.08} ELSE 0 END" for w in MODEL.words]
-    terms += [f"CASE WHEN lower(name) = '{c.lower()}' THEN 0.42 WHEN contains(hay, '{c.lower()}') THEN 0.14 ELSE 0 END" for c in MODEL.code_tokens]
-    return f"round(({' + '.join(terms)})::DOUBLE, 6)"
 
+def _lexical_sql(model: retrieval.QueryModel) -> str:
+    """Words are worth 0.04 (three letters) or 0.08, code tokens 0.42 as the name and 0.14 anywhere."""
+    terms = [f"CASE WHEN contains(hay, '{w}') THEN {0.04 if len(w) <= 3 else 0.08} ELSE 0 END" for w in model.words]
+    terms += [f"CASE WHEN lower(name) = '{c.lower()}' THEN 0.42 WHEN contains(hay, '{c.lower()}') THEN 0.14 ELSE 0 END" for c in model.code_tokens]
+    return f"""{SYMBOLS}, {PACKAGES}, hays AS (SELECT s.*, lower(concat_ws(' ', file, name, kind, n_name, kind, qualified_name)) AS hay FROM symbols s LEFT JOIN pk ON pk.id = s.id),
+lexical AS (SELECT *, round(({" + ".join(terms)})::DOUBLE, 6) AS lexical FROM hays), lex AS (SELECT *, row_number() OVER (ORDER BY lexical DESC, {KIND_ORDER}, coalesce(file, ''), id) AS place FROM lexical WHERE lexical > 0)"""
 
-LEXICAL = f"hays AS (SELECT id, kind, file, name, file_kind, origin, exported, {HAY} AS hay FROM symbols), lexical AS (SELECT *, {_lexical_sql()} AS score FROM hays)"
 
+def _nodes(t: Tables) -> DataFrame:
+    return nodes(t, "Function", "Class", "TypeAlias")
 
-def _lexical(t: Tables) -> DataFrame:
-    n = nodes(t, "Function", "Class", "TypeAlias")
-    hay = F.lower(F.concat_ws(" ", "file", "name", "kind", "qualified_name"))
-    return n.withColumn("score", F.round(retrieval.lexical_score(MODEL, hay, F.col("name")), 6))
 
-
-@query(f"WITH {SYMBOLS}, {LEXICAL} SELECT id, score FROM lexical WHERE score > 0 ORDER BY score DESC, id LIMIT 120")
+@query(f"WITH {_lexical_sql(MODEL)} SELECT id, lexical AS score FROM lex WHERE place <= 120")
 def lexical_score_top(t: Tables) -> DataFrame:
-    return _lexical(t).filter("score > 0").orderBy(F.col("score").desc(), "id").limit(120).select("id", "score")
-
-
-SOURCES = f"""{SYMBOLS}, {LEXICAL},
-c AS (SELECT id, 'lexical' AS source, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT * FROM lexical WHERE score > 0 ORDER BY score DESC, id LIMIT 120)
-  UNION ALL SELECT id, 'symbol', row_number() OVER (ORDER BY id) FROM (SELECT id FROM symbols WHERE lower(name) = 'handle12' ORDER BY id LIMIT 8)
-  UNION ALL SELECT id, 'graph', row_number() OVER (ORDER BY id) FROM (SELECT id FROM symbols WHERE exported AND kind = 'Function' AND contains(name, '12') ORDER BY id LIMIT 60)),
-f AS (SELECT id, 18 * sum(CASE source WHEN 'lexical' THEN 1.5::DOUBLE WHEN 'symbol' THEN 2::DOUBLE ELSE 1.5::DOUBLE END / (60 + rank)) AS fusion, string_agg(source || '=' || rank, ',' ORDER BY source || '=' || rank) AS sources FROM c GROUP BY id)"""
+    lex = retrieval.lexical(_nodes(t), MODEL)
+    return retrieval.top_lexical(lex).join(lex, "id").select("id", F.col("lexical").alias("score"))
+
+
+def _sources_sql(model: retrieval.QueryModel) -> str:
+    """Candidates: the best by words, the first functions of the name, and what those call; for tests the best tests too."""
+    tests = " UNION ALL SELECT id, 'test', row_number() OVER (ORDER BY place) FROM (SELECT * FROM lex WHERE file_kind = 'test' ORDER BY place LIMIT 50)" if model.intent == "test" else ""
+    return f"""{_lexical_sql(model)}, {CALLS}, named AS (SELECT id FROM symbols WHERE lower(name) = 'handle12' ORDER BY id LIMIT 8),
+called AS (SELECT to_id AS id, bool_or(by_compiler) AS by_compiler, bool_or(by_module) AS by_module FROM calls WHERE from_id IN (SELECT id FROM named) GROUP BY to_id ORDER BY to_id LIMIT 60),
+c AS (SELECT id, 'lexical' AS source, place AS rank FROM lex WHERE place <= 120 UNION ALL SELECT id, 'symbol', row_number() OVER (ORDER BY id) FROM named UNION ALL SELECT id, 'graph', row_number() OVER (ORDER BY id) FROM called{tests}),
+f AS (SELECT id, 18 * sum(CASE source WHEN 'lexical' THEN 1.5::DOUBLE WHEN 'symbol' THEN 2::DOUBLE WHEN 'test' THEN 1.4::DOUBLE ELSE 1.5::DOUBLE END / (60 + rank)) AS fusion, string_agg(source || '=' || rank, ',' ORDER BY source || '=' || rank) AS sources FROM c GROUP BY id)"""
+
+
+def _candidates(t: Tables, model: retrieval.QueryModel) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, relations, lexical rows)."""
+    n = _nodes(t)
+    lex = retrieval.lexical(n, model)
+    named = retrieval.top(n.filter("lower(name) = 'handle12'"), [], 8, "symbol")
+    calls = edges(t, "CALLS").join(named.select(F.col("id").alias("from_id")), "from_id", "left_semi")
+    called = retrieval.top(calls.select(F.col("to_id").alias("id")).distinct(), [], 60, "graph")
+    met = calls.select(F.col("to_id").alias("id"), F.col("kind").alias("edge_kind"), "evidence", F.lit(True).alias("direct")).join(called.select("id"), "id", "left_semi")
+    out = retrieval.top_lexical(lex).unionByName(named).unionByName(called)
+    if model.intent == "test":
+        for part in retrieval.test_candidates(lex, n):
+            out = out.unionByName(part)
+    return out, met, lex
+
+
+@query(f"WITH {_sources_sql(MODEL)} SELECT id, round(fusion, 6) AS fusion, sources FROM f")
+def rrf_fusion(t: Tables) -> DataFrame:
+    return retrieval.fused(_candidates(t, MODEL)[0]).select("id", F.round("fusion", 6).alias("fusion"), "sources")
+
+
+def _scored_sql(model: retrieval.QueryModel) -> str:
+    """Boosts and demotions of the rules that these questions can meet over these nodes, intent by intent."""
+    exact = f"lower(name) IN ({', '.join(repr(x.lower()) for x in model.symbol_tokens)})"
+    test, source, calls = "coalesce(file_kind = 'test', FALSE)", "coalesce(file_kind = 'source', FALSE)", "g.id IS NOT NULL"
+    boosts = [(exact, 1.1), (f"{calls} AND g.by_compiler", 0.25), (f"{calls} AND g.by_module", 0.22), (calls, 0.22)]
+    demotions = [("regexp_matches(lower(name), '(schema|params|input)$')", 0.18)]
+    if model.intent == "implementation":
+        boosts += [(source, 0.7), ("kind IN ('Function', 'Class')", 0.28)]
+        demotions += [(test, 0.72), (test, 0.62)]
+    if model.intent == "caller":
+        boosts += [(calls, 0.55), (f"{calls} AND kind = 'Function'", 0.55), (f"{calls} AND kind = 'Class'", 0.3)]
+        demotions += [(test, 0.62), (test, 0.28), (exact, 2.2)]
+    if model.intent == "imports":
+        demotions += [(test, 0.62), (exact, 1.1)]
+    if model.intent == "test":
+        boosts += [(test, 0.68)]
+        demotions += [(source, 0.22)]
+    add = lambda rules: " + ".join(f"CASE WHEN {c} THEN {w}::DOUBLE ELSE 0 END" for c, w in rules)
+    words = [w for w in model.words if len(w) >= 4 and w not in ("then", "from", "with", "into", "this", "that")]
+    hits = " + ".join(f"CASE WHEN contains(lower(coalesce(file, '')), '{w}') OR contains(lower(name), '{w}') THEN 1 ELSE 0 END" for w in words)
+    cover = "CASE WHEN n_words >= 2 THEN least(n_words * 0.14::DOUBLE, 0.84) ELSE 0 END + CASE WHEN n_words >= 3 AND kind IN ('Function', 'Class') THEN 0.28::DOUBLE ELSE 0 END" if len(words) >= 2 else "0"
+    return f"""{_sources_sql(model)}, j AS (SELECT f.id, fusion, sources, s.kind, s.file, s.name, coalesce(l.lexical, 0) AS by_words, {exact} OR {calls} AS allows, {add(boosts)} AS boosts, {add(demotions)} AS demotion, {hits or '0'} AS n_words
+  FROM f JOIN symbols s ON f.id = s.id LEFT JOIN called g ON g.id = f.id LEFT JOIN (SELECT id, lexical FROM lex WHERE place <= 120) l ON l.id = f.id),
+s AS (SELECT *, round(boosts + {cover} + least(by_words, 0.6), 6) AS boost FROM j), r AS (SELECT *, round(fusion + boost - round(demotion, 6), 6) AS score FROM s)"""
+
+
+def _ranked_sql(model: retrieval.QueryModel, limit: int = 20) -> str:
+    order = f"score DESC, {KIND_ORDER}, coalesce(file, ''), coalesce(name, ''), id"
+    if model.intent in ("caller", "imports"):
+        kept = "SELECT * FROM n WHERE n <= 4"
+    else:
+        kept = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, n > 1 AND allows ORDER BY n) AS m FROM n) WHERE n = 1 OR (n > 1 AND allows AND m = 1)"
+    return f"WITH {_scored_sql(model)}, n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY {order}) AS n FROM r), k AS ({kept}) SELECT id, score, greatest(0, least(0.99, round(score / 4, 6))) AS normal, sources FROM k ORDER BY {order} LIMIT {limit}"
+
+
+def _ranked(t: Tables, intent: str, limit: int = 20) -> DataFrame:
+    model = MODELS[intent]
+    candidates, met, lex = _candidates(t, model)
+    rows = retrieval.hybrid(_nodes(t), candidates, model, limit, met, lex)
+    return rows.select("id", "score", retrieval.normalized(F.col("score")).alias("normal"), "sources")
 
 
-def _candidates(t: Tables) -> DataFrame:
-    n = nodes(t, "Function", "Class", "TypeAlias")
-    flat = n.withColumn("s", F.lit(0))
-    parts = [retrieval.top(_lexical(t).filter("score > 0"), "score", 120, "lexical"), retrieval.top(flat.filter("lower(name) = 'handle12'"), "s", 8, "symbol"), retrieval.top(flat.filter("exported AND kind = 'Function' AND contains(name, '12')"), "s", 60, "graph")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+@query(f"WITH {_scored_sql(MODELS['imports'])} SELECT id, boost, round(demotion, 6) AS demotion, score FROM r")
+def boost_demote_score(t: Tables) -> DataFrame:
+    model = MODELS["imports"]
+    candidates, met, lex = _candidates(t, model)
+    return retrieval.scored(_nodes(t), candidates, model, met, lex).select("id", "boost", "demotion", "score")
 
 
-@query(f"WITH {SOURCES} SELECT id, round(fusion, 6) AS fusion, sources FROM f")
-def rrf_fusion(t: Tables) -> DataFrame:
-    return retrieval.fused(_candidates(t)).select("id", F.round("fusion", 6).alias("fusion"), "sources")
+@query(_ranked_sql(MODELS["caller"]))
+def hybrid_topk(t: Tables) -> DataFrame:
+    return _ranked(t, "caller")
 
 
-_BOOST = f"CASE WHEN lower(name) IN ({', '.join(repr(s.lower()) for s in MODEL.symbol_tokens)}) THEN 1.1 ELSE 0 END + CASE WHEN file_kind = 'source' THEN 0.7 ELSE 0 END + CASE WHEN kind IN ('Function', 'Class') THEN 0.28 ELSE 0 END"
-SCORED = f"""{SOURCES}, b AS (SELECT f.id, fusion, sources, file, name, ({_BOOST})::DOUBLE AS boost, (CASE WHEN file_kind = 'test' THEN 0.62 ELSE 0 END)::DOUBLE AS demotion FROM f JOIN symbols s ON f.id = s.id),
-s AS (SELECT *, round(fusion + boost - demotion, 6) AS score FROM b)"""
+@query(_ranked_sql(MODELS["implementation"]))
+def hybrid_implementation(t: Tables) -> DataFrame:
+    return _ranked(t, "implementation")
 
 
-@query(f"WITH {SCORED} SELECT id, round(boost, 6) AS boost, round(demotion, 6) AS demotion, score FROM s")
-def boost_demote_score(t: Tables) -> DataFrame:
-    return retrieval.hybrid(nodes(t, "Function", "Class", "TypeAlias"), _candidates(t), MODEL, 1 << 20, 1 << 20).select("id", "boost", "demotion", "score")
+@query(_ranked_sql(MODELS["test"]))
+def hybrid_tests(t: Tables) -> DataFrame:
+    return _ranked(t, "test")
 
 
-@query(f"WITH {SCORED}, n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, file, name, id) AS n FROM s) SELECT id, score, greatest(0, least(0.99, round(score / 4, 6))) AS normal, sources FROM n WHERE n <= 2 ORDER BY score DESC, file, name, id LIMIT 20")
-def hybrid_topk(t: Tables) -> DataFrame:
-    rows = retrieval.hybrid(nodes(t, "Function", "Class", "TypeAlias"), _candidates(t), MODEL, 20, 2)
-    return rows.select("id", "score", retrieval.normalized(F.col("score")).alias("normal"), "sources")
+@query(_ranked_sql(MODELS["imports"]))
+def hybrid_imports(t: Tables) -> DataFrame:
+    return _ranked(t, "imports")
 
 
 #: Questions with an intent each.
@@ -114,11 +179,9 @@ ASKED = ["where is foo called", "route handler wired api", "test suite for cart"
 
 def _intent_sql() -> str:
     rows = ", ".join(f"({i}, '{q}')" for i, q in enumerate(ASKED))
-    any_of = lambda names: f"list_has_any(w, {sorted(names)!r})"
+    cases = " ".join("WHEN " + " AND ".join(f"list_has_any(w, {list(g)!r})" for g in groups) + f" THEN '{name}'" for name, groups in retrieval.INTENTS)
     return f"""WITH q(i, q) AS (VALUES {rows}), w AS (SELECT i, list_filter(regexp_extract_all(lower(q), '[a-z_$][a-z0-9_$]*'), lambda x: length(x) > 2) AS w FROM q)
-SELECT i, CASE WHEN list_contains(w, 'not') AND {any_of(retrieval.TESTS)} AND {any_of(retrieval.CODE)} THEN 'implementation' WHEN {any_of(retrieval.TESTS | {"suite"})} THEN 'test'
- WHEN list_contains(w, 'route') AND {any_of({"api", "handler", "mutation", "server", "wired"})} OR {any_of(retrieval.FLOW)} THEN 'app-flow' WHEN list_has_all(w, ['where', 'called']) OR {any_of({"caller", "callers", "calls", "usage", "uses"})} THEN 'caller'
- WHEN {any_of({"import", "imports", "imported", "importing"})} THEN 'imports' WHEN {any_of({"callee", "callees", "called"})} THEN 'callee' WHEN {any_of({"implementation", "implemented", "source", "handler"})} THEN 'implementation' ELSE 'broad' END AS intent FROM w"""
+SELECT i, CASE {cases} ELSE 'broad' END AS intent FROM w"""
 
 
 @query(_intent_sql())
