@@ -76,9 +76,11 @@ def discover(spark: SparkSession, root: str, policy: Policy = Policy()) -> DataF
     files = scan(spark, root)
     named = packages(files).select("folder", "package_name")
     rows = files.withColumn("reason", reason(F.col("path"), policy))
-    inside = (F.col("folder") == "") | F.col("path").startswith(F.concat("folder", F.lit("/")))
-    w = Window.partitionBy("path").orderBy(F.length("folder").desc_nulls_last(), "folder")
-    rows = rows.join(named, inside, "left").withColumn("_n", F.row_number().over(w)).filter("_n = 1")
+    # the deepest package above a file, by an equi-join on all of its folders
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    homes = files.select("path", F.explode(above).alias("folder")).join(named, "folder").groupBy("path").agg(F.max_by("package_name", F.length("folder")).alias("package_name"))
+    rows = rows.join(homes, "path", "left")
     text = F.when(F.col("reason") == "included", F.col("content").cast("string"))
     return rows.select("path", "package_name", "reason", F.when(is_test_path(F.col("path")), "test").otherwise("source").alias("file_kind"), "bytes", "modified", F.sha2("content", 256).alias("content_hash"), text.alias("text"))
 

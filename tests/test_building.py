@@ -41,7 +41,7 @@ def test_paths(spark):
 def test_graph(spark, root, tmp_path):
     nodes, edges, files, facts = index_workspace(spark, str(root))
     got = edges_of(edges)
-    assert ("CALLS", "total:1", "add:4") in got and ("CALLS", "Main:5", "total:1") in got
+    assert ("CALLS", "total:1", "add:4") in got and ("CALLS", "go:6", "total:1") in got
     assert ("EXTENDS", "Main:5", "Base:2") in got and ("IMPLEMENTS", "Main:5", "Runs:8") in got
     assert ("IMPORTS", "packages/app/main.ts", "packages/core/src/sum.ts") in got and ("IMPORTS", "packages/app/main.ts", "packages/core/src/index.ts") in got
     assert ("TESTS", "packages/core/src/sum.test.ts", "total:1") in got and ("TESTS", "packages/app/lone.test.ts", "packages/app/lone.ts") in got
@@ -49,7 +49,7 @@ def test_graph(spark, root, tmp_path):
     store = GraphStore(spark, str(tmp_path))
     store.publish(store.write(nodes, edges))
     engine = Engine(*store.open())
-    assert {r["name"] for r in engine.callers("total").collect()} == {"Main"}
+    assert {r["name"] for r in engine.callers("total").collect()} == {"go"}
     assert "return xs.reduce" in engine.get_context(engine.find_symbol("total").first()["id"]).first()["excerpt"]
 
     (root / "packages/app/lone.ts").write_text("import { total } from '../core/src/sum';\nexport const lone = () => total([]);\n")

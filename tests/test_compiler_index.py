@@ -91,7 +91,7 @@ def test_fusion(facts, spark):
     told = ci.matched(definitions, symbols)
     assert {r["name"]: (r["new"], r["kind"]) for r in told.collect()} == {"total": (False, "Function"), "n": (False, "Symbol"), "Base": (False, "Class"), "Main": (False, "Class")}
     edges = {(r["kind"], r["from_id"].split("#")[-1], r["to_id"].split("#")[-1]): r["evidence"] for r in ci.fused_edges(told, references, symbols, source).collect()}
-    assert ("CALLS", "Main:3", "total:1") in edges and ("CALLS", "check:1", "total:1") in edges and ("TESTS", "check:1", "total:1") in edges
+    assert ("CALLS", "go:4", "total:1") in edges and ("CALLS", "check:1", "total:1") in edges and ("TESTS", "check:1", "total:1") in edges
     assert edges["EXTENDS", "Main:3", "Base:1"] == ["compiler", "type-relationship"] and ("IMPORTS", "file:main.ts", "Base:1") in edges
     assert ("EXPORTS", "file:sum.ts", "total:1") in edges and ("DEFINES", "file:base.ts", "Base:1") in edges
     assert not any(k == "CALLS" and b == "Base:1" for k, _, b in edges)
