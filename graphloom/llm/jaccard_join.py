@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.components import connected
 from graphloom.llm.shared import byte_slices, discard, texts_of, written
-from graphloom.llm.word_hashes import Runs, WordHashes, mixed
+from graphloom.llm.word_hashes import WORDS, Runs, mixed
 
 SLICE = 2 << 20
 BITMAP_BITS = 1 << 25
@@ -49,8 +49,6 @@ SAMPLE = 512
 TURNS = 3
 CLASSES = 64
 
-_words = WordHashes()
-
 
 class Likeness:
     """Linked if ``den * intersection >= num * union``, for sets of ``width``-word shingles; all bounds in integers."""
@@ -107,7 +105,7 @@ class Sets:
     def __init__(self, texts: list[bytes], like: Likeness):
         split = [t.lower().split() for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        runs = Runs(_words.of([w for x in split for w in x]))
+        runs = Runs(WORDS.of([w for x in split for w in x]))
         width = np.minimum(like.width, sizes)
         count = np.where(sizes > 0, sizes - width + 1, 0)
         owner = np.repeat(np.arange(len(split)), count)

@@ -22,15 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.shared import byte_slices, discard, texts_of, written
-from graphloom.llm.word_hashes import Runs, WordHashes, mixed
+from graphloom.llm.word_hashes import WORDS, Runs, mixed
 
 SLICE = 2 << 20
 #: Bits of the bitmap that turns texts away; beyond some tens of millions of survivors it turns away fewer, never wrongly.
 BITMAP_BITS = 1 << 25
 MOST_OFTEN = 1024
 
-_words = WordHashes()
-
 
 def least_runs(h: np.ndarray, span: int) -> np.ndarray:
     """For each window of ``span`` neighbouring hashes the place of its least, the leftmost of equals."""
@@ -51,7 +49,7 @@ class Stretches:
         self.sizes = np.fromiter(map(len, split), np.int64, len(split))
         self.ends = np.cumsum(self.sizes)
         self.begins = self.ends - self.sizes
-        words = _words.of([w for x in split for w in x])
+        words = WORDS.of([w for x in split for w in x])
         self.runs = Runs(words)
         n, span = len(words), size - part + 1
         none = np.zeros(0, np.int64)

@@ -27,6 +27,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One memo a process, whichever operators run in it.
+WORDS = WordHashes()
+
+
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective scrambling of 64-bit values, another one for each salt."""
     x = x + np.uint64((salt * _STEP + 0x632BE59BD9B4E019) % (1 << 64))
