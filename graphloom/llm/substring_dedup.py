@@ -27,7 +27,7 @@ from graphloom.llm.word_hashes import WORDS, Runs, mixed
 SLICE = 2 << 20
 #: Bits of the bitmap that turns texts away; beyond some tens of millions of survivors it turns away fewer, never wrongly.
 BITMAP_BITS = 1 << 25
-MOST_OFTEN = 1024
+MOST_OFTEN = 64
 
 
 def least_runs(h: np.ndarray, span: int) -> np.ndarray:
