@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.shared import byte_slices, discard, texts_of, written
+from graphloom.llm.word_hashes import forget
 
 
 #: Marks that a pre-tokenizer splits from a word they follow, and no contraction begins with.
@@ -130,9 +131,10 @@ def token_pieces(df: DataFrame, tokenizer_path: str, most: int = 2048, end_id: i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         tokens = _tokens.get(tokenizer_path) or _tokens.setdefault(tokenizer_path, ChunkTokens(tokenizer_path))
         for whole in batches:
-            for batch in byte_slices(whole, "text", 2 << 20):
+            for batch in byte_slices(whole, "text", 1 << 20):
                 row, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(tokens.of(texts_of(batch, "text"))):
                     ids += end
