@@ -218,7 +218,12 @@ def index_workspace(spark: SparkSession, root: str, policy: Policy = Policy(), k
         fresh = sources.join(diff.filter("status IN ('added', 'changed')"), "path", "left_semi")
         facts = known[1].join(diff.filter("status = 'unchanged'"), "path", "left_semi").unionByName(extract_facts(fresh))
     facts = cut(facts)  # read by every step below
-    symbols = cut(declared(facts))
     settings = scan(spark, root).filter(F.col("path").rlike(r"(^|/)(package|[tj]sconfig)\.json$"))
+    return *assembled(files, facts, settings), files, facts
+
+
+def assembled(files: DataFrame, facts: DataFrame, settings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of discovered files, their facts, and the JSON files (path, content) that say how modules resolve."""
+    symbols = cut(declared(facts))
     resolved = cut(resolve_modules(facts, files, packages(settings), modules.package_exports(settings), modules.path_aliases(settings)))
-    return graph_nodes(files, symbols, facts), graph_edges(files, facts, symbols, resolved), files, facts
+    return graph_nodes(files, symbols, facts), graph_edges(files, facts, symbols, resolved)

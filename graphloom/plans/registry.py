@@ -29,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Callable], Query]:
 
 
 def _load() -> None:
-    from graphloom.plans import graph_queries, measure_queries, ranking_queries, text_queries  # noqa: F401
+    from graphloom.plans import graph_queries, measure_queries, ranking_queries, text_queries, tree_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -42,6 +42,10 @@ class GraphStore:
         text = self._get(f"{self.root}/current.json")
         return json.loads(text)["generation"] if text else None
 
+    def manifest(self, name: str) -> dict | None:
+        text = self._get(f"{self.root}/generations/{name}/manifest.json")
+        return json.loads(text) if text else None
+
     def open(self, name: str | None = None) -> tuple[DataFrame, DataFrame]:
         """Nodes and edges of a generation, the active one by default; later publishing doesn't change them."""
         name = name or self.active()

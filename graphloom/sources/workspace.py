@@ -72,8 +72,12 @@ def packages(files: DataFrame) -> DataFrame:
 
 
 def discover(spark: SparkSession, root: str, policy: Policy = Policy()) -> DataFrame:
-    """Files with reason, deepest enclosing package, kind, content hash and line count of included ones."""
-    files = scan(spark, root)
+    """Files with reason, deepest enclosing package, kind, content hash and text of included ones."""
+    return discovered(scan(spark, root), policy)
+
+
+def discovered(files: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """The same from rows (path, bytes, modified, content)."""
     named = packages(files).select("folder", "package_name")
     rows = files.withColumn("reason", reason(F.col("path"), policy))
     # the deepest package above a file, by an equi-join on all of its folders
