@@ -37,7 +37,7 @@ from graphloom.llm.components import connected
 from graphloom.llm.shared import byte_slices, discard, texts_of, written
 from graphloom.llm.word_hashes import WORDS, Runs, mixed
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 BITMAP_BITS = 1 << 25
 #: At most so many shingles count as very frequent: those on more than this fraction of all prefix rows.
 MOST_HOT = 1 << 20

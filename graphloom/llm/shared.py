@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -16,6 +17,24 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _lean_allocator() -> None:
+    """Has arrays of a megabyte or more go back to the system when they are freed.
+
+    By default the C library raises that threshold with each large array, and a worker that Spark uses again for other
+    stages keeps what the largest of them took. Elsewhere than on glibc nothing is set.
+    """
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 22)  # M_TRIM_THRESHOLD
+        libc.mallopt(-8, 2)  # M_ARENA_MAX
+    except (OSError, AttributeError):
+        pass
+
+
+_lean_allocator()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a
     temporary folder, and a cluster, whose machines share none, an error."""

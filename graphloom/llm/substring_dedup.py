@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.shared import byte_slices, discard, texts_of, written
 from graphloom.llm.word_hashes import WORDS, Runs, mixed
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Bits of the bitmap that turns texts away; beyond some tens of millions of survivors it turns away fewer, never wrongly.
 BITMAP_BITS = 1 << 25
 MOST_OFTEN = 64
