@@ -49,10 +49,21 @@ class Engine:
         return symbols.callers(self.edges, self.nodes, self._seeds(symbol), self._limit(limit))
 
     def callees(self, symbol: str, limit: int = 10) -> DataFrame:
-        return symbols.callees(self.edges, self.nodes, self._seeds(symbol), self._limit(limit))
+        """What a symbol calls, and what its file calls outside of any symbol."""
+        seeds = self._seeds(symbol)
+        files = self.nodes.join(seeds, "id", "left_semi").filter("file is not null").select("file").distinct()
+        own = self.nodes.filter("kind = 'File'").join(files, "file", "left_semi").select("id")
+        return symbols.callees(self.edges, self.nodes, seeds.unionByName(own), self._limit(limit))
 
     def references(self, symbol: str, limit: int = 10) -> DataFrame:
-        return symbols.references(self.edges, self.nodes, self._seeds(symbol), self._limit(limit))
+        """Where a symbol is used, the most telling first, then its definitions."""
+        n = self._limit(limit)
+        used = symbols.references(self.edges, self.nodes, self._seeds(symbol), n).withColumn("score", symbols.reference_score(symbol))
+        named = (F.col("name") == symbol) | F.coalesce(F.col("qualified_name") == symbol, F.lit(False))
+        defined = symbols.find_symbols(self.nodes, symbol, min(n, 10)).filter(named & F.col("kind").isin("Function", "Class", "Interface", "TypeAlias", "Symbol", "Chunk")).limit(5)
+        columns = ["id", "kind", "file", "name"]
+        both = used.select(*columns, "score", F.lit(False).alias("definition")).unionByName(defined.join(used.select("id"), "id", "left_anti").select(*columns, F.lit(None).cast("double").alias("score"), F.lit(True).alias("definition")))
+        return both.orderBy("definition", F.col("score").desc(), F.coalesce("file", F.lit("")), F.coalesce("name", F.lit("")), "id").limit(n)
 
     def relationships(self, symbol: str, kinds: list[str] | None = None, limit: int = 20) -> DataFrame:
         return symbols.relationships(self.edges, self.nodes, self._seeds(symbol), list(kinds or EDGE_KINDS), self._limit(limit))

@@ -170,3 +170,27 @@ def fact_checks(facts: DataFrame, checks: list[dict]) -> DataFrame:
     fits = (F.col("at").isNull() | (F.col("at") == F.col("path"))) & F.forall(F.map_entries(F.col("need")), lambda e: F.element_at("have", e["key"]).eqNullSafe(e["value"]))
     met = asked.withColumn("need", wanted).join(told, fits, "left").groupBy("n", "wanted").agg(F.count("path").alias("found"))
     return met.select("n", "found", ((F.col("found") > 0) == F.col("wanted")).alias("passed"))
+
+
+def run_cases(engine, cases: DataFrame) -> DataFrame:
+    """Results (id, rank, file, symbol, kind) of the cases' questions, asked of an engine by their mode.
+
+    Cases are a pack's, so their number doesn't grow with the graph; each question is a plan of its own.
+    """
+    asks = {"find-symbol": engine.find_symbol, "callers": engine.callers, "callees": engine.callees, "references": engine.references, "semantic": engine.semantic_search}
+    orders = {"callers": ("rank",), "callees": ("rank",), "find-symbol": ("rank",)}
+    shape = "id string, rank int, file string, symbol string, kind string"
+    out = []
+    for case in cases.select("id", "mode", "query", "limit").distinct().orderBy("id").collect():
+        rows = asks[case["mode"]](case["query"], case["limit"] or 10).collect()
+        if case["mode"] in orders:
+            rows = sorted(rows, key=lambda r: tuple(r[c] for c in orders[case["mode"]]))
+        out += [(case["id"], i, r["file"], r["name"], r["kind"]) for i, r in enumerate(rows, 1)]
+    return engine.spark.createDataFrame(out, shape)
+
+
+def run_suite(engine, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(case results, roll-up) of a pack's query cases."""
+    cases = load_pack(engine.spark, folder)
+    results = case_results(ranked_expectations(cases, run_cases(engine, cases)))
+    return results, rollup(results)

@@ -75,13 +75,41 @@ def related(edges: DataFrame, nodes: DataFrame, seeds: DataFrame | list[str], ki
     return hits.withColumn("seed", F.col(near)).join(nodes, hits[far] == nodes["id"])
 
 
+def by_folder(points: dict[str, int]) -> Column:
+    """Points for folders in a node's path."""
+    out = F.lit(0)
+    for folder, n in points.items():
+        out = out + flag(F.coalesce(F.col("file").contains(folder), F.lit(False)), n)
+    return out
+
+
+def reference_score(symbol: str) -> Column:
+    """How much a reference tells of a symbol's use, higher first."""
+    query = symbol.lower()
+    path, name = F.lower(F.coalesce("file", F.lit(""))), F.lower(F.coalesce("name", F.lit("")))
+    has = lambda e: F.coalesce(F.array_contains("evidence", e), F.lit(False))
+    rules = [
+        (path.contains(query) | name.contains(query), 0.6), (has("compiler"), 0.6), (has("module-resolution"), 0.5), (has("mutation-to-database"), 1.1),
+        (F.coalesce(F.col("confidence") == "high", F.lit(False)), 0.4), (path.rlike("mutation|service|api-core"), 0.9), (F.col("kind").isin("Function", "Class", "Symbol"), 0.35),
+        (F.col("kind").isin("Import", "Export"), -0.45), (path.rlike(r"\.(test|spec)\.[cm]?[jt]sx?$|/__tests__/"), -0.7), (path.rlike("/node_modules/|/dist/|/generated/"), -0.9),
+    ]
+    if query in ("prisma", "db") or "database" in query:
+        rules += [(path.rlike(r"/routes?/|/api/|/route\.[cm]?[jt]sx?$"), 1.7), (path.rlike("mutation|api-core"), 1.45), (path.contains("/billing/"), -3.5)]
+    score = F.lit(0.0)
+    for fits, points in rules:
+        score = score + flag(fits, points)
+    return F.round(score, 6)
+
+
 def call_rank(incoming: bool) -> Column:
     """Order of call relations: lower is better."""
     high = flag(F.coalesce(F.col("confidence") == "high", F.lit(False)), 8)
     compiler = F.array_contains("evidence", "compiler")
+    told = lambda e: flag(F.coalesce(F.array_contains("evidence", e), F.lit(False)), 1)
     if incoming:
+        high = high + 12 * told("mutation-to-database") + 4 * told("transitive-call") - by_folder({"/api-core/": -16, "/routes/": -12, "/database/": -10, "/scripts/": 28, "/billing/": 24})
         return F.lit(100) - flag(F.col("file_kind") == "source", 18) + flag(F.col("file_kind") == "test", 18) - flag(F.col("kind").isin("Function", "Chunk"), 16) + flag(F.col("kind") == "File", 4) - high - flag(F.array_contains("evidence", "module-resolution"), 10) - flag(compiler, 6)
-    return F.lit(100) - flag(F.col("kind").isin("Function", "Class"), 20) - high - flag(compiler, 5)
+    return F.lit(100) - flag(F.col("kind").isin("Function", "Class"), 20) - flag(F.col("kind") == "Symbol", 10) - high - flag(compiler, 5) + 25 * told("transitive-call")
 
 
 def ranked_first(rows: DataFrame, rank: Column, key: list[Column], limit: int) -> DataFrame:
@@ -101,7 +129,7 @@ def callees(edges: DataFrame, nodes: DataFrame, seeds: DataFrame | list[str], li
 
 def references(edges: DataFrame, nodes: DataFrame, seeds: DataFrame | list[str], limit: int) -> DataFrame:
     """One reference per file, best first."""
-    rank = F.lit(100) - flag(F.col("file_kind") == "source", 18) + flag(F.col("file_kind") == "test", 18) - flag(F.col("kind").isin("Function", "Chunk"), 14) - flag(F.coalesce(F.col("confidence") == "high", F.lit(False)), 8) - flag(F.array_contains("evidence", "compiler"), 6) - flag(F.array_contains("evidence", "module-resolution"), 22)
+    rank = F.lit(100) - flag(F.col("file_kind") == "source", 18) + flag(F.col("file_kind") == "test", 18) - flag(F.col("kind").isin("Function", "Chunk"), 14) - flag(F.coalesce(F.col("confidence") == "high", F.lit(False)), 8) - flag(F.array_contains("evidence", "compiler"), 6) - flag(F.array_contains("evidence", "module-resolution"), 22) + by_folder({"/api-core/": -10, "/routes/": -6, "/scripts/": 28, "/billing/": 24})
     return ranked_first(related(edges, nodes, seeds, "REFERENCES", True), rank, [F.coalesce("file", "id")], limit)
 
 

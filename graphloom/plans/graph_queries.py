@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import changes, symbols, traversal
@@ -255,9 +255,10 @@ def colocated_fallback_anti(t: Tables) -> DataFrame:
     """Tests without a direct link get a source file of their folder."""
     files = nodes(t, "File").select("id", "file", "file_kind", F.substring_index("file", "/", 1).alias("folder"), F.regexp_extract("file", "/c([0-9]+)", 1).cast("long").alias("k"))
     linked = t.orders.filter("o_orderstatus = 'P'").select(F.concat(F.lit("file:"), F.col("o_custkey").cast("string")).alias("lid"))
-    tests = files.filter("file_kind = 'test'").join(linked, F.col("id") == F.col("lid"), "left_anti").select(F.col("file").alias("test_file"), "folder", F.col("k").alias("tk"))
-    sources = files.filter("file_kind = 'source'").select("folder", "file", "k")
-    return tests.join(sources, "folder").filter("k > tk").groupBy("test_file").agg(F.min("file").alias("source_file"))
+    after = Window.partitionBy("folder").orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    first = files.withColumn("source_file", F.min(F.when(F.col("file_kind") == "source", F.col("file"))).over(after))
+    tests = first.filter("file_kind = 'test' AND source_file IS NOT NULL")
+    return tests.join(linked, F.col("id") == F.col("lid"), "left_anti").select(F.col("file").alias("test_file"), "source_file")
 
 
 @query(f"""WITH {CUSTOMERS}, l AS (SELECT c_nationkey, min(c_custkey) AS layout FROM cust GROUP BY c_nationkey)

@@ -9,6 +9,7 @@ import json
 import os
 import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,6 +135,16 @@ class Records:
         if state and state["owner"] == owner:
             self.files.delete(f"{self.root}/write.lock")
 
+    @contextmanager
+    def writing(self, owner: str):
+        """Holds the write lock; raises if another run has it."""
+        if not self.lock(owner):
+            raise RuntimeError(f"another run writes: {self.lock_state()}")
+        try:
+            yield
+        finally:
+            self.unlock(owner)
+
     # facts that the next run can use again
     def keep_facts(self, name: str, files: DataFrame, facts: DataFrame, settings: str) -> None:
         """files and facts of a generation as Parquet, with the hash of all settings that made them."""
