@@ -17,7 +17,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, trained on the labelled ones, doesn't reject. Null and empty texts stay."""
+    """Documents that the model, trained on the labelled ones, doesn't reject. Null and empty texts stay,
+    repeated rows too; null ids are never trained on. An empty table gives an empty one."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(*toxicity.training_rows(docs, labels))
     scored = toxicity.score_documents(docs, model, keep=tuple(COLUMNS))
@@ -25,12 +26,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more of five-word shingles."""
+    """One document of each group linked by a similarity of 0.8 or more of five-word shingles.
+
+    Repeated rows are one group. Documents without words, null texts among them, are linked with nothing and all stay.
+    """
     return jaccard_join.one_of_each_group(docs.select(COLUMNS), num=80, den=100, width=5)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of 50-word windows that occur again; n_chars is that of the new text."""
+    """Documents without the words of 50-word windows that occur again; n_chars is that of the new text.
+
+    A null text stays null, and one that isn't cut stays as it is; a document all of whose words go stays, empty.
+    """
     cut = substring_dedup.without_repeats(docs.select(COLUMNS), size=50)
     return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(COLUMNS)
 
@@ -43,7 +50,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens, each with its sequence and its place there."""
+    """Pieces of at most 2048 tokens, each with its sequence and its place there. A null or empty text is its end token
+    alone; repeated rows are packed each."""
     return best_fit_packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048)
 
 
