@@ -126,7 +126,11 @@ _tokens: dict[str, ChunkTokens] = {}
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, most: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: id, piece, start, length, ids_crc32. A document is its ids and ``end_id``; longer ones are cut every ``most``."""
+    """Per piece: id, piece, start, length, ids_crc32. A document is its ids and ``end_id``; longer ones are cut every ``most``.
+
+    A null or empty text is ``end_id`` alone. Null and repeated ids are documents of their own, texts of any length are
+    read whole, other columns are not read, an empty table gives an empty one.
+    """
     source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     end = np.array([end_id], "<u4").tobytes()
 

@@ -148,7 +148,11 @@ def format_conversations(df: DataFrame, template: Template = marked_turns, loss_
 
 
 def conversation_digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """What the output says of itself: turns read back from it, and the text under the loss spans, as counts and hashes."""
+    """What the output says of itself: turns read back from it, and the text under the loss spans, as counts and hashes.
+
+    A null output has nulls; null spans are none. Repeated rows stay, other columns are not read, an empty table gives an
+    empty one.
+    """
     kind = dict(formatted.dtypes)[id_col]
     source = formatted.select(formatted[id_col].alias("id"), "formatted", "loss_spans")
 
@@ -160,7 +164,7 @@ def conversation_digests(formatted: DataFrame, id_col: str = "conv_id") -> DataF
                     rows.append((None,) * 5)
                     continue
                 turns = read_turns(output)
-                loss = "".join(unescape(output[a:b]) for a, b in spans)
+                loss = "".join(unescape(output[a:b]) for a, b in spans or ())
                 rows.append((len(turns), _hex("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), _hex(loss), len(output)))
             columns = list(zip(*rows)) or [()] * 5
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
