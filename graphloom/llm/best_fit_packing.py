@@ -248,7 +248,7 @@ def longest_first(lengths: list[int], items: list[int]) -> list[int]:
     return sorted(items, key=lambda i: -lengths[i])
 
 
-def evolve(lengths: list[int], size: int, seed: int, immigrants: list[Packing], population: int = 6, generations: int = 40, patience: int = 15) -> tuple[list[Packing], int]:
+def evolve(lengths: list[int], size: int, seed: int, immigrants: list[Packing], population: int = 6, generations: int = 40, patience: int = 8) -> tuple[list[Packing], int]:
     """One epoch of one island: its two best packings, and the bins of the best one before the first generation.
 
     Members that no immigrant provides are pieces best-fitted in random order. It ends early at the lower bound, and
@@ -269,8 +269,7 @@ def evolve(lengths: list[int], size: int, seed: int, immigrants: list[Packing],
             break
         a, b = rng.sample(ranked, 2)
         child = crossover(lengths, max(a, b)[2], min(a, b)[2], size, rng)
-        if rng.random() < 0.5:
-            child = mutate(lengths, child, size, rng)
+        child = mutate(lengths, child, size, rng)
         ranked = sorted([*ranked, (worth(child, size), population + k, child)], reverse=True)[:population]
         since = 0 if -ranked[0][0][0] < best else since + 1
         best = -ranked[0][0][0]
