@@ -8,10 +8,10 @@ documents hang together:
    each (shingle, size band) has a pivot, its first document, and the documents under a pivot form its region; a
    document near several pivots, or at the edge of a size band, is replicated to each region. Very frequent shingles
    come last in the order, which keeps common passages from being anyone's first shingles.
-3. Regions are thinned by profiles (how many of a set's shingles each of 64 hash classes has) and then join on sketches
-   (the part of each set in a fixed fraction of hash space; symmetric difference is a metric too). Profiles or sketches
-   that differ by more than whole sets may, part documents exactly. What hangs together in a region goes on to a join
-   on whole sets.
+3. Regions are thinned by profiles (how many of a set's shingles each of some hash classes has; larger sets have more
+   classes) and then join on sketches (the part of each set in a fixed fraction of hash space; symmetric difference is a
+   metric too). Profiles or sketches that differ by more than whole sets may, part documents exactly. What hangs together
+   in a region goes on to a join on whole sets.
 4. Both joins go the same way (``Region``): pivots, each the farthest from those before; a Voronoi cell for each, with
    the documents nearest to it and, by the triangle inequality, those less than twice the radius farther from it than
    from their own pivot; a cell for the documents far from all pivots; and each cell joined in the same way, until it
@@ -47,7 +47,9 @@ PIVOTS = 16
 #: Of a region to be parted about so many documents are candidates for pivots.
 SAMPLE = 512
 TURNS = 3
+#: A profile has so many classes at least, and its numbers stop at MOST_COUNTED.
 CLASSES = 64
+MOST_COUNTED = 65535
 
 
 class Likeness:
@@ -55,7 +57,7 @@ class Likeness:
 
     def __init__(self, num: int, den: int, width: int):
         self.num, self.den, self.width = num, den, width
-        need = 2 * (den - num) / (den + num)  # largest difference of linked sets, per element of one
+        self.need = need = 2 * (den - num) / (den + num)  # largest difference of linked sets, per element of one
         self.sketch_bits = 0
         while self.sketch_bits < 6 and 2.0 ** -(self.sketch_bits + 1) * 2 > 1.9 * need:
             self.sketch_bits += 1
@@ -77,6 +79,11 @@ class Likeness:
         width = np.log(self.den / self.num) * (1 + 1e-9) if self.num < self.den else 1e-9
         return np.floor(np.log(np.maximum(n, 1)) / width).astype(np.int64)
 
+    def classes(self, n: np.ndarray) -> np.ndarray:
+        """Classes of the profile of a set of size n, a power of two. Profiles of two unrelated sets differ by about
+        1.13 * sqrt(classes * n), and so many classes make that 1.5 times what linked sets may differ by, at least."""
+        least = np.maximum(CLASSES, n * (1.5 / 1.13 * self.need) ** 2)
+        return np.int64(1) << np.ceil(np.log2(least)).astype(np.int64)
 
     def reach(self, n: np.ndarray, exact: bool) -> np.ndarray:
         """No set linked with one of size n is farther from it."""
@@ -129,11 +136,13 @@ class Sets:
             out.append(mixed(sums[self.begin + self.n] - sums[self.begin], salt).view(np.int64))
         return out[0], out[1]
 
-    def profiles(self) -> list[bytes]:
+    def profiles(self, like: Likeness) -> list[bytes]:
         """How many shingles fall into each class, as unsigned 16-bit numbers that stop at the highest."""
-        of = self.owner * CLASSES + (self.h & np.uint64(CLASSES - 1)).astype(np.int64)
-        counts = np.bincount(of, minlength=CLASSES * len(self.n)).reshape(-1, CLASSES)
-        return [row.tobytes() for row in np.minimum(counts, 65535).astype("<u2")]
+        classes = like.classes(self.n)
+        end = np.cumsum(classes)
+        of = (end - classes)[self.owner] + (self.h & (classes[self.owner] - 1).astype(np.uint64)).astype(np.int64)
+        counts = np.minimum(np.bincount(of, minlength=int(classes.sum())), MOST_COUNTED).astype("<u2")
+        return [counts[b:e].tobytes() for b, e in zip((end - classes).tolist(), end.tolist())]
 
     def lists(self, chosen: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
         sizes = np.bincount(self.owner[chosen], minlength=len(self.n))
@@ -194,7 +203,7 @@ def _read(source: DataFrame, like: Likeness) -> DataFrame:
                         pa.array(np.ascontiguousarray(keys[:, 1])),
                         s.lists(first, s.h.view(np.int64), pa.int64()),
                         s.lists(low, short, pa.int32()),
-                        pa.array(s.profiles(), pa.binary()),
+                        pa.array(s.profiles(like), pa.binary()),
                     ],
                     names=["doc_id", "k1", "k2", "n", "t1", "t2", "first", "sketch", "profile"],
                 )
@@ -426,6 +435,17 @@ class Region:
                 roots = self.union.roots()[ids]
 
 
+def _folded(profiles: list[bytes], classes: int) -> np.ndarray:
+    """Profiles of so many classes or more, all as if they had so many: a class holds those equal to it in its low bits."""
+    out = np.empty((len(profiles), classes), np.int32)
+    held = np.fromiter(map(len, profiles), np.int64, len(profiles)) // 2
+    for k in np.unique(held).tolist():
+        some = np.flatnonzero(held == k)
+        fine = np.frombuffer(b"".join([profiles[i] for i in some]), "<u2").reshape(len(some), k // classes, classes)
+        out[some] = np.minimum(fine.sum(1, dtype=np.int32), MOST_COUNTED)
+    return out
+
+
 def _thinned(regions: DataFrame, sets: DataFrame, like: Likeness, most: int) -> DataFrame:
     """regions (region, tid) without members whose profile and size keep them from all others of their region.
 
@@ -442,15 +462,19 @@ def _thinned(regions: DataFrame, sets: DataFrame, like: Likeness, most: int) ->
     def kept(region: int, tid: list, n: list, profile: list) -> list[tuple]:
         if len(tid) < 2:
             return []
-        sizes = np.array(n, np.int64)
-        counts = np.frombuffer(b"".join(profile), "<u2").reshape(len(tid), CLASSES).astype(np.int32)
+        order = sorted(range(len(tid)), key=lambda i: len(profile[i]))  # two sets are compared in the fewer classes of both
+        tid, profile, sizes = [tid[i] for i in order], [profile[i] for i in order], np.array(n, np.int64)[order]
         alive = np.zeros(len(tid), bool)
+        counts, classes, begin = np.empty((0, 0), np.int32), 0, 0
         for i in range(len(tid) - 1):
+            if len(profile[i]) != 2 * classes:
+                classes, begin = len(profile[i]) // 2, i
+                counts = _folded(profile[i:], classes)
             rest = slice(i + 1, None)
             ok = (like.den * sizes[rest] >= like.num * sizes[i]) & (like.den * sizes[i] >= like.num * sizes[rest]) & ~(alive[rest] & alive[i])
             found = np.flatnonzero(ok) + i + 1
             if len(found):
-                near = found[np.abs(counts[found] - counts[i]).sum(1) <= like.most_apart(sizes[found] + sizes[i])]
+                near = found[np.abs(counts[found - begin] - counts[i - begin]).sum(1) <= like.most_apart(sizes[found] + sizes[i])]
                 alive[near] = True
                 alive[i] |= len(near) > 0
         return [(region, tid[i]) for i in np.flatnonzero(alive)]

@@ -155,6 +155,20 @@ def test_regions_larger_than_a_task_should_hold(spark, monkeypatch):
     assert taken and all(n > 40 for n in taken)
 
 
+def test_profiles_part_long_unrelated_texts(spark):
+    """Of a region of long texts only those go on to sketches that are near another, whatever classes their profiles have."""
+    rng = random.Random(3)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    long, edge = some(9000), some(3300)
+    texts = [some(9000 + i) for i in range(24)] + [some(3200 + 10 * i) for i in range(12)]
+    texts += [long, long[:8700] + some(150), edge, edge[:3200]]
+    rows = jaccard_join._read(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), like := Likeness(90, 100, 3))
+    sets = rows.select(rows["doc_id"].alias("tid"), "n", "profile")
+    kept = jaccard_join._thinned(sets.selectExpr("7L as region", "tid"), sets, like, 1024).collect()
+    assert sorted(r["tid"] for r in kept) == [36, 37, 38, 39]
+    assert len({len(r["profile"]) for r in sets.filter("tid > 37").collect()}) == 2  # compared across class counts
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(200, 100), (100, 150), (7, 7), (None, 3), (300, 301), (301, 300)]
     out = {r["v"]: r["root"] for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
