@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,14 +129,54 @@ def _search(start, goals: set, forbidden: set, out: dict, depth: int, most_steps
     return best
 
 
+def _search_each(start, goals: list, out: dict, depth: int, most_steps: int) -> list[tuple]:
+    """(goal, best path) as ``_search`` finds for each goal alone, mostly from one search.
+
+    A search for a goal differs from one without only in that no path goes on from the goal. Where all ways to each node
+    lead through a goal, or none, leaving those through it out changes nothing for the others. Goals for which this
+    doesn't hold, and all goals where the steps run out, get a search of their own.
+    """
+    ways, apart = {}, set(goals)
+    if len(goals) > 2:
+        queue, entered, steps = [(0, 0, (start,))], {start: 0}, 0
+        while queue and steps < most_steps:
+            score, hops, path = heapq.heappop(queue)
+            if hops >= depth:
+                continue
+            steps += 1
+            for b, w in out.get(path[-1], ()):
+                if b in path:
+                    continue
+                new = (score - w + hops + 1, hops + 1, (*path, b))
+                ways.setdefault(b, []).append(new)
+                if entered.get(b, depth + 1) > hops + 1:
+                    entered[b] = hops + 1
+                    heapq.heappush(queue, new)
+        if not queue:
+            through = [[set(new[2][1:-1]) for new in found] for found in ways.values() if len(found) > 1]
+            apart &= set().union(*(set.union(*t) - set.intersection(*t) for t in through))
+    rows = []
+    for goal in goals:
+        best = _search(start, {goal}, set(), out, depth, most_steps) if goal in apart else min(ways.get(goal, ()), default=None)
+        if best and goal != start:
+            rows.append((goal, best))
+    return rows
+
+
 def _reach(edges: DataFrame, starts: DataFrame, depth: int, closed: DataFrame | None) -> DataFrame:
-    """(start, from_id, to_id, weight): the edges each start can walk within ``depth``, not on from closed nodes."""
+    """(start, from_id, to_id, weight): the edges each start can walk within ``depth``, not on from closed nodes.
+
+    Of edges between the same nodes the weightiest stands, so what a front meets needs no grouping.
+    """
+    once = edges.groupBy("from_id", "to_id").agg(F.max("weight").alias("weight"))
     reach = None
     front = starts.select("start", F.col("start").alias("at")).distinct()
     seen = front
-    for _ in range(depth):
-        step = front.join(edges, F.col("at") == F.col("from_id")).groupBy("start", "from_id", "to_id").agg(F.max("weight").alias("weight"))
+    for hop in range(1, depth + 1):
+        step = front.join(once, F.col("at") == F.col("from_id")).select("start", "from_id", "to_id", "weight")
         reach = step if reach is None else reach.unionByName(step)
+        if hop == depth:
+            break
         found = step.select("start", F.col("to_id").alias("at")).distinct().join(seen, ["start", "at"], "left_anti")
         if closed is not None:
             found = found.join(closed.select(F.col("id").alias("at")), "at", "left_anti").select("start", "at")
@@ -143,9 +185,9 @@ def _reach(edges: DataFrame, starts: DataFrame, depth: int, closed: DataFrame |
     return reach
 
 
-def _out(near: pd.DataFrame) -> dict:
+def _out(near: Iterable[tuple]) -> dict:
     out: dict = {}
-    for a, b, w in sorted(zip(near["from_id"], near["to_id"], near["weight"]), key=lambda e: (-e[2], e[1])):
+    for a, b, w in sorted(near, key=lambda e: (-e[2], e[1])):
         out.setdefault(a, []).append((b, w))
     return out
 
@@ -153,20 +195,38 @@ def _out(near: pd.DataFrame) -> dict:
 def best_first(edges: DataFrame, pairs: DataFrame, depth: int, most_steps: int = 5000, closed: DataFrame | None = None) -> DataFrame:
     """Best-first search for each (start, goal) over edges (from_id, to_id, weight), up to ``most_steps`` expansions.
 
-    The frontier loop collects, for each start, only edges it can reach within ``depth``; the ordered search itself then
-    runs on that neighbourhood, once for each of the start's goals. Closed nodes (id) can be a start or goal only.
+    Without a column ``goal``, each node a start can reach within ``depth`` is its goal. The frontier loop collects, for
+    each start, only edges it can reach within ``depth``; their rows come sorted by start and the ordered search runs on
+    one start's neighbourhood at a time, for all of its goals. Closed nodes (id) can be a start or goal only.
     """
-
-    def search_all(wanted: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        out, found = _out(near), []
-        for start, goal in dict.fromkeys(zip(wanted["wanted_by"], wanted["goal"])):
-            if start != goal and (best := _search(start, {goal}, set(), out, depth, most_steps)):
-                found.append((start, goal, best[1], -best[0], ">".join(map(str, best[2]))))
-        return pd.DataFrame({c: pd.Series([r[i] for r in found], dtype=object) for i, c in enumerate(("start", "goal", "hops", "score", "path"))})
-
-    kind = dict(pairs.dtypes)["start"]
-    wanted = pairs.select(F.col("start").alias("wanted_by"), F.col("goal"))
-    return wanted.groupBy("wanted_by").cogroup(_reach(edges, pairs, depth, closed).groupBy("start")).applyInPandas(search_all, f"start {kind}, goal {kind}, hops long, score long, path string")
+    kind, every = dict(pairs.dtypes)["start"], "goal" not in pairs.columns
+    rows = _reach(edges, pairs, depth, closed).withColumn("weight", F.col("weight").cast("long"))
+    if not every:
+        rows = rows.unionByName(pairs.select("start", F.lit(None).cast(kind).alias("from_id"), F.col("goal").alias("to_id"), F.lit(None).cast("long").alias("weight")))
+    names = ("start", "goal", "hops", "score", "path")
+
+    def answers(start, near: list, goals: dict) -> list[tuple]:
+        asked = dict.fromkeys(b for _, b, _ in near) if every else goals
+        return [(start, goal, best[1], -best[0], ">".join(map(str, best[2]))) for goal, best in _search_each(start, list(asked), _out(near), depth, most_steps)]
+
+    def search_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, near, goals, schema = None, [], {}, None
+        table = lambda found: pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((schema.field("start").type, schema.field("to_id").type, pa.int64(), pa.int64(), pa.string()))], names)
+        for batch in batches:
+            schema, found = batch.schema, []
+            for start, a, b, w in zip(*(batch.column(c).to_pylist() for c in ("start", "from_id", "to_id", "weight"))):
+                if start != at:
+                    found += answers(at, near, goals)
+                    at, near, goals = start, [], {}
+                if a is None:
+                    goals[b] = None
+                else:
+                    near.append((a, b, w))
+            yield table(found)
+        if schema is not None:
+            yield table(answers(at, near, goals))
+
+    return rows.repartition("start").sortWithinPartitions("start").mapInArrow(search_all, f"start {kind}, goal {kind}, hops long, score long, path string")
 
 
 def ordered_paths(edges: DataFrame, sequences: DataFrame, depth: int, most_steps: int = 5000, closed: DataFrame | None = None) -> DataFrame:
@@ -185,7 +245,7 @@ def ordered_paths(edges: DataFrame, sequences: DataFrame, depth: int, most_steps
     done = None
 
     def search_all(asks: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        out, found = _out(near), []
+        out, found = _out(zip(near["from_id"], near["to_id"], near["weight"])), []
         for seq, first, path, score, goals in zip(*(asks[c] for c in ("seq", "first", "path", "score", "goals"))):
             best = _search(path[-1], set(goals), set(path[:-1]), out, depth, most_steps)
             if best is not None:

@@ -217,7 +217,7 @@ def best_path_score(t: Tables) -> DataFrame:
 @query()
 def best_first_path(t: Tables) -> DataFrame:
     """From every part to every other one within four edges."""
-    return traversal.best_first(double_ring(t), _goals(t), 4)
+    return traversal.best_first(double_ring(t), _parts(t).withColumnRenamed("id", "start"), 4)
 
 
 @query(f"""WITH RECURSIVE {DOUBLE}, r(start, id, hops, called) AS (SELECT p_partkey, p_partkey, 0, FALSE FROM part UNION

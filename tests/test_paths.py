@@ -133,3 +133,37 @@ def test_engine_paths(app):
         assert app.edges.filter(traversal.evidence_fits(require)).count() == n
     assert app.edges.filter(traversal.evidence_fits({"any_of": []})).count() == 0 and app.edges.filter(traversal.evidence_fits({"all_of": []})).count() == 7
     assert app.edges.filter(F.col("kind") == "TESTS").select(traversal.evidence_of().alias("e")).first()["e"] == ["syntax", "test-syntax"]
+
+
+def test_one_search_answers_for_all_goals():
+    rng = random.Random(5)
+    for n, m, most in ((6, 12, 5000), (9, 30, 5000), (9, 30, 7), (40, 60, 5000)):
+        for _ in range(60):
+            pairs = rng.sample([(a, b) for a in range(n) for b in range(n) if a != b], m)
+            out = traversal._out((a, b, rng.choice([1, 10, 30, 40])) for a, b in pairs)
+            want = [(g, best) for g in range(n) if g and (best := traversal._search(0, {g}, set(), out, 4, most))]
+            assert traversal._search_each(0, list(range(n)), out, 4, most) == want
+
+
+def test_most_goals_need_no_search_of_their_own(monkeypatch):
+    n, calls, search = 100_000, [], traversal._search
+    monkeypatch.setattr(traversal, "_search", lambda *a: calls.append(1) or search(*a))
+    out = traversal._out(e for i in range(n) for e in ((i, (i * 17 + 11) % n, 30), (i, (i + 1) % n, 40)))
+    goals = sum(len(traversal._search_each(start, list({b for x in _near(out, start, 3) for b, _ in out[x]}), out, 4, 5000)) for start in range(0, n, 1000))
+    assert goals > 2800 and len(calls) < goals / 10
+
+
+def _near(out, start, depth):
+    near = {start}
+    for _ in range(depth):
+        near |= {b for a in near for b, _ in out[a]}
+    return near
+
+
+def test_without_goals_all_nodes_in_reach_are_goals(spark):
+    rows = graph(spark)
+    edges = spark.createDataFrame(rows, "from_id long, to_id long, weight long")
+    starts = spark.createDataFrame([(a,) for a in range(14)], "start long")
+    pairs = starts.crossJoin(starts.withColumnRenamed("start", "goal"))
+    of = lambda asked: sorted(tuple(r) for r in traversal.best_first(edges, asked, 3).collect())
+    assert of(starts) == of(pairs) and of(starts)
