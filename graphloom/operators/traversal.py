@@ -281,28 +281,53 @@ def chains(modules: DataFrame, exports: DataFrame) -> DataFrame:
     """(origin, last, depth): where the star exports (f, target) of each module (f) lead and how many modules are seen.
 
     A module has one target at most. A chain ends at a module without one or before a module already seen; ``last`` is
-    null in the second case. Pointers are doubled until they reach past every module, so no length is a bound.
+    null in the second case. Pointers are doubled, only those of chains still under way, until a round ends no chain or
+    changes nothing more, so no length is a bound and rounds grow with the logarithm of the longest chain or circle.
     """
     every = modules.select("f").unionByName(exports.select(F.col("target").alias("f"))).distinct()
-    first = cut(every.join(exports.select("f", "target"), "f", "left").select("f", F.coalesce("target", "f").alias("to"), F.col("target").isNotNull().cast("long").alias("steps"), F.col("f").alias("least"), F.col("target").isNull().alias("ends")))
-    n = first.count()
-
-    def doubled(now: DataFrame) -> DataFrame:
-        reached, far, before, total = now, 1, -1, 0
-        while far < n and before != total:  # where all are at an end, no step is added
-            b = reached.select(F.col("f").alias("to"), F.col("to").alias("b_to"), F.col("steps").alias("b_steps"), F.col("least").alias("b_least"))
-            reached = cut(reached.join(b, "to").select("f", F.col("b_to").alias("to"), (F.col("steps") + F.col("b_steps")).alias("steps"), F.least("least", "b_least").alias("least"), "ends"))
-            far, before, total = far * 2, total, reached.agg(F.sum("steps")).first()[0]
-        return reached
-
-    whole = doubled(first)
-    ends = first.filter("ends").select(F.col("f").alias("to"))
-    # n steps on, what isn't at an end is on a circle, and every module of a circle is where some chain is then
-    turning = whole.join(ends, "to", "left_anti")
-    circle = cut(whole.join(turning.select(F.col("to").alias("f")).distinct(), "f", "left_semi").select("f", "least"))
-    size = circle.join(circle.groupBy("least").agg(F.count(F.lit(1)).alias("size")), "least").select(F.col("f").alias("to"), "size")
-    stopped = first.join(circle.select("f", F.lit(True).alias("turns")), "f", "left")
-    stopped = cut(stopped.select("f", F.when(F.col("turns"), F.col("f")).otherwise(F.col("to")).alias("to"), F.when(F.col("turns"), 0).otherwise(F.col("steps")).alias("steps"), "least", "ends"))
-    tails = doubled(stopped).join(size, "to", "left")
-    out = tails.select(F.col("f").alias("origin"), F.when(F.col("size").isNull(), F.col("to")).alias("last"), (F.col("steps") + F.coalesce("size", F.lit(1))).alias("depth"))
-    return out.join(modules.select(F.col("f").alias("origin")), "origin", "left_semi")
+    first = cut(every.join(exports.select("f", "target"), "f", "left").select("f", F.col("target").alias("to"), F.lit(1).cast("long").alias("steps"), F.col("f").alias("least")))
+
+    def doubled(now: DataFrame, table: DataFrame) -> DataFrame:
+        """Pointers that go on by those of the table; ``moved`` tells where a lower module was met."""
+        b = table.select(F.col("f").alias("to"), F.col("to").alias("b_to"), F.col("steps").alias("b_steps"), F.col("least").alias("b_least"))
+        return cut(now.join(b, "to").select("f", F.col("b_to").alias("to"), (F.col("steps") + F.col("b_steps")).alias("steps"), F.least("least", "b_least").alias("least"), (F.col("b_least") < F.col("least")).alias("moved")))
+
+    def ended(now: DataFrame, done: DataFrame, n: int) -> tuple[DataFrame, DataFrame, int]:
+        """(done, still under way, how many): ``done`` (f, last, steps) grows by the pointers that lead to a row of it.
+
+        The chains under way have ends at consecutive distances: a round that ends none leaves those that never end.
+        """
+        left = -1
+        while n and n != left:
+            end = done.select(F.col("f").alias("to"), F.col("last"), F.col("steps").alias("more"))
+            met = cut(now.join(end, "to", "left").select("f", "to", "steps", "least", "last", "more"))
+            over = met.filter("more IS NOT NULL").select("f", "last", (F.col("steps") + F.col("more")).alias("steps"))
+            done, left = done.unionByName(over), n
+            now = met.filter("more IS NULL").select("f", "to", "steps", "least")
+            n = now.count()
+            if n and n != left:
+                now = doubled(now, met)  # its targets may have ended in this round
+        return done, now, n
+
+    ends = first.filter("to IS NULL").select("f", F.col("f").alias("last"), F.lit(0).cast("long").alias("steps"))
+    going = first.filter("to IS NOT NULL")
+    done, turning, n = ended(going, ends, going.count())
+    found = done.select(F.col("f").alias("origin"), "last", (F.col("steps") + 1).alias("depth"))
+    if n:
+        # what never ends: where two rounds lead to equally many modules, those are the modules of all circles
+        turning = whole = cut(going.join(turning.select("f"), "f", "left_semi"))
+        images = n
+        while (now := whole.select("to").distinct().count()) != images:
+            images, whole = now, doubled(whole, whole)
+        on = cut(whole.select(F.col("to").alias("f")).distinct())
+        # windows of a circle of which none meets a lower module when doubled hold the least of the circle
+        circle = turning.join(on, "f", "left_semi")
+        while (further := doubled(circle, circle)).filter("moved").count():
+            circle = further
+        size = circle.groupBy("least").agg(F.count(F.lit(1)).alias("size"))
+        size = cut(circle.select("f", "least").join(size, "least").select("f", "size"))
+        tails = turning.join(on, "f", "left_anti")
+        tails, _, _ = ended(tails, on.select("f", F.col("f").alias("last"), F.lit(0).cast("long").alias("steps")), tails.count())
+        circles = tails.join(size.withColumnRenamed("f", "last"), "last").select(F.col("f").alias("origin"), F.lit(None).cast(dict(first.dtypes)["f"]).alias("last"), (F.col("steps") + F.col("size")).alias("depth"))
+        found = found.unionByName(circles)
+    return found.join(modules.select(F.col("f").alias("origin")), "origin", "left_semi")

@@ -167,3 +167,20 @@ def test_without_goals_all_nodes_in_reach_are_goals(spark):
     pairs = starts.crossJoin(starts.withColumnRenamed("start", "goal"))
     of = lambda asked: sorted(tuple(r) for r in traversal.best_first(edges, asked, 3).collect())
     assert of(starts) == of(pairs) and of(starts)
+
+
+def test_chains_cost_rounds_by_their_length_not_by_the_number_of_modules(spark, monkeypatch):
+    cuts, cut = [], traversal.cut
+    monkeypatch.setattr(traversal, "cut", lambda df: cuts.append(1) or cut(df))
+    n = 4096  # circles of 3 with a tail of one each, and chains of one
+    target = lambda i: None if i % 8 == 0 else i + 1 if i % 8 in (1, 2, 4) else i - 2 if i % 8 == 3 else i - 5 if i % 8 == 5 else i - 6
+    rows = [(i, target(i)) for i in range(n)]
+    want = []
+    for i in range(n):
+        seen = [i]
+        while (t := target(seen[-1])) is not None and t not in seen:
+            seen.append(t)
+        want.append((i, seen[-1] if t is None else None, len(seen)))
+    modules = spark.range(n).select(F.col("id").alias("f"))
+    got = traversal.chains(modules, spark.createDataFrame([r for r in rows if r[1] is not None], "f long, target long")).select("origin", "last", "depth").collect()
+    assert sorted(map(tuple, got)) == want and len(cuts) < 16
