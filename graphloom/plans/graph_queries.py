@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import changes, symbols, traversal
 from graphloom.plans.registry import query
-from graphloom.sources.graph_views import Tables, edges, nodes, ring
+from graphloom.sources.graph_views import Tables, edges, nodes, out_degrees, ring
 
 CUSTOMERS = "cust AS (SELECT c_custkey, c_name, c_nationkey, n_name, n_regionkey, 'n' || c_nationkey || '/c' || c_custkey || '.ts' AS file, CASE WHEN c_custkey % 5 = 0 THEN 'test' ELSE 'source' END AS file_kind FROM customer JOIN nation ON c_nationkey = n_nationkey)"
 FUNCTIONS = "functions AS (SELECT 'function:' || o_orderkey AS id, 'Function' AS kind, 'r' || n_regionkey AS repo, file, 'handle' || o_orderkey % 977 AS name, file_kind, o_orderstatus || '.handle' || o_orderkey % 977 AS qualified_name, o_orderkey % 3 = 0 AS exported, CASE WHEN o_orderkey % 2 = 0 THEN 'compiler' ELSE 'syntax' END AS origin FROM orders JOIN cust ON o_custkey = c_custkey)"
@@ -274,7 +274,7 @@ def layout_self_join(t: Tables) -> DataFrame:
 SELECT from_id, count(*) AS n_out, count(DISTINCT to_id) AS n_targets FROM e GROUP BY from_id""")
 def out_degree(t: Tables) -> DataFrame:
     """Edges and targets of every from_id."""
-    return edges(t, "CALLS", "REFERENCES").groupBy("from_id").agg(F.count(F.lit(1)).alias("n_out"), F.countDistinct("to_id").alias("n_targets"))
+    return out_degrees(t)
 
 
 @query("""WITH e AS (SELECT l_orderkey, l_suppkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem)

@@ -124,6 +124,21 @@ def _lines(t: Tables, kind: str, key: str, target: str) -> DataFrame:
     return joined.select(F.lit(kind).alias("kind"), node_id("function", "l_orderkey").alias("from_id"), node_id(target, key).alias("to_id"), F.lit(None).cast("string").alias("repo"), F.lit("resolver").alias("origin"), "confidence", "evidence", "owner_file")
 
 
+def out_degrees(t: Tables) -> DataFrame:
+    """(from_id, n_out, n_targets) of the edges of CALLS and REFERENCES, counted on keys before any is written out as text.
+
+    Edges of a function go to as many targets as its lines have keys; those to a null key count but have no target.
+    """
+    known = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("m"))
+    counted = None
+    for key in ("l_suppkey", "l_partkey"):
+        pairs = t.lineitem.select("l_orderkey", F.col(key).alias("key")).distinct().groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count("key").alias("k"))
+        counted = pairs if counted is None else counted.unionByName(pairs)
+    counted = counted.groupBy("l_orderkey").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    joined = counted.join(known, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.select(node_id("function", "l_orderkey").alias("from_id"), (F.col("n") * F.col("m")).alias("n_out"), F.col("k").alias("n_targets"))
+
+
 def confidence(priority: Column) -> Column:
     return F.when(priority.startswith("1") | priority.startswith("2"), "high").when(priority.startswith("3"), "medium").otherwise("fallback")
 

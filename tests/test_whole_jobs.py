@@ -137,3 +137,8 @@ def test_star_reexports_of_any_length(spark, tmp_path, n):
     assert n == 30 or max(depth for *_, depth in want) > 9
     got = registry.queries()["star_reexport_recursive"](spark, str(tmp_path)).select("module", "declares", "depth")
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_out_degree_counts_keys_and_not_their_text(spark):
+    plan = registry.queries()["out_degree"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and "hashpartitioning(from_id" not in plan
