@@ -102,8 +102,11 @@ def extension_probe(t: Tables) -> DataFrame:
     k = F.regexp_extract("file", "/c([0-9]+)", 1).cast("long")
     files = nodes(t, "File").select(F.concat(T.module_stem(F.col("file")), F.when(k % 3 == 0, ".ts").when(k % 3 == 1, ".tsx").otherwise("/index.js")).alias("file"))
     asked = t.customer.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("/c"), (F.col("c_custkey") + 1).cast("string")).alias("stem")).distinct()
-    probes = asked.select("stem", F.posexplode(F.array(*[F.lit(x) for x in (".ts", ".tsx", ".js", "/index.ts", "/index.js")])).alias("p", "ext"))
-    hits = probes.join(files, F.concat("stem", "ext") == F.col("file"))
+    # a file answers for the stems it has before one of the extensions, so each file is asked about and no stem is multiplied
+    ends = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(x).alias("ext")) for i, x in enumerate((".ts", ".tsx", ".js", "/index.ts", "/index.js"))])
+    fits = F.filter(ends, lambda e: F.col("file").endswith(e["ext"]))
+    stems = files.select("file", F.explode(fits).alias("e")).select("file", "e.p", F.expr("substr(file, 1, length(file) - length(e.ext))").alias("stem"))
+    hits = asked.join(stems, "stem")
     return hits.groupBy("stem").agg((F.min("p") + 1).cast("long").alias("place"), F.min_by("file", "p").alias("file"))
 
 

@@ -142,3 +142,8 @@ def test_star_reexports_of_any_length(spark, tmp_path, n):
 def test_out_degree_counts_keys_and_not_their_text(spark):
     plan = registry.queries()["out_degree"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(l_orderkey" in plan and "hashpartitioning(from_id" not in plan
+
+
+def test_extension_probe_asks_each_stem_once(spark):
+    plan = registry.queries()["extension_probe"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "stem" in plan
