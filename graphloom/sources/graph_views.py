@@ -93,8 +93,11 @@ def _customers(t: Tables) -> DataFrame:
     return joined.select("c_custkey", "c_name", "n_name", "n_regionkey", file_path("c_nationkey", "c_custkey").alias("file"), F.when(F.col("c_custkey") % 5 == 0, "test").otherwise("source").alias("file_kind"))
 
 
-def edges(t: Tables, *kinds: str) -> DataFrame:
-    """Edges of the given kinds, or of all; one for each (kind, from, to)."""
+def edges(t: Tables, *kinds: str, of: DataFrame | None = None) -> DataFrame:
+    """Edges of the given kinds, or of all; one for each (kind, from, to).
+
+    With ``of`` (from_id; few rows) only edges from these: calls and references then read no more than their lines.
+    """
     none = F.array().cast("array<string>")
 
     def plain(df: DataFrame, kind: str, a: Column, b: Column, repo: Column | None = None) -> DataFrame:
@@ -103,22 +106,26 @@ def edges(t: Tables, *kinds: str) -> DataFrame:
     made = {
         "CONTAINS": lambda: plain(t.nation, "CONTAINS", node_id("repo", "n_regionkey"), node_id("package", "n_nationkey")).unionByName(plain(t.customer, "CONTAINS", node_id("package", "c_nationkey"), node_id("file", "c_custkey"))),
         "DEFINES": lambda: plain(t.orders, "DEFINES", node_id("file", "o_custkey"), node_id("function", "o_orderkey")),
-        "CALLS": lambda: _lines(t, "CALLS", "l_suppkey", "class"),
-        "REFERENCES": lambda: _lines(t, "REFERENCES", "l_partkey", "type"),
+        "CALLS": lambda: _lines(t, "CALLS", "l_suppkey", "class", of),
+        "REFERENCES": lambda: _lines(t, "REFERENCES", "l_partkey", "type", of),
         "DEPENDS_ON": lambda: _depends(t, plain),
         "HAS_CHUNK": lambda: plain(t.documents, "HAS_CHUNK", F.concat(F.lit("source:"), F.col("source")), node_id("chunk", "doc_id")),
     }
     out = None
     for kind in kinds or made:
         out = made[kind]() if out is None else out.unionByName(made[kind]())
-    return out
+    return out if of is None else out.join(F.broadcast(of.select("from_id").distinct()), "from_id", "left_semi").select(EDGE_COLUMNS)
 
 
-def _lines(t: Tables, kind: str, key: str, target: str) -> DataFrame:
+def _lines(t: Tables, kind: str, key: str, target: str, of: DataFrame | None = None) -> DataFrame:
     """One edge per order and ``key`` with the evidence of all its lines; the order's priority gives the confidence."""
     flag = F.create_map(*[F.lit(x) for pair in EVIDENCE.items() for x in pair])
-    merged = t.lineitem.groupBy("l_orderkey", key).agg(F.array_sort(F.collect_set(flag[F.col("l_returnflag")])).alias("evidence"))
-    orders = t.orders.select("o_orderkey", "o_custkey", confidence(F.col("o_orderpriority")).alias("confidence"))
+    lines, orders = t.lineitem, t.orders
+    if of is not None:
+        few = F.broadcast(of.select("from_id").distinct())
+        lines, orders = (rows.join(few, node_id("function", k) == F.col("from_id"), "left_semi") for rows, k in ((lines, "l_orderkey"), (orders, "o_orderkey")))
+    merged = lines.groupBy("l_orderkey", key).agg(F.array_sort(F.collect_set(flag[F.col("l_returnflag")])).alias("evidence"))
+    orders = orders.select("o_orderkey", "o_custkey", confidence(F.col("o_orderpriority")).alias("confidence"))
     files = t.customer.select("c_custkey", file_path("c_nationkey", "c_custkey").alias("owner_file"))
     joined = merged.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(files, F.col("o_custkey") == F.col("c_custkey"))
     return joined.select(F.lit(kind).alias("kind"), node_id("function", "l_orderkey").alias("from_id"), node_id(target, key).alias("to_id"), F.lit(None).cast("string").alias("repo"), F.lit("resolver").alias("origin"), "confidence", "evidence", "owner_file")
