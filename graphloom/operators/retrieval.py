@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import tokens
 from graphloom.operators.symbols import FINDABLE, flag
+from graphloom.sources.durable import cut
 
 # Weights, words and patterns that ranked results depend on.
 #: Weights of the candidate sources in the fusion.
@@ -120,9 +121,10 @@ def kind_rank() -> Column:
 def lexical(nodes: DataFrame, model: QueryModel) -> DataFrame:
     """Nodes that have a word or code token of the query, with ``lexical`` (score) and ``matched`` (the first eight terms).
 
-    The text searched is put together once a row, in a projection of its own.
+    The text searched is put together once a row: exploding it keeps Spark from writing it out again for each word.
     """
-    hay = nodes.withColumn("_hay", F.lower(F.concat_ws(" ", "file", "name", "kind", "package_name", "symbol_kind", "qualified_name"))).withColumn("_n", F.lower("name"))
+    text = F.struct(F.lower(F.concat_ws(" ", "file", "name", "kind", "package_name", "symbol_kind", "qualified_name")).alias("_hay"), F.lower("name").alias("_n"))
+    hay = nodes.select("*", F.explode(F.array(text)).alias("_h")).select(*nodes.columns, "_h._hay", "_h._n")
     points, terms = F.lit(0.0), []
     for w in model.words:
         points = points + flag(F.col("_hay").contains(w), 0.04 if len(w) <= 3 else 0.08)
@@ -148,6 +150,11 @@ def top_lexical(rows: DataFrame, limit: int = 120, source: str = "lexical") -> D
     return top(rows, [F.col("lexical").desc(), kind_rank(), F.coalesce("file", F.lit(""))], limit, source)
 
 
+def best_lexical(rows: DataFrame, limit: int = 120) -> DataFrame:
+    """The rows, whole, that ``top_lexical`` ranks: found once, so what is asked of them later doesn't search all nodes again."""
+    return cut(rows.orderBy(F.col("lexical").desc(), kind_rank(), F.coalesce("file", F.lit("")), "id").limit(limit))
+
+
 def named(nodes: DataFrame, model: QueryModel, each: int = 8) -> DataFrame:
     """(id, token, place): for each symbol token, in order, its best matches; one pass over the nodes for all tokens.
 
@@ -246,7 +253,7 @@ def expands_flow(model: QueryModel) -> bool:
 def test_candidates(lex: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tests, pairs) as (id, source, rank): the best test nodes by words, and source nodes of the files they are paired
     with by name, in the order of the tests."""
-    tests = lex.filter(is_test())
+    tests = best_lexical(lex.filter(is_test()), 50)
     ranked = top_lexical(tests, 50, "test")
     paired = F.regexp_replace("file", r"\.(test|spec)(\.[cm]?[jt]sx?)$", "$2")
     asked = ranked.join(tests.select("id", "file"), "id").withColumn("_pair", paired).filter(F.col("_pair") != F.col("file")).groupBy("_pair").agg(F.min("rank").alias("rank"))
@@ -435,7 +442,7 @@ def scored(nodes: DataFrame, candidates: DataFrame, model: QueryModel, relations
     candidates: (id, source, rank). relations: (id, edge_kind, evidence, direct): edges that led to a candidate, direct
     if not by a path. lex: (id, lexical, matched) of the lexical candidates. paths: (id, path_score, paths).
     """
-    rows = fused(candidates).join(nodes, "id")
+    rows = F.broadcast(cut(fused(candidates))).join(nodes, "id")  # candidates are few: all sources have limits
     none = F.array().cast("array<string>")
     if relations is None:
         rows = rows.withColumn("edge_kinds", none).withColumn("evidence", none).withColumn("graph_calls", F.lit(False))

@@ -10,6 +10,7 @@ from graphloom.functions.vectors import hash_embedding, nearest
 from graphloom.operators import retrieval
 from graphloom.plans.graph_queries import CALLS, CLASSES, CUSTOMERS, FUNCTIONS, SYMBOLS
 from graphloom.plans.registry import query
+from graphloom.sources.durable import cut
 from graphloom.sources.graph_views import Tables, edges, nodes
 
 FNV = "list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, length(w) + 1), lambda i: ascii(w[i])::HUGEINT)), lambda h, c: (xor(h::BIGINT, c::BIGINT)::HUGEINT * 16777619) % 4294967296)::BIGINT"
@@ -71,8 +72,7 @@ def _nodes(t: Tables) -> DataFrame:
 
 @query(f"WITH {_lexical_sql(MODEL)} SELECT id, lexical AS score FROM lex WHERE place <= 120")
 def lexical_score_top(t: Tables) -> DataFrame:
-    lex = retrieval.lexical(_nodes(t), MODEL)
-    return retrieval.top_lexical(lex).join(lex, "id").select("id", F.col("lexical").alias("score"))
+    return retrieval.best_lexical(retrieval.lexical(_nodes(t), MODEL)).select("id", F.col("lexical").alias("score"))
 
 
 def _sources_sql(model: retrieval.QueryModel) -> str:
@@ -85,18 +85,19 @@ f AS (SELECT id, 18 * sum(CASE source WHEN 'lexical' THEN 1.5::DOUBLE WHEN 'symb
 
 
 def _candidates(t: Tables, model: retrieval.QueryModel) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(candidates, relations, lexical rows)."""
+    """(candidates, relations, the best lexical rows)."""
     n = _nodes(t)
     lex = retrieval.lexical(n, model)
-    named = retrieval.top(n.filter("lower(name) = 'handle12'"), [], 8, "symbol")
-    calls = edges(t, "CALLS").join(named.select(F.col("id").alias("from_id")), "from_id", "left_semi")
+    best = retrieval.best_lexical(lex)
+    named = cut(retrieval.top(n.filter("lower(name) = 'handle12'"), [], 8, "symbol"))
+    calls = cut(edges(t, "CALLS", of=named.select(F.col("id").alias("from_id"))))
     called = retrieval.top(calls.select(F.col("to_id").alias("id")).distinct(), [], 60, "graph")
     met = calls.select(F.col("to_id").alias("id"), F.col("kind").alias("edge_kind"), "evidence", F.lit(True).alias("direct")).join(called.select("id"), "id", "left_semi")
-    out = retrieval.top_lexical(lex).unionByName(named).unionByName(called)
+    out = retrieval.top_lexical(best).unionByName(named).unionByName(called)
     if model.intent == "test":
         for part in retrieval.test_candidates(lex, n):
             out = out.unionByName(part)
-    return out, met, lex
+    return out, met, best
 
 
 @query(f"WITH {_sources_sql(MODEL)} SELECT id, round(fusion, 6) AS fusion, sources FROM f")

@@ -147,3 +147,22 @@ def test_out_degree_counts_keys_and_not_their_text(spark):
 def test_extension_probe_asks_each_stem_once(spark):
     plan = registry.queries()["extension_probe"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan and "stem" in plan
+
+
+def test_lexical_text_is_put_together_once_a_row(spark):
+    from graphloom.operators import retrieval
+    from graphloom.plans.ranking_queries import MODEL, _nodes
+    from graphloom.sources.graph_views import Tables
+
+    plan = retrieval.lexical(_nodes(Tables(spark, DATA)).filter("kind = 'Class'"), MODEL)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("concat_ws") <= 3  # once for each kind of node
+
+
+def test_edges_of_a_few_nodes(spark):
+    from graphloom.sources.graph_views import Tables, edges
+
+    t = Tables(spark, DATA)
+    few = spark.createDataFrame([("function:12",), ("function:989",), ("none",)], "from_id string")
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    want = rows(edges(t, "CALLS", "DEFINES").filter("from_id IN ('function:12', 'function:989')"))
+    assert want and rows(edges(t, "CALLS", "DEFINES", of=few)) == want
