@@ -13,13 +13,15 @@ from __future__ import annotations
 import math
 import os
 import random
+import string
 import zlib
-from collections.abc import Iterator
-from itertools import filterfalse
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,104 +29,160 @@ from graphloom.llm.shared import byte_slices, discard, texts_of, written
 from graphloom.llm.word_hashes import forget
 
 
-#: Marks that a pre-tokenizer splits from a word they follow, and no contraction begins with.
-_MARKS = b".,;:!?"
+#: ASCII marks, which may follow a word in any number.
+_MARKS = string.punctuation
+
+#: Bytes of text that are cut into words at once: each distinct word among them is handled once.
+_SLICE = 16 << 20
 
 
 class ChunkTokens:
     """Token ids (little-endian unsigned 32-bit) of whole texts, by a tokenizers file.
 
     A text is cut at ASCII white space, which the tokenizer must treat as nothing but a boundary; ``cuts`` tells whether
-    it does, by trial. Each distinct chunk is encoded once while the bounded memo remembers it. If case and marks after
-    a word make no difference to the word (``plain``, by trial too), chunks are reduced to words, and new words of
-    letters alone are encoded many in one call: a token that ends a word tells where each word's ids end.
+    it does, by trial. If case and marks after a word make no difference to the word (``plain``, by trial too), chunks
+    are reduced to words. Each distinct word is encoded once while the bounded memo remembers it, words of letters many
+    in one call: a token that ends a word tells where each word's ids end. Words of letters that normalizing leaves as
+    they are but for their case (``sure``, by trial of each letter) go to the model without normalizer and patterns.
     """
 
     def __init__(self, path: str, memo_size: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
+        self.bare = Tokenizer(self.model.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.memo_size = memo_size
+        self._forget()
         probe = "a b\n c\t\td  \r\n e.f"
         whole = self._ids([probe])[0]
         self.cuts = b"".join(self._ids(probe.split())) == whole and whole == self._ids([" \n" + probe + "\t "])[0]
         self.ends = np.array([(self.model.id_to_token(i) or "").endswith("</w>") for i in range(self.model.get_vocab_size())])
-        words = ["Word", "ÉCOLE", "naïve", "a", "日本"]
-        marks = _MARKS.decode()
-        self.plain = self.cuts and all(b"".join(self._ids([w.encode().lower().decode(), m])) == self._ids([w + m])[0] for w in words for m in (marks, *marks)) and self._joined(words) == self._ids(words)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
+        words = ["Word", "ÉCOLE", "naïve", "a", "x7", "日本"]
+        special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.plain = (
+            self.cuts
+            and all("<|" in t for t in special)
+            and all(b"".join(self._ids([w.encode().lower().decode(), m])) == self._ids([w + m])[0] for w in words for m in (_MARKS, *_MARKS))
+            and self._joined(words, self.model).to_pylist() == self._ids(words)
+        )
+        self.tried: set[str] = set()
+        self.sure: set[str] = set()
+        self._try(string.ascii_letters)
+
+    def _forget(self) -> None:
+        self.keys, self.values = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def _ids(self, texts: list[str], model=None) -> list[bytes]:
+        model = model or self.model
+        encode = getattr(model, "encode_batch_fast", model.encode_batch)
         return [np.array(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
 
-    def _joined(self, words: list[str]) -> list[bytes]:
+    def _joined(self, words: list[str], model) -> pa.LargeBinaryArray:
         """Ids of words of letters, from one encoding of all of them."""
-        encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
+        encode = getattr(model, "encode_batch_fast", model.encode_batch)
         ids = np.array(encode([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
         if len(stop) != len(words):
-            return self._ids(words)
-        raw, stops = ids.tobytes(), stop.tolist()
-        return [raw[a:b] for a, b in zip([0, *stops], stops)]
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Encodes chunks that the memo lacks, by way of the words and marks they are made of."""
-        memo, parts, letters, others = self.memo, [], {}, {}
-        for c in chunks:
-            if not self.plain:
-                others[c] = c.decode()
-                continue
-            if c.isalpha():  # ASCII letters, so without marks
-                word, mark = c.lower(), b""
-            elif b"<|" in c:
-                others[c] = c.decode()
-                continue
+            return pa.array(self._ids(words), pa.large_binary())
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(np.append(0, stop)), pa.py_buffer(ids)])
+
+    def _try(self, letters: Iterable[str]) -> None:
+        """Adds to ``sure`` what the bare model, given small letters, encodes like the whole tokenizer."""
+        for c in letters:
+            near = [c, "a" + c, c + "a", "a" + c + "a"]
+            if self.ends.any() and self._ids(near) == self._ids([x.lower() for x in near], self.bare):
+                self.sure.add(c)
+            self.tried.add(c)
+
+    def _encoded(self, words: list[str]) -> tuple[list[int], list[pa.LargeBinaryArray]]:
+        """The words' places in the order of the arrays, and their ids."""
+        wide = [w for w in words if not w.isascii() and w.isalpha()]
+        self._try(set("".join(wide)) - self.tried)
+        sure, letters, others = [], [], []
+        for i, w in enumerate(words):
+            if not self.plain or not w.isalpha():
+                others.append(i)
+            elif self.sure.issuperset(w) and is_normalized("NFC", w):
+                sure.append(i)
             else:
-                word = c.lower().rstrip(_MARKS)
-                mark = c[len(word) :]
-                if word and mark and not word.decode().lower()[-1:].isalnum():  # then the marks run on from a sign
-                    others[c] = c.decode()
-                    continue
-            if mark or word != c:
-                parts.append((c, word, mark))
-            for x in (word, mark) if mark else (word,):
-                if x and x not in memo and x not in letters and x not in others:
-                    told = x.decode()
-                    (letters if told.isalpha() else others)[x] = told
-        for found, encode in ((letters, self._joined), (others, self._ids)):
-            keys = list(found)
-            for at in range(0, len(keys), 1000):
-                part = keys[at : at + 1000]
-                memo.update(zip(part, encode([found[k] for k in part])))
-        for c, word, mark in parts:
-            memo[c] = (memo[word] if word else b"") + (memo[mark] if mark else b"")
+                letters.append(i)
+        ids = []
+        for at in range(0, len(sure), 1000):
+            ids.append(self._joined([words[i].lower() for i in sure[at : at + 1000]], self.bare))
+        for at in range(0, len(letters), 1000):
+            ids.append(self._joined([words[i] for i in letters[at : at + 1000]], self.model))
+        for at in range(0, len(others), 1000):
+            ids.append(pa.array(self._ids([words[i] for i in others[at : at + 1000]]), pa.large_binary()))
+        return sure + letters + others, ids
+
+    def _of_words(self, words: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of words, distinct or not, by way of the memo."""
+        found = words.dictionary_encode()
+        at = pc.fill_null(pc.index_in(found.dictionary, value_set=self.keys), -1).to_numpy().copy()
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = found.dictionary.take(pa.array(new))
+            order, ids = self._encoded(fresh.to_numpy(zero_copy_only=False).tolist())
+            at[new[order]] = len(self.keys) + np.arange(len(new))
+            self.keys = pa.concat_arrays([self.keys, fresh.take(pa.array(order, pa.int64()))])
+            self.values = pa.concat_arrays([self.values, *ids])
+        out = self.values.take(pa.array(at)).take(found.indices)
+        if len(new):
+            if len(self.keys) > self.memo_size:
+                self._forget()
+            short = pc.less_equal(pc.binary_length(self.keys), 256)  # the memo is bounded in bytes too
+            if not pc.all(short).as_py():
+                self.keys, self.values = self.keys.filter(short), self.values.filter(short)
+        return out
+
+    def _of_chunks(self, chunks: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of distinct chunks, by way of the words and marks they are made of."""
+        if not self.plain:
+            return self._of_words(chunks)
+        words = pc.ascii_rtrim(pc.ascii_lower(chunks), characters=_MARKS)
+        last = pc.utf8_slice_codeunits(words, -1).dictionary_encode()
+        # marks run on from a sign (normalizing may leave one of a letter), and a special token is a whole
+        ends = pa.array([not c or normalize("NFC", c).lower()[-1:].isalnum() for c in last.dictionary.to_pylist()], pa.bool_()).take(last.indices)
+        whole = pc.or_(pc.match_substring(chunks, "<|"), pc.and_not(pc.not_equal(pc.binary_length(words), pc.binary_length(chunks)), ends))
+        words = pc.if_else(whole, chunks, words)
+        extra = pc.subtract(pc.binary_length(chunks), pc.binary_length(words)).to_numpy()
+        marked = np.flatnonzero(extra)
+        marks: dict[str, int] = {"": 0}
+        mark = np.zeros(len(chunks), np.int64)
+        told = chunks.take(pa.array(marked)).to_numpy(zero_copy_only=False).tolist()
+        mark[marked] = [marks.setdefault(c[-n:], len(marks)) for c, n in zip(told, extra[marked].tolist())]
+        of_marks = self._of_words(pa.array(list(marks), pa.large_string()))
+        return pc.binary_join_element_wise(self._of_words(words), of_marks.take(pa.array(mark)), pa.scalar(b"", pa.large_binary()))
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         if not self.cuts:
             return self._ids([t.decode() for t in texts])
-        memo = self.memo
-        if len(memo) > self.memo_size:
-            memo.clear()
-        split = [t.split() for t in texts]
-        new: dict[bytes, None] = {}
-        for chunks in split:
-            for c in filterfalse(memo.__contains__, chunks):
-                new[c] = None
-        self._learn(list(new))
-        ids = memo.__getitem__
-        out = [b"".join(map(ids, chunks)) for chunks in split]
-        for c in new:
-            if len(c) > 256:  # the memo is bounded in bytes too
-                for key in (c, c.lower().rstrip(_MARKS)):
-                    memo.pop(key, None)
-        return out
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        found = split.values.dictionary_encode()
+        ids = self._of_chunks(found.dictionary).take(found.indices)
+        _, starts, raw = ids.buffers()
+        at = np.frombuffer(starts, np.int64)[split.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
+        return [raw[a:b].to_pybytes() if b > a else b"" for a, b in zip(at, at[1:])]
 
 
 _tokens: dict[str, ChunkTokens] = {}
 
 
+def gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, in order, small batches put together to about ``least`` bytes."""
+    kept, total = [], 0
+    for batch in batches:
+        if kept and total + batch.nbytes > least:
+            yield pa.concat_batches(kept)
+            kept, total = [], 0
+        kept.append(batch)
+        total += batch.nbytes
+    if kept:
+        yield pa.concat_batches(kept)
+
+
 def token_pieces(df: DataFrame, tokenizer_path: str, most: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32. A document is its ids and ``end_id``; longer ones are cut every ``most``.
 
@@ -137,8 +195,8 @@ def token_pieces(df: DataFrame, tokenizer_path: str, most: int = 2048, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         tokens = _tokens.get(tokenizer_path) or _tokens.setdefault(tokenizer_path, ChunkTokens(tokenizer_path))
-        for whole in batches:
-            for batch in byte_slices(whole, "text", 1 << 20):
+        for whole in gathered(batches, _SLICE):
+            for batch in byte_slices(whole, "text", _SLICE):
                 row, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(tokens.of(texts_of(batch, "text"))):
                     ids += end
@@ -156,30 +214,6 @@ def token_pieces(df: DataFrame, tokenizer_path: str, most: int = 2048, end_id: i
     return source.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-class Room:
-    """Open bins by free space; ``take`` finds the fullest one that has room in a few big-integer steps."""
-
-    def __init__(self, size: int):
-        self.by_free: list[list[int]] = [[] for _ in range(size + 1)]
-        self.mask = 0
-
-    def put(self, bin_: int, free: int) -> None:
-        if free:
-            self.by_free[free].append(bin_)
-            self.mask |= 1 << free
-
-    def take(self, length: int) -> tuple[int, int] | None:
-        above = self.mask >> length
-        if not above:
-            return None
-        free = length + (above & -above).bit_length() - 1
-        stack = self.by_free[free]
-        bin_ = stack.pop()
-        if not stack:
-            self.mask ^= 1 << free
-        return bin_, free
-
-
 class Packing(NamedTuple):
     """Items by bin, and how full each bin is."""
 
@@ -190,21 +224,36 @@ class Packing(NamedTuple):
 def best_fit(lengths: list[int], items: list[int], size: int, start: Packing | None = None) -> Packing:
     """``start`` with items, in their order, each put into the fullest bin that has room, or a new one."""
     bins, fills = start or Packing([], [])
-    room = Room(size)
+    open_: dict[int, list[int]] = {}  # bins by free space; the bits of mask tell which spaces there are
+    mask = 0
     for i, f in enumerate(fills):
-        room.put(i, size - f)
+        if f < size:
+            open_.setdefault(size - f, []).append(i)
+    for free in open_:
+        mask |= 1 << free
     for item in items:
         n = lengths[item]
-        found = room.take(n)
-        if found is None:
-            room.put(len(bins), size - n)
-            bins.append([item])
-            fills.append(n)
-        else:
-            i, free = found
+        above = mask >> n
+        if above:
+            free = n + (above & -above).bit_length() - 1
+            stack = open_[free]
+            i = stack.pop()
+            if not stack:
+                mask ^= 1 << free
             bins[i].append(item)
             fills[i] += n
-            room.put(i, free - n)
+            free -= n
+        else:
+            i = len(bins)
+            bins.append([item])
+            fills.append(n)
+            free = size - n
+        if free:
+            if free in open_:
+                open_[free].append(i)
+            else:
+                open_[free] = [i]
+            mask |= 1 << free
     return Packing(bins, fills)
 
 
@@ -245,7 +294,7 @@ def mutate(lengths: list[int], packing: Packing, size: int, rng: random.Random)
 
 
 def longest_first(lengths: list[int], items: list[int]) -> list[int]:
-    return sorted(items, key=lambda i: -lengths[i])
+    return sorted(items, key=lengths.__getitem__, reverse=True)
 
 
 def evolve(lengths: list[int], size: int, seed: int, immigrants: list[Packing], population: int = 6, generations: int = 40, patience: int = 8) -> tuple[list[Packing], int]:

@@ -4,10 +4,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from graphloom.llm import queries
-from graphloom.llm.best_fit_packing import ChunkTokens, best_fit, crossover, evolve, islands_of, longest_first, mutate, pack, pack_documents, settled
+from graphloom.llm.best_fit_packing import ChunkTokens, best_fit, crossover, evolve, gathered, islands_of, longest_first, mutate, pack, pack_documents, settled
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 MODEL = Tokenizer.from_file(PATH)
@@ -68,6 +69,53 @@ def test_chunks_are_exact():
     assert got == [np.array(MODEL.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def exact(texts, tokens):
+    assert tokens.of([t.encode() for t in texts]) == [np.array(MODEL.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+class Counted:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, model):
+        self.model, self.given = model, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.given += sum(map(len, texts))
+        return self.model.encode_batch_fast(texts, **how)
+
+    encode_batch = encode_batch_fast
+
+
+def test_new_words_go_to_the_bare_model():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopéüß") for _ in range(12))
+    texts = [" ".join(w for _ in range(10) for w in (word(), word().upper().replace("SS", "s") + ",", word().capitalize() + ".$$$")) for _ in range(100)]
+    tokens = ChunkTokens(PATH)
+    tokens.model = whole = Counted(tokens.model)
+    exact(texts, tokens)
+    assert whole.given < sum(map(len, texts)) / 20
+
+
+def test_letters_that_normalizing_changes():
+    """Composed, decomposed, replaced and context-dependent letters, signs and digits, next to letters and marks."""
+    rng = random.Random(7)
+    parts = ["a", "B", "é", "É", "e\u0301", "Σ", "σ", "ς", "İ", "ß", "ẞ", "ǅ", "ﬁ", "\u212a", "\u212b", "\u1100", "\u1161", "\uac00", "\u11a8", "क", "\u093c", "\u0958", "ไ", "日", "Ⅷ", "²", "٣", "7", "ª", "'", "'s", "’", "$$$", ",", ".", "<", "|", "<|endoftext|>", "<|x", "\x1c", "\x7f", "\0", "\x85", "\xa0", "\u2028", "\u200d", "😀"]
+    tokens = ChunkTokens(PATH, memo_size=1000)
+    for _ in range(20):
+        exact(["".join(rng.choice([*parts, " "]) for _ in range(rng.randrange(12))) for _ in range(300)], tokens)
+    exact(["", " ", "x" * 5000 + "!" * 300, "é" * 400, "x" * 5000], tokens)
+    assert tokens.of([]) == [] and tokens.of([b""]) == [b""]
+
+
+def test_small_batches_are_gathered():
+    batches = [pa.RecordBatch.from_pydict({"id": pa.array([i]), "text": pa.array(["x" * (i % 7)])}) for i in range(1000)]
+    for least in (0, 100, 1 << 20):
+        got = list(gathered(iter(batches), least))
+        assert [x for b in got for x in b.column("id").to_pylist()] == list(range(1000))
+        assert len(got) == {0: 1000, 1 << 20: 1}.get(least, len(got)) and all(b.nbytes <= least for b in got if least)
+    assert list(gathered(iter([]), 100)) == []
+
+
 def test_operators_keep_every_item():
     rng = random.Random(3)
     for seed in range(30):
