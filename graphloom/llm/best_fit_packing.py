@@ -25,15 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import byte_slices, discard, texts_of, written
-from graphloom.llm.word_hashes import forget
+from graphloom.llm.shared import byte_slices, discard, makes_room, memo, texts_of, written
 
 
 #: ASCII marks, which may follow a word in any number.
 _MARKS = string.punctuation
 
 #: Bytes of text that are cut into words at once: each distinct word among them is handled once.
-_SLICE = 16 << 20
+_SLICE = 4 << 20
 
 
 class ChunkTokens:
@@ -168,6 +167,7 @@ class ChunkTokens:
 
 
 _tokens: dict[str, ChunkTokens] = {}
+memo("tokens", _tokens.clear)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, most: int = 2048, end_id: i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
+        makes_room(but="tokens")
         tokens = _tokens.get(tokenizer_path) or _tokens.setdefault(tokenizer_path, ChunkTokens(tokenizer_path))
         for whole in gathered(batches, _SLICE):
             for batch in byte_slices(whole, "text", _SLICE):
@@ -356,6 +356,7 @@ def _epoch(state: DataFrame, size: int, epoch: int) -> DataFrame:
     packing before (``began``) and after the epoch, and its worth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makes_room()
         for batch in batches:
             elites, began, bins, squares = [], [], [], []
             for shard, island, lengths, guests in zip(*(batch.column(c).to_pylist() for c in ("shard", "island", "lengths", "guests"))):
@@ -407,6 +408,7 @@ def pack(pieces: DataFrame, size: int = 2048, shard_pieces: int = 4096, islands:
     laid = whole.join(best, "shard").select("shard", "placed", "rows").repartition(max(1, math.ceil(shards / 8)), "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makes_room()
         for batch in batches:
             for i in range(batch.num_rows):
                 number = batch.column("shard")[i].as_py()

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import connected
-from graphloom.llm.shared import byte_slices, discard, texts_of, written
+from graphloom.llm.shared import byte_slices, discard, makes_room, texts_of, written
 from graphloom.llm.word_hashes import WORDS, Runs, mixed
 
 SLICE = 1 << 20
@@ -185,6 +185,7 @@ def _passing(batch: pa.RecordBatch, bits: np.ndarray) -> tuple[list[bytes], np.n
 
 def _read(source: DataFrame, like: Likeness) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makes_room(but="words")
         for whole in batches:
             for batch in byte_slices(whole, "text", SLICE):
                 texts = texts_of(batch, "text")
@@ -240,6 +241,7 @@ def _reordered(source: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     bits = spark.sparkContext.broadcast(_bitmap(again))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makes_room(but="words")
         for whole in batches:
             for batch in byte_slices(whole, "text", SLICE):
                 texts, keys, rows = _passing(batch, bits.value)
@@ -480,6 +482,7 @@ def _thinned(regions: DataFrame, sets: DataFrame, like: Likeness, most: int) ->
         return [(region, tid[i]) for i in np.flatnonzero(alive)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makes_room(but="words")
         region, tids, sizes, profiles = None, [], [], []
         for batch in batches:
             out: list[tuple] = []
@@ -655,6 +658,7 @@ def _join_regions(regions: DataFrame, sets: DataFrame, like: Likeness, exact: bo
         members = members.join(large, "region", "left_anti").select(*MEMBER).unionByName(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makes_room(but="words")
         out: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flushed() -> pa.RecordBatch:
@@ -684,6 +688,7 @@ def _whole_sets(source: DataFrame, wanted: DataFrame, like: Likeness) -> DataFra
     bits = source.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makes_room(but="words")
         for whole in batches:
             for batch in byte_slices(whole, "text", SLICE):
                 texts, keys, rows = _passing(batch, bits.value)
@@ -731,6 +736,7 @@ def one_of_each_group(df: DataFrame, num: int = 80, den: int = 100, width: int =
     kinds = ", ".join(f"{c} {t}" for c, t in keyed.dtypes)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makes_room(but="words")
         for whole in batches:
             for batch in byte_slices(whole, f"c{place_of_text}", SLICE):
                 texts = texts_of(batch, f"c{place_of_text}")

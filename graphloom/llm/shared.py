@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,6 +34,30 @@ def _lean_allocator() -> None:
 
 _lean_allocator()
 
+#: What operators remember in this process from task to task, and how it is emptied.
+_memos: dict[str, Callable[[], object]] = {}
+
+
+def memo(name: str, empty: Callable[[], object]) -> None:
+    """Has ``makes_room`` empty this memo."""
+    _memos[name] = empty
+
+
+def makes_room(but: str = "") -> None:
+    """Empties all memos of this process but one and gives what is unused back to the system.
+
+    Spark uses a worker again for the tasks of other operators; each begins with this, so that what the ones before
+    remembered doesn't add up.
+    """
+    for name, empty in _memos.items():
+        if name != but:
+            empty()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import byte_slices, discard, texts_of, written
+from graphloom.llm.shared import byte_slices, discard, makes_room, texts_of, written
 from graphloom.llm.word_hashes import WORDS, Runs, mixed
 
 SLICE = 1 << 20
@@ -93,6 +93,7 @@ def _read(source: DataFrame, size: int, part: int) -> DataFrame:
     """Level 1 of each row: id, key, number of words, hash of all words, and its least runs as hashes with places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makes_room(but="words")
         for whole in batches:
             for batch in byte_slices(whole, "text", SLICE):
                 split = [t.split() for t in texts_of(batch, "text")]
@@ -122,6 +123,7 @@ def _fetch(source: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = source.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makes_room(but="words")
         bits = shared.value
         for whole in batches:
             for batch in byte_slices(whole, "text", SLICE):
@@ -179,6 +181,7 @@ def _double(fetched: DataFrame, size: int, part: int) -> DataFrame:
     """Level 2 of texts with surviving least runs: for each, the hashes at twice the length and of the whole stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makes_room(but="words")
         for whole in batches:
             for batch in byte_slices(whole, "text", SLICE):
                 split = [t.split() for t in texts_of(batch, "text")]
@@ -212,6 +215,7 @@ def _ends(fetched: DataFrame, size: int, part: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makes_room(but="words")
         for whole in batches:
             for batch in byte_slices(whole, "text", SLICE):
                 split = [t.split() for t in texts_of(batch, "text")]
@@ -327,12 +331,14 @@ def without_repeats(df: DataFrame, size: int = 35, id_col: str = "doc_id", text_
     kinds = [f"c{i} {t}" for i, (_, t) in enumerate(df.dtypes)]
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makes_room(but="words")
         for whole in batches:
             for batch in byte_slices(whole, f"c{place}", SLICE):
                 keys = [_text_key(t.split()) for t in texts_of(batch, f"c{place}")]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64())], names=[*batch.schema.names, "k1", "k2"])
 
     def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makes_room(but="words")
         for whole in batches:
             for batch in byte_slices(whole, f"c{place}", SLICE):
                 out = []
@@ -363,6 +369,7 @@ def _kept(words: list[bytes], lo, hi, hits, size: int) -> tuple[int, bytes]:
 
 def _digests(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makes_room(but="words")
         for whole in batches:
             for batch in byte_slices(whole, "text", SLICE):
                 sizes, removed, shas = [], [], []

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from graphloom.llm.shared import byte_slices
+from graphloom.llm.shared import byte_slices, makes_room, memo
 
 SPACE = "▁"
 
@@ -93,6 +93,7 @@ class PieceCounter:
 
 
 _counters: dict[str, PieceCounter] = {}
+memo("pieces", _counters.clear)
 
 
 def token_counts(df: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 2 << 20) -> DataFrame:
@@ -104,6 +105,7 @@ def token_counts(df: DataFrame, model_path: str, limit: int = 4096, id_col: str
     source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makes_room(but="pieces")
         counter = _counters.get(model_path) or _counters.setdefault(model_path, PieceCounter(model_path))
         for whole in batches:
             for batch in byte_slices(whole, "text", slice_bytes):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import byte_slices
+from graphloom.llm.shared import byte_slices, makes_room
 
 BUCKETS = 1 << 17
 NGRAMS = (3, 4, 5, 6)
@@ -77,7 +77,11 @@ class BagScorer:
         self.memo: dict[bytes, int] = {}
         self.total, self.count = np.zeros(0), np.zeros(0)
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, new: list[bytes]) -> None:
+        for i in range(0, len(new), 20_000):  # in steps, to bound memory
+            self._add(new[i : i + 20_000])
+
+    def _add(self, words: list[bytes]) -> None:
         ids, begin = subwords(words)
         total = np.concatenate([[0.0], np.cumsum(self.model.ngram[ids].astype(np.float64))])
         at = len(self.total)
@@ -252,6 +256,7 @@ def score_documents(documents: DataFrame, model: SubwordModel, id_col: str = "do
     shared = documents.sparkSession.sparkContext.broadcast((model.ngram, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        makes_room()
         scorer = SubwordModel(*shared.value).scorer()
         for whole in batches:
             for batch in byte_slices(whole, "t", slice_bytes):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import ctypes
 from hashlib import blake2b
 
 import numpy as np
 
+from graphloom.llm.shared import memo
+
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
 
@@ -30,16 +31,7 @@ class WordHashes(dict):
 
 #: One memo a process, whichever operators run in it.
 WORDS = WordHashes()
-
-
-def forget() -> None:
-    """Empties the memo and gives the memory back: for an operator that runs in the same process and has its own."""
-    if WORDS:
-        WORDS.clear()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+memo("words", WORDS.clear)
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
